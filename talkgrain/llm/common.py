@@ -70,7 +70,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, spread: str, size:
     hot = groups.filter(F.col(size) > max(1, total // HOT_SHARE))
     hot = F.broadcast(hot.select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in values], F.lit(True).alias("_hot")))
     cold = groups.filter(F.col(size) <= max(1, total // HOT_SHARE))
-    cold = cold.select(F.col(key).alias("_ck"), F.lit(0).alias("_cs"), *[F.col(c).alias(f"_c_{c}") for c in values])
+    zero = F.pmod(F.col(size), F.lit(1)).cast("int")  # not a literal, or the optimizer would take the salt out of the join keys
+    cold = cold.select(F.col(key).alias("_ck"), zero.alias("_cs"), *[F.col(c).alias(f"_c_{c}") for c in values])
     out = rows.join(hot, F.col(key) == F.col("_hk"), "left")
     out = out.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(65_536)).cast("int") + 1).otherwise(0))
     out = out.join(cold, (F.col(key) == F.col("_ck")) & (F.col("_salt") == F.col("_cs")), "left")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgrain.llm.common import Scratch, join_groups, text_of
+from talkgrain.llm.common import Scratch, checked, join_groups, text_of
 
 SALTS = 16
 
@@ -57,7 +57,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kid"), F.unhex("text_sha256").alias("_kd"))
+    scratch = Scratch(docs.sparkSession, "exact-drop")
+    decided = exact_dedup(docs, id_col, text_col).filter("not kept")
+    same = F.col(id_col).eqNullSafe(F.col("keep_id"))
+    lost = scratch.save(decided.select(F.col(id_col).alias("_lid"), F.unhex("text_sha256").alias("_ld"), same.alias("_again")), "lost")
+    losers, _ = checked(lost.filter("not _again"))
     rows = docs.withColumn("_digest", F.unhex(F.sha2(normal(text_col), 256)))
-    out = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_kid")) & (F.col("_digest") == F.col("_kd")), "left_semi")
-    return out.dropDuplicates([id_col, "_digest"]).select(docs.columns)
+    out = rows.join(losers, F.col(id_col).eqNullSafe(F.col("_lid")) & (F.col("_digest") == F.col("_ld")), "left_anti")
+    if not lost.filter("_again").isEmpty():  # rows that repeat id and text
+        out = out.dropDuplicates([id_col, "_digest"])
+    return out.select(docs.columns)

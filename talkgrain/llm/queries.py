@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkgrain.llm.common import Scratch
+from talkgrain.llm.decontaminate import contaminated
 from talkgrain.llm.exact_dedup import exact_dedup
+from talkgrain.llm.language_id import fit, held_out, identify
+from talkgrain.llm.near_dedup import near_duplicates
+from talkgrain.llm.packing import pack_documents
+from talkgrain.llm.pii import pseudonymise
 from talkgrain.llm.sharding import shard
 from talkgrain.llm.token_counts import token_counts
+from talkgrain.llm.training_order import verify, write_shards
+from talkgrain.llm.warc import round_trip
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -26,16 +34,49 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards, reads them back sequentially, and gives each sequence's place with both checksums."""
+    index = write_shards(table(spark, sf_dir, "documents"), vocabulary(), "epoch-0", Scratch(spark, "order"))
+    return verify(spark, index).drop("path")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "talkgrain")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), 0)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary(), 2048)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), 2048)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op6_token_counts, op8_sharding)}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_training_order, op4_pii, op5_warc, op6_token_counts, op7_packing, op8_sharding, op9_near_duplicates, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
