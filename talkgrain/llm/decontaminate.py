@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkgrain.llm.common import Scratch, checked, text_of
+from talkgrain.llm.common import Scratch, checked, let, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -40,10 +40,12 @@ def words_of(text: str | Column) -> Column:
 
 def shingles_of(words: Column) -> Column:
     """64-bit hashes of all runs of five words, in order; empty for fewer words."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    last = F.size(words) - WORDS
-    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WORDS)]))
-    return F.when(last >= 0, runs).otherwise(F.array().cast("array<bigint>"))
+    def runs(hashes: Column) -> Column:
+        last = F.size(hashes) - WORDS
+        found = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WORDS)]))
+        return F.when(last >= 0, found).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
 def lanes(h: Column) -> list[Column]:

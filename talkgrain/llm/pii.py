@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkgrain.llm.common import let
+
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 
@@ -30,7 +32,7 @@ PATTERNS = {
     "secret": r"AKIA[0-9A-Z]{16}\b|\b(?:password|passwd|token|secret|api_key)\s?[=:]\s?\"?[0-9A-Za-z_-]{12,}\"?",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
     "date": r"(?<![\d/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])",
-    "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "card": r"(?<!\d)(?<!\d\.)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -91,17 +93,18 @@ def _tag(v: Column, key: str, kind: str) -> Column:
 
 
 def _card(v: Column, key: str) -> Column:
-    d = _digits(v)
-    body = F.substring(d, F.lit(1), F.length(d) - 1)
-    new = permuted_digits(body, key, "card")
-    valid = F.substring(d, -1, 1) == check_digit(body)
-    return refilled(v, F.concat(new, F.when(valid, check_digit(new)).otherwise(F.substring(d, -1, 1))))
+    def swapped(d: Column) -> Column:
+        body, last = F.substring(d, F.lit(1), F.length(d) - 1), F.substring(d, -1, 1)
+        valid = let(body, lambda x: check_digit(x)) == last
+        return let(permuted_digits(body, key, "card"), lambda new: F.concat(new, F.when(valid, check_digit(new)).otherwise(last)))
+
+    return let(let(_digits(v), swapped), lambda new: refilled(v, new))
 
 
 def _phone(v: Column, key: str) -> Column:
-    d = _digits(v)
     code = F.length(_digits(F.regexp_extract(v, r"^\+(\d{1,3})[ .(-]", 1)))
-    return refilled(v, F.concat(F.substring(d, F.lit(1), code), permuted_digits(F.substring(d, code + 1, F.length(d)), key, "phone")))
+    new = let(_digits(v), lambda d: F.concat(F.substring(d, F.lit(1), code), permuted_digits(F.substring(d, code + 1, F.length(d)), key, "phone")))
+    return let(new, lambda x: refilled(v, x))
 
 
 def _day(v: Column) -> Column:
@@ -126,8 +129,8 @@ def _octets(v: Column) -> Column:
 
 def _ip(v: Column, key: str) -> Column:
     n = F.aggregate(_octets(v), F.lit(0).cast("long"), lambda s, x: s * 256 + x)
-    new = feistel(n, F.lit(65_536), F.lit(65_536), key, "ip")
-    return F.concat_ws(".", *[F.shiftrightunsigned(new, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
+    written = lambda new: F.concat_ws(".", *[F.shiftrightunsigned(new, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
+    return let(feistel(n, F.lit(65_536), F.lit(65_536), key, "ip"), written)
 
 
 def kind_of(v: Column) -> Column:
