@@ -16,10 +16,13 @@ import re
 import numpy as np
 
 #: Entries a worker keeps before it starts over; bounds memory, never changes results.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 
-#: Pieces of a lower-cased ASCII run, as the vocabulary's pre-tokenizer splits it.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Runs of printable ASCII and composed Latin letters (to U+017F): composed already, and each letter has a lower case of its own.
+SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+
+#: Pieces of such a run in lower case, as the vocabulary's pre-tokenizer splits it.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 
 _loaded: dict[tuple, object] = {}
 
@@ -52,8 +55,10 @@ class _Pieces:
 
     def split(self, part: str) -> list[str]:
         """Byte-level pieces of a part without special tokens."""
-        if part.isascii():
-            return ASCII_PIECES.findall(part.lower())
+        if part.isascii() and SIMPLE.fullmatch(part):
+            return PIECES.findall(part.lower())
+        if SIMPLE.fullmatch(part):
+            return [p if p.isascii() else byte_level(p) for p in PIECES.findall(part.lower())]
         return [p for p, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(part))]
 
 
@@ -64,6 +69,14 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
+_LETTERS = _byte_letters()
+_SHIFTED = {b: letter for b, letter in enumerate(_LETTERS) if chr(b) != letter}
+
+
+def byte_level(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_SHIFTED)
+
+
 class HeapCounter(_Pieces):
     """Counts tokens by byte-pair merging over a linked list with a heap of adjacent pairs; no ids come out."""
 
@@ -77,12 +90,8 @@ class HeapCounter(_Pieces):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             ids = self.symbols
             self.pairs.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
-        letters = _byte_letters()
-        self.ascii = {chr(b): letters[b] for b in range(128)}
-        self.plain = all(self.ascii[chr(b)] == chr(b) for b in range(0x21, 0x7F))
         self.runs: dict[bytes, int] = {}
         self.words: dict[str, int] = {}
-        self.special_count = 0
 
     def merged(self, word: str) -> int:
         """Initial symbols minus merges: pop the lowest-rank pair (leftmost on ties), join it, look at its new neighbours."""
@@ -119,8 +128,6 @@ class HeapCounter(_Pieces):
     def piece(self, part: str) -> int:
         total = 0
         for w in self.split(part):
-            if part.isascii() and not (self.plain and "!" <= min(w) and max(w) <= "~"):
-                w = "".join(map(self.ascii.__getitem__, w))
             c = self.words.get(w)
             if c is None:
                 if len(self.words) >= CACHE_ENTRIES:
@@ -157,40 +164,40 @@ class IdEncoder(_Pieces):
         size = max(max(model["vocab"].values()), *self.special.values(), 0) + 1
         self.ends = np.zeros(size, bool)
         self.ends[[i for s, i in model["vocab"].items() if s.endswith(suffix)]] = True
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.plain = Tokenizer.from_str(json.dumps(self.spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self.plain.pre_tokenizer = WhitespaceSplit()  # for pieces that are normalized and byte-level already
         self.runs: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _learn_words(self, words: list[str]) -> None:
-        """Encodes lower-case ASCII pieces in one call, and cuts the ids where words end."""
+        """Encodes byte-level pieces, many in one call, and cuts the ids where words end."""
         for k in range(0, len(words), 4096):
             some = words[k : k + 4096]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and (not len(ids) or cuts[-1] == len(ids)):
-                start = 0
-                for w, end in zip(some, cuts.tolist()):
-                    self.words[w] = ids[start:end].astype(self.width).tobytes()
-                    start = end
-            else:  # some piece is not a word to the library: one by one
-                for w in some:
-                    self.words[w] = self.encode_run(w)
-
-    def encode_run(self, run: str) -> bytes:
-        return np.array(self.lib.encode(run, add_special_tokens=False).ids, self.width).tobytes()
+            if len(cuts) != len(some) or cuts[-1] != len(ids):
+                raise ValueError("a piece did not end as a word")
+            data, width, start = ids.astype(self.width).tobytes(), np.dtype(self.width).itemsize, 0
+            for w, end in zip(some, (cuts * width).tolist()):
+                self.words[w] = data[start:end]
+                start = end
 
     def learn(self, new: set[bytes]) -> None:
-        ascii_runs: dict[bytes, list[str]] = {}
+        pieces: dict[bytes, list[str]] = {}
         others: list[bytes] = []
         for r in new:
-            if r.isascii() and b"<|" not in r:
-                ascii_runs[r] = ASCII_PIECES.findall(r.decode().lower())
+            run = r.decode("utf-8", "replace")
+            if SIMPLE.fullmatch(run) and len(self.specials(run)) == 1:
+                pieces[r] = self.split(run)
             else:
                 others.append(r)
         if len(self.words) > CACHE_ENTRIES:
             self.words.clear()
-        missing = {w for ws in ascii_runs.values() for w in ws}.difference(self.words)
-        self._learn_words(list(missing))
-        for r, ws in ascii_runs.items():
+        self._learn_words(list({w for ws in pieces.values() for w in ws}.difference(self.words)))
+        for r, ws in pieces.items():
             self.runs[r] = b"".join(map(self.words.__getitem__, ws))
         decoded = [r.decode("utf-8", "replace") for r in others]
         for k in range(0, len(decoded), 4096):
