@@ -11,8 +11,9 @@ maximum, and equal registers grow likelier with similarity.
 3. A compared pair stays if the joint likelihood of its registers, given both set sizes, does not speak against the
    threshold; then both full sets are fetched and intersected, and real links are kept.
 4. Components of the links found so far are formed. A bucket that still spans more than one component is searched in
-   full: all its pairs across components, in bounded blocks, go through likelihood and verification as well. Pairs
-   inside a component cannot change anything any more, so no link of the buckets is lost.
+   full: in bounded blocks, all its pairs across components go through likelihood and verification as well, each pair in
+   the first bucket that the two share. Pairs inside a component cannot change anything any more, so no link of the
+   buckets is lost; and only members and real links leave a block, never its pairs.
 
 Defined results: null, empty or blank text has the empty set, links with nothing and stays; rows that repeat an id are
 one document of the class; a null id is its own component and stays; an empty table gives an empty result.
@@ -38,7 +39,7 @@ ZERO = 20
 #: Log-likelihood by which the threshold may be less likely than the best similarity before a pair is given up.
 DOUBT = 9.0
 #: Members that a task compares with each other at a time.
-BLOCK = 2048
+BLOCK = 512
 
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLY = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -141,9 +142,9 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _bucket_rows(classes: DataFrame) -> DataFrame:
-    """bucket (64-bit hash of band number and its registers), c: a row for each band of a class."""
+    """bucket (64-bit hash of band number and its registers), band, c: a row for each band of a class."""
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * ROWS + 1, ROWS)) for k in range(BANDS)])
-    return classes.select("c", F.explode(keys).alias("bucket"))
+    return classes.select("c", F.posexplode(keys).alias("band", "bucket"))
 
 
 def _pivot_pairs(rows: DataFrame) -> DataFrame:
@@ -171,39 +172,93 @@ def _likely(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
     return both.mapInArrow(judge, "a long, b long")
 
 
-def _cross_pairs(rows: DataFrame, labels: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
-    """Likely pairs across components, of the buckets that span more than one. Large buckets are searched block by block."""
-    named = rows.join(labels, "c", "left").select("c", "bucket", F.coalesce("label", "c").alias("label"))
-    open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi")
+def _open_blocks(rows: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members, block by block, of the buckets that span more than one component."""
+    named = rows.join(labels, "c", "left").select("c", "bucket", "band", F.coalesce("label", "c").alias("label"))
+    spans = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi")
     parts = F.ceil(F.col("k") / BLOCK).cast("int")
-    some = named.join(open_.select("bucket", parts.alias("parts")), "bucket").join(classes.select("c", "n", "sketch"), "c")
+    some = named.join(spans.select("bucket", parts.alias("parts")), "bucket").join(classes.select("c", "n", "sketch"), "c")
     some = some.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
-    # a block meets itself and every other one once: member of part p goes to the tasks (p, q) of all q
+    # a block meets itself and every other one once: a member of part p goes to the blocks (p, q) of all q
     some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    some = some.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "c", "label", "n", "sketch")
-    order = ["bucket", "p", "q"]
+    return some.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "c", "label", "n", "band", "sketch")
+
+
+def _block_pairs(block: pa.RecordBatch, limit: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Per row of a block: the later rows that form a likely pair with it, across components, whose first common bucket this is."""
+    p, q, part, _, label, n, band = (block.column(k).to_numpy() for k in range(1, 8))
+    s = np.frombuffer(b"".join(block.column(8).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    for i in range(len(n) - 1):
+        ok = label[i + 1 :] != label[i]
+        if p[i] != q[i]:
+            ok &= part[i + 1 :] != part[i]
+        at = np.flatnonzero(ok) + i + 1
+        size = n[at].astype(float)
+        at = at[np.minimum(size, n[i]) >= limit * np.maximum(size, n[i]) - 1e-9]
+        if not len(at):
+            continue
+        same = s[at] == s[i]
+        first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[i]
+        at = at[first & (same.mean(1) >= limit - 0.35)]
+        if len(at):
+            at = at[plausible(np.full(len(at), float(n[i])), n[at].astype(float), (s[i] > s[at]).sum(1), (s[i] < s[at]).sum(1), limit)]
+        if len(at):
+            yield i, at
+
+
+_BLOCK_KEYS = ["bucket", "p", "q"]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
     width = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(width, *_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS, "c")
+
+
+def _involved(blocks: DataFrame, limit: float) -> DataFrame:
+    """The members of blocks that have a pair to verify there."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _runs(batches, 3):
-            p, q, part, c, label, n = (block.column(k).to_numpy() for k in range(1, 7))
-            s = np.frombuffer(b"".join(block.column(7).to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            for i in range(len(c) - 1):
-                rest = slice(i + 1, None)
-                ok = label[rest] != label[i]
-                if p[i] != q[i]:
-                    ok &= part[rest] != part[i]
-                at = np.flatnonzero(ok) + i + 1
-                if len(at):
-                    size = n[at].astype(float)
-                    at = at[(np.minimum(size, n[i]) >= limit * np.maximum(size, n[i]) - 1e-9) & ((s[at] == s[i]).mean(1) >= limit - 0.35)]
-                if len(at):
-                    at = at[plausible(np.full(len(at), float(n[i])), n[at].astype(float), (s[i] > s[at]).sum(1), (s[i] < s[at]).sum(1), limit)]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[at])), pa.array(np.maximum(c[i], c[at]))], ["a", "b"])
-
-    dealt = some.repartition(width, *order).sortWithinPartitions(*order, "c")
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+            keep = np.zeros(block.num_rows, bool)
+            for i, at in _block_pairs(block, limit):
+                keep[i] = keep[at] = True
+            if keep.any():
+                yield block.filter(pa.array(keep))
+
+    return _dealt(blocks).mapInArrow(search, blocks.schema)
+
+
+def _block_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: real links of the blocks' members; those inside what is connected already are left out."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches, 3):
+            c, label = block.column(4).to_pylist(), block.column(5).to_pylist()
+            full = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column(9)]
+            quick = [set(x.tolist()) if len(x) <= 2000 else None for x in full]
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    up[x] = up.get(y, y)
+                    x = y
+                return x
+
+            found = []
+            for i, at in _block_pairs(block, percent / 100):
+                for j in at.tolist():
+                    x, y = root(label[i]), root(label[j])
+                    if x == y:
+                        continue
+                    shared = len(quick[i] & quick[j]) if quick[i] is not None and quick[j] is not None else len(np.intersect1d(full[i], full[j], assume_unique=True))
+                    if 100 * shared >= percent * (len(full[i]) + len(full[j]) - shared):
+                        up[max(x, y)] = min(x, y)
+                        found.append({"a": min(c[i], c[j]), "b": max(c[i], c[j])})
+            if found:
+                yield pa.RecordBatch.from_pylist(found, kind)
+
+    return _dealt(blocks.join(sets, "c").select(*blocks.columns, "s")).mapInArrow(verify, "a long, b long").distinct()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -270,11 +325,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     classes = scratch.save(real.groupBy("digest", "n", "sketch").agg(F.min("_id").cast("long").alias("c"), F.count(F.lit(1)).alias("members")), "classes")
     rows = _bucket_rows(classes)
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that are links, by intersecting their full sets."""
-        pairs = scratch.save(pairs, f"{name}-pairs")
-        ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("_need")).distinct(), f"{name}-ids")
-        need, _ = checked(ids)
+    def full_sets(ids: DataFrame, name: str) -> DataFrame:
+        """c, s (shingle hashes): the full sets of some ids."""
+        need, _ = checked(scratch.save(ids.select(F.col("c").alias("_need")).distinct(), f"{name}-ids"))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -285,27 +338,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
         texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
         texts = texts.join(need, F.col("_id") == F.col("_need"), "left_semi")
-        found = scratch.save(texts.mapInArrow(sets, "c long, s binary").dropDuplicates(["c"]), f"{name}-sets")
+        return scratch.save(texts.mapInArrow(sets, "c long, s binary").dropDuplicates(["c"]), f"{name}-sets")
 
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ok = []
-                for x, y in zip(b.column(2), b.column(3)):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        one = found.select(F.col("c").alias("a"), F.col("s").alias("x"))
-        two = found.select(F.col("c").alias("b"), F.col("s").alias("y"))
-        links = scratch.save(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"{name}-links")
-        scratch.drop(f"{name}-sets", f"{name}-ids")
-        return links
-
-    links = verified(_likely(_pivot_pairs(rows), classes, limit), "pivot")
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = scratch.save(_likely(_pivot_pairs(rows), classes, limit), "pairs")
+    found = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")), "pivot")
+    one = found.select(F.col("c").alias("a"), F.col("s").alias("x"))
+    two = found.select(F.col("c").alias("b"), F.col("s").alias("y"))
+    links = scratch.save(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    scratch.drop("pivot-sets", "pairs")
     labels = scratch.save(components(links, scratch, "first"), "first")
-    tested = docs.sparkSession.read.schema("a long, b long").parquet(scratch.path("pivot-pairs"))
-    more = verified(_cross_pairs(rows, labels, classes, limit).join(tested, ["a", "b"], "left_anti"), "cross")
+    blocks = scratch.save(_involved(_open_blocks(rows, labels, classes), limit), "blocks")
+    more = scratch.save(_block_links(blocks, full_sets(blocks, "block"), percent), "more")
+    scratch.drop("block-sets", "blocks", "links")
     if not more.isEmpty():
         stars = labels.filter("c <> label").select(F.col("label").alias("a"), F.col("c").alias("b"))
         labels = scratch.save(components(stars.unionByName(more), scratch, "second"), "labels")
@@ -314,7 +367,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     total = named.agg(F.sum("members")).first()[0] or 0
     out = join_groups(profiles.select("_id", "n", "digest"), named, "digest", "_id", "members", total)
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).cast(kind)
-    scratch.drop("pivot-pairs", "pivot-links", "cross-pairs", "cross-links")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
