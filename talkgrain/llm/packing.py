@@ -176,6 +176,8 @@ def _solver(id_col: str, names: list[str], capacity: int, round_no: int, last: b
 def pack(pieces: DataFrame, capacity: int, scratch: Scratch, id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """pieces and: sequence_id, offset. `pieces` has id, piece, start, length, ids_crc32 and should be a scratch table."""
     names = pieces.columns
+    id_kind = pieces.schema[id_col].dataType
+    pieces = pieces.withColumn(id_col, F.col(id_col).cast("string"))  # pandas would turn integers with nulls among them into floats
     whole = pieces.filter(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     left, done = pieces.filter(F.col("length") < capacity), [whole]
@@ -194,7 +196,7 @@ def pack(pieces: DataFrame, capacity: int, scratch: Scratch, id_col: str = "doc_
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out.withColumn(id_col, F.col(id_col).cast(id_kind))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -161,13 +161,13 @@ def test_sketch_estimates():
 def test_packing(odd, none):
     lib = library()
     rows = pack_documents(odd.filter("doc_id is not null").dropDuplicates(["doc_id"]), vocabulary(), 256).collect()
+    all_ids = {x.doc_id: [*lib.encode(x.text or "", add_special_tokens=False).ids, 0] for x in odd.collect()}
     for r in rows:
-        text = next(x.text for x in odd.collect() if x.doc_id == r.doc_id) or ""
-        ids = [*lib.encode(text, add_special_tokens=False).ids, 0][r.start : r.start + r.length]
+        ids = all_ids[r.doc_id][r.start : r.start + r.length]
         assert len(ids) == r.length and zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32 and r.start == 256 * r.piece
     check_sequences(rows, 256)
     assert pack_documents(none, vocabulary(), 256).count() == 0
-    assert pack_documents(odd, vocabulary(), 256).agg(F.count_if("sequence_id is null")).first()[0] == 0
+    assert pack_documents(odd, vocabulary(), 256).agg(F.count_if(F.col("sequence_id").isNull())).first()[0] == 0
 
 
 def check_sequences(rows, capacity):
