@@ -1,10 +1,10 @@
 """Language identification: nearest of several clustered centroids per language, by cosine, with rejection by distance.
 
-A text is a vector of its byte 1-, 2- and 3-grams (lower case, hashed), log-counted, weighted by inverse document
-frequency and normalised. Every language gets CLUSTERS centroids by spherical k-means over a bounded sample of labelled
+A text is a vector of the byte 1-, 2- and 3-grams of its words (lower case, ASCII signs and digits as spaces, hashed),
+log-counted, weighted by inverse document frequency and normalised. Every language gets CLUSTERS centroids by spherical k-means over a bounded sample of labelled
 texts (at most `per_language` of each language, those with the smallest hash of their id). A text belongs to the language
-of the nearest centroid. It is rejected if that centroid is farther than REACH times the distance that the sample itself
-shows for texts of such a length; short texts are naturally far, so the bounds are learned per class of length.
+of the nearest centroid. It is rejected if that centroid is so far that the cosine is under REACH times what all but one
+in a hundred of the sample's texts of such a length reach; short texts are naturally far, so bounds are per class of length.
 
 Defined results: a text that is null or has no letter is `und`, score 0, rejected; without any labelled row every text
 is; ties go to the language that sorts first; repeated rows each get their result; only the text is looked at.
@@ -25,8 +25,8 @@ PER_LANGUAGE = 400
 CLUSTERS = 3
 #: Upper ends, in bytes, of the classes of length.
 LENGTHS = (16, 32, 64, 128, 256, 512, 1024)
-#: A text may be this much farther than the farthest text of the sample.
-REACH = 1.15
+#: Share of the sample's low cosines (first percentile) under which a text is rejected.
+REACH = 0.25
 #: Texts are turned into vectors so many bytes at a time.
 STEP_BYTES = 1 << 20
 
@@ -63,8 +63,12 @@ def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+#: ASCII letters and the bytes of all other characters stand for themselves, the rest for a space.
+_WORDS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
 def lowered(texts: pa.Array) -> list[bytes]:
-    return [t.lower().replace("\0", " ").encode() for t in texts.to_pylist()]
+    return [b" %b " % b" ".join(t.lower().encode().translate(_WORDS).split()) for t in texts.to_pylist()]
 
 
 @dataclass
@@ -134,7 +138,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     reach = np.full(len(LENGTHS) + 1, -1.0)
     for c in range(len(reach)):
         if (at == c).sum() >= 5:
-            reach[c] = REACH * distance[at == c].max()
+            reach[c] = 1 - REACH * np.quantile(1 - distance[at == c], 0.01)
     seen = np.flatnonzero(reach >= 0)
     for c in np.flatnonzero(reach < 0):  # a class with too few texts takes the bound of the next shorter one, as shorter texts are farther
         shorter = seen[seen < c]
