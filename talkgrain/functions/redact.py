@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,12 +27,15 @@ PROTECTED = (
 )
 
 
+def _step(label: str, pattern: str) -> Callable[[Column], Column]:
+    return lambda s: F.struct(F.regexp_replace(s["t"], pattern, label).alias("t"), (s["n"] + F.regexp_count(s["t"], F.lit(pattern))).alias("n"))
+
+
 def _segment(text: Column) -> Column:
     """Struct of the redacted piece and its count; every pattern sees what the ones before it left."""
     state = F.struct(text.alias("t"), F.lit(0).alias("n"))
     for label, pattern in PATTERNS:
-        step = lambda s, p=f"(?U){pattern}", to=label: F.struct(F.regexp_replace(s["t"], p, to).alias("t"), (s["n"] + F.regexp_count(s["t"], F.lit(p))).alias("n"))
-        state = F.get(F.transform(F.array(state), step), 0)  # computed once per piece
+        state = F.get(F.transform(F.array(state), _step(label, f"(?U){pattern}")), 0)  # computed once per piece
     return state
 
 
