@@ -14,7 +14,7 @@ def split_turns(lines: DataFrame) -> DataFrame:
     """lines (call_id, pos, line) and: source_line, line_start (offset in the transcript), speaker, said, script, start_char, end_char."""
     w = Window.partitionBy("call_id").orderBy("pos")
     before = F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = lines.select("*", F.row_number().over(w).alias("source_line"), before.alias("line_start"), T.speaker_of(F.col("line")).alias("speaker"), T.said(F.col("line")).alias("said"))
+    out = lines.select("*", F.row_number().over(w).cast("long").alias("source_line"), before.alias("line_start"), T.speaker_of(F.col("line")).alias("speaker"), T.said(F.col("line")).alias("said"))
     start = F.col("line_start") + F.length("line") - F.length(F.regexp_replace("line", "^(?:Agent|Customer):\\s*", ""))
     return out.select("*", T.script_class(F.col("said")).alias("script"), start.alias("start_char"), (start + F.length("said")).alias("end_char"))
 

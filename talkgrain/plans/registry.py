@@ -363,7 +363,7 @@ def sequential_batches(spark, sf_dir):
     return datasets.batches(fx.read(spark, sf_dir, "orders"), 5, "o_orderstatus", "o_orderkey").select("o_orderkey", F.col("batch").cast("long").alias("batch"))
 
 
-@query("""WITH w AS (SELECT n_name AS name, n_nationkey AS ord, n_nationkey + 3.0 AS weight FROM nation), x AS (SELECT *, weight * 997 / sum(weight) OVER () AS x FROM w),
+@query("""WITH w AS (SELECT n_name AS name, n_nationkey AS ord, (n_nationkey + 3)::DOUBLE AS weight FROM nation), x AS (SELECT *, weight * 997 / sum(weight) OVER () AS x FROM w),
     r AS (SELECT *, floor(x) AS f, row_number() OVER (ORDER BY x - floor(x) DESC, ord) AS k, 997 - sum(floor(x)) OVER () AS l FROM x) SELECT name, ord, weight, (f + CASE WHEN k <= l THEN 1 ELSE 0 END)::BIGINT AS share FROM r""")
 def apportioned(spark, sf_dir):
     """BAT-02."""

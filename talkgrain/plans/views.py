@@ -78,7 +78,7 @@ def conflict_view(spark, sf_dir):
     items = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])
     conflicts = fx.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(items.alias("conflicting"))
     known = fx.read(spark, sf_dir, "part").filter("p_partkey % 5 <> 0").selectExpr("p_partkey as rule_id", "p_name as text", "p_partkey % 7 = 0 as retired")
-    return analytics.conflict_view(conflicts, known)
+    return analytics.conflict_view(conflicts, known).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("SELECT o_orderkey AS call_id, o_orderdate AS finished_at FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 100")
@@ -140,7 +140,7 @@ def accuracy_by_category(spark, sf_dir):
 def stored_quote_audit(spark, sf_dir):
     """JSN-07, JSN-08, AGG-27."""
     q = fx.read(spark, sf_dir, "documents").filter("text <> ''").select(F.col("doc_id").alias("id"), F.col("text").alias("transcript"), F.left("text", F.lit(20)).alias("quote"), F.pmod("doc_id", F.lit(3)).cast("int").alias("start"))
-    return analytics.stored_quotes(q).withColumnRenamed("id", "doc_id")
+    return analytics.stored_quotes(q).withColumnRenamed("id", "doc_id").withColumn("new_end", F.col("new_end").cast("long"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'commitments' END AS list, CASE WHEN event_id % 3 = 0 THEN event_id % 7 END AS index,
@@ -152,7 +152,7 @@ def claim_ids_and_errors(spark, sf_dir):
     status = F.element_at(F.array(*map(F.lit, (408, 429, 500, 502, 503, 504, 400, 401))), (i % 8 + 1).cast("int"))
     message = F.concat(F.when(i % 11 == 0, "PerDay ").otherwise(""), F.when(i % 5 == 0, "ValidationError").otherwise(""))
     p = analytics.claim_parts(claim)
-    return fx.read(spark, sf_dir, "events").select("event_id", p["list"].alias("list"), p["index"].alias("index"), lifecycle.error_class(status, message).alias("class"))
+    return fx.read(spark, sf_dir, "events").select("event_id", p["list"].alias("list"), p["index"].cast("long").alias("index"), lifecycle.error_class(status, message).alias("class"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS a FROM lineitem GROUP BY 1)
