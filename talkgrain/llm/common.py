@@ -69,7 +69,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, spread: str, size:
 
     groups: columns key, size (rows in that group) and more. Groups above total / HOT_SHARE are fewer than HOT_SHARE, a
     proven bound, and are broadcast; their rows then get salted keys that match nothing, so the shuffle join of the
-    others is even. `spread` is a column of rows that spreads them, such as an id. Rows of no group get nulls.
+    others is even. `spread` is a column of rows that spreads them, such as an id. Rows of no group get nulls;
+    rows without a key are spread as well.
     """
     values = [c for c in groups.columns if c != key]
     hot = groups.filter(F.col(size) > max(1, total // HOT_SHARE))
@@ -78,6 +79,6 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, spread: str, size:
     zero = F.pmod(F.col(size), F.lit(1)).cast("int")  # not a literal, or the optimizer would take the salt out of the join keys
     cold = cold.select(F.col(key).alias("_ck"), zero.alias("_cs"), *[F.col(c).alias(f"_c_{c}") for c in values])
     out = rows.join(hot, F.col(key) == F.col("_hk"), "left")
-    out = out.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(65_536)).cast("int") + 1).otherwise(0))
+    out = out.withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(65_536)).cast("int") + 1).otherwise(0))
     out = out.join(cold, (F.col(key) == F.col("_ck")) & (F.col("_salt") == F.col("_cs")), "left")
     return out.select(*[F.col(c) for c in rows.columns], *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in values])
