@@ -40,8 +40,8 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_col:
         e, end, step = encoder(tokenizer), end_id.to_bytes(4, "little"), 4 * capacity
         for b in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for k, t in enumerate(b.column(1)):
-                ids = e.encode(t.as_buffer().to_pybytes()) + end
+            for k, ids in enumerate(e.encode_all([t.as_buffer().to_pybytes() for t in b.column(1)])):
+                ids += end
                 rows += [(k, p, at // 4, min(len(ids) - at, step) // 4, zlib.crc32(ids[at : at + step])) for p, at in enumerate(range(0, len(ids), step))]
             k, piece, start, length, crc = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(

@@ -18,6 +18,9 @@ import numpy as np
 #: Entries a worker keeps before it starts over; bounds memory, never changes results.
 CACHE_ENTRIES = 500_000
 
+#: Bytes of text in which new runs are looked for at a time.
+STEP_BYTES = 1 << 20
+
 #: Runs of printable ASCII and composed Latin letters (to U+017F): composed already, and each letter has a lower case of its own.
 SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
@@ -188,15 +191,18 @@ class IdEncoder(_Pieces):
     def learn(self, new: set[bytes]) -> None:
         pieces: dict[bytes, list[str]] = {}
         others: list[bytes] = []
+        simple, findall, special = SIMPLE.fullmatch, PIECES.findall, self._cut
         for r in new:
             run = r.decode("utf-8", "replace")
-            if SIMPLE.fullmatch(run) and len(self.specials(run)) == 1:
-                pieces[r] = self.split(run)
-            else:
+            if not simple(run) or special and special.search(run):
                 others.append(r)
+            elif run.isascii():
+                pieces[r] = findall(run.lower())
+            else:
+                pieces[r] = [p if p.isascii() else byte_level(p) for p in findall(run.lower())]
         if len(self.words) > CACHE_ENTRIES:
             self.words.clear()
-        self._learn_words(list({w for ws in pieces.values() for w in ws}.difference(self.words)))
+        self._learn_words(list(set().union(*pieces.values()).difference(self.words)))
         for r, ws in pieces.items():
             self.runs[r] = b"".join(map(self.words.__getitem__, ws))
         decoded = [r.decode("utf-8", "replace") for r in others]
@@ -205,14 +211,28 @@ class IdEncoder(_Pieces):
                 self.runs[r] = np.array(e.ids, self.width).tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        runs, cache = text.split(), self.runs
-        new = set(runs).difference(cache)
-        if new:
-            if len(cache) + len(new) > CACHE_ENTRIES:
-                cache.clear()
-                new = set(runs)
-            self.learn(new)
-        return b"".join(map(cache.__getitem__, runs))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text; what is new in about STEP_BYTES of them is learned at once."""
+        out: list[bytes] = []
+        cache = self.runs
+        start = size = 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size < STEP_BYTES and k + 1 < len(texts):
+                continue
+            some = [x.split() for x in texts[start : k + 1]]
+            known = set().union(*some)
+            new = known.difference(cache)
+            if new:
+                if len(cache) + len(new) > CACHE_ENTRIES:
+                    cache.clear()
+                    new = known
+                self.learn(new)
+            out += [b"".join(map(cache.__getitem__, runs)) for runs in some]
+            start, size = k + 1, 0
+        return out
 
 
 class IdEncoder16(IdEncoder):

@@ -53,8 +53,8 @@ def permuted(numbers: np.ndarray, size: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _tokens(tokenizer: str, text: pa.Scalar, end: bytes) -> bytes:
-    return encoder16(tokenizer).encode(text.as_buffer().to_pybytes()) + end
+def _tokens(tokenizer: str, texts: pa.Array, end: bytes) -> list[bytes]:
+    return [ids + end for ids in encoder16(tokenizer).encode_all([t.as_buffer().to_pybytes() for t in texts])]
 
 
 def write_shards(docs: DataFrame, tokenizer: str, key: str, scratch: Scratch, length: int = 512, rows: int = 16_384, end_id: int = 49_407, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,7 +66,7 @@ def write_shards(docs: DataFrame, tokenizer: str, key: str, scratch: Scratch, le
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [-(-len(_tokens(tokenizer, t, end)) // stride) for t in b.column(2)]
+            n = [-(-len(ids) // stride) for part in range(0, b.num_rows, 512) for ids in _tokens(tokenizer, b.column(2).slice(part, 512), end)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["_id", "_h", "_n"])
 
     chunk = F.pmod(F.xxhash64("_id"), F.lit(CHUNKS)).cast("int")
@@ -87,8 +87,7 @@ def write_shards(docs: DataFrame, tokenizer: str, key: str, scratch: Scratch, le
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, who, piece, number, n, ids = b.slice(at, 256), [], [], [], [], []
-                for k, (t, start) in enumerate(zip(part.column(1), part.column(2).to_pylist())):
-                    data = _tokens(tokenizer, t, end)
+                for k, (data, start) in enumerate(zip(_tokens(tokenizer, part.column(1), end), part.column(2).to_pylist())):
                     for p, o in enumerate(range(0, len(data), stride)):
                         some = data[o : o + stride]
                         who.append(k), piece.append(p), number.append(start + p), n.append(len(some) // 2), ids.append(some + pad * ((stride - len(some)) // 2))
