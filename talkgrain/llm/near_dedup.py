@@ -50,7 +50,7 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 class Words:
     """64-bit hashes of words, kept for the words a worker has met."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __init__(self):
         self.known: dict[bytes, int] = {}

@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Entries a worker keeps before it starts over; bounds memory, never changes results.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 
 #: Bytes of text in which new runs are looked for at a time.
 STEP_BYTES = 1 << 20
