@@ -10,19 +10,76 @@ def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(e1, e2) - F.greatest(s1, s2))
 
 
+#: Shorter intervals share the cells of this level, which are about a microsecond wide.
+LEAST_LEVEL = -20
+
+
+def _level(start: Column, end: Column) -> Column:
+    """The level of cells, 2^level seconds wide, of which the interval meets two at most."""
+    return F.greatest(F.ceil(F.log2(end - start)), F.lit(LEAST_LEVEL)).cast("int")
+
+
+def _levels(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """One row: the distinct levels, which are as few as the binary digits of a time."""
+    return F.broadcast(intervals.filter(F.col(end) > F.col(start)).agg(F.collect_set(_level(F.col(start), F.col(end))).alias("_levels")))
+
+
+def _cells(level: Column, start: Column, end: Column) -> Column:
+    width = F.pow(F.lit(2.0), level)
+    return F.sequence(F.floor(start / width), F.floor(end / width))
+
+
+def _meeting(asr: DataFrame, s: DataFrame) -> DataFrame:
+    """Pairs of a call's intervals that overlap. They meet in cells of the longer one's level, where few others are, so a call may be of any length."""
+    a = asr.filter("end_sec > start_sec").withColumn("_own", _level(F.col("start_sec"), F.col("end_sec")))
+    b = s.filter("_e > _s").withColumn("_own", _level(F.col("_s"), F.col("_e")))
+    at_a, at_b = _cells(F.col("_l"), F.col("start_sec"), F.col("end_sec")), _cells(F.col("_l"), F.col("_s"), F.col("_e"))
+
+    def own(rows: DataFrame, cells: Column) -> DataFrame:
+        return rows.withColumn("_l", F.col("_own")).withColumn("_c", F.explode(cells)).drop("_own")
+
+    def other(rows: DataFrame, levels: DataFrame, cells: Column, first: int) -> DataFrame:
+        up = F.filter("_levels", lambda x: x >= F.col("_own") + first)
+        return rows.crossJoin(levels).withColumn("_l", F.explode(up)).withColumn("_c", F.explode(cells)).drop("_own", "_levels")
+
+    keys = ["call_id", "_l", "_c"]
+    longer_a = own(a, at_a).join(other(b, _levels(asr, "start_sec", "end_sec"), at_b, 0), keys)
+    longer_b = other(a, _levels(s, "_s", "_e"), at_a, 1).join(own(b, at_b), keys)
+    return longer_a.unionByName(longer_b).filter("_s < end_sec and _e > start_sec").drop("_l", "_c")
+
+
+def _nearest(asr: DataFrame, s: DataFrame) -> DataFrame:
+    """Each interval with the last speaker's before its midpoint and the first one after it: one of them is the nearest."""
+    mid = (F.col("_s") + F.col("_e")) / 2
+    # of equal midpoints the first position
+    spots = s.groupBy("call_id", mid.alias("_m")).agg(F.min(F.struct("_p", "speaker", "_s", "_e")).alias("_b"))
+    points = asr.withColumn("_m", (F.col("start_sec") + F.col("end_sec")) / 2).unionByName(spots, allowMissingColumns=True)
+    out = []
+    for m in (F.asc("_m"), F.desc("_m")):
+        w = Window.partitionBy("call_id").orderBy(m, F.col("_b").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+        found = points.withColumn("_near", F.last("_b", ignorenulls=True).over(w)).filter("_b is null and _near is not null")
+        out.append(found.select(*asr.columns, "_near.*"))
+    return out[0].unionByName(out[1])
+
+
 def align(asr: DataFrame, speakers: DataFrame) -> DataFrame:
     """Each asr segment (call_id, pos, start_sec, end_sec) with the speaker that overlaps it most, else the nearest by midpoint; ties go to the first."""
     s = speakers.select("call_id", F.col("pos").alias("_p"), F.col("name").alias("speaker"), F.col("start_sec").alias("_s"), F.col("end_sec").alias("_e"))
-    both = asr.join(s, "call_id")
+    asr = asr.select("call_id", "pos", "start_sec", "end_sec")
+    both = _meeting(asr, s).unionByName(_nearest(asr, s))
     both = both.withColumn("overlap_sec", overlap(F.col("start_sec"), F.col("end_sec"), F.col("_s"), F.col("_e")))
     far = F.abs((F.col("start_sec") + F.col("end_sec")) / 2 - (F.col("_s") + F.col("_e")) / 2)
-    order = Window.partitionBy("call_id", "pos").orderBy(F.desc("overlap_sec"), F.when(F.col("overlap_sec") > 0, 0.0).otherwise(far), "_p")
-    return both.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("call_id", "pos", "speaker", F.round("overlap_sec", 6).alias("overlap_sec"))
+    order = F.struct((-F.col("overlap_sec")).alias("o"), F.when(F.col("overlap_sec") > 0, 0.0).otherwise(far).alias("far"), "_p", "speaker")
+    return both.groupBy("call_id", "pos").agg(F.min(order).alias("_b")).select("call_id", "pos", "_b.speaker", F.round(-F.col("_b.o"), 6).alias("overlap_sec"))
 
 
 def covering(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points (call_id, at) and span_pos: the first span with start <= at < end, null if none."""
-    hit = points.join(spans.select("call_id", "pos", "start_sec", "end_sec"), "call_id").filter("at >= start_sec and at < end_sec").groupBy("call_id", "at").agg(F.min("pos").alias("span_pos"))
+    s = spans.filter("end_sec > start_sec").select("call_id", "pos", "start_sec", "end_sec", _level(F.col("start_sec"), F.col("end_sec")).alias("_l"))
+    s = s.withColumn("_c", F.explode(_cells(F.col("_l"), F.col("start_sec"), F.col("end_sec"))))
+    asked = points.select("call_id", "at").crossJoin(_levels(spans, "start_sec", "end_sec")).withColumn("_l", F.explode("_levels")).drop("_levels")
+    asked = asked.withColumn("_c", F.floor(F.col("at") / F.pow(F.lit(2.0), F.col("_l"))))
+    hit = asked.join(s, ["call_id", "_l", "_c"]).filter("at >= start_sec and at < end_sec").groupBy("call_id", "at").agg(F.min("pos").alias("span_pos"))
     return points.join(hit, ["call_id", "at"], "left")
 
 

@@ -50,7 +50,7 @@ def segments(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     out = rows.select(F.col("user_id").alias("call_id"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("event_type").alias("name"), start.alias("start_sec"), F.lead(start).over(w).alias("end_sec"))
-    return out.filter("end_sec is not null and pos < 40")
+    return out.filter("end_sec is not null")
 
 
 def segments_sql(kind: str, name: str) -> str:
