@@ -95,20 +95,19 @@ def recent(rows: DataFrame, owner: str, key: str, at: str, n: int = 5) -> DataFr
     return last.withColumn("rank", F.row_number().over(Window.partitionBy(owner).orderBy(F.desc(at)))).filter(F.col("rank") <= n)
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
-    """Single linkage: node, cluster (its smallest member), by passing the smallest label on until nothing changes."""
-    from pyspark.storagelevel import StorageLevel
-
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist(StorageLevel.DISK_ONLY)
-    label = nodes.select("node", F.col("node").alias("cluster"))
-    for _ in range(rounds):
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("cluster").alias("_m"))
-        after = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("cluster", F.coalesce("_m", "cluster")).alias("cluster"), (F.col("_m") < F.col("cluster")).alias("_changed"))
-        after = after.checkpoint()
-        label = after.select("node", "cluster")
-        if after.filter("_changed").isEmpty():
-            return label
-    raise ValueError("clusters are longer chains than the rounds allow")
+def linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Single linkage: node, cluster (its smallest member), by large-star and small-star steps until only stars are left; chains of any length end."""
+    edges = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").distinct()  # greater neighbours to the smallest one
+        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(low, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        edges = small.filter("a <> b").distinct().checkpoint()
+        centres = edges.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
+        if centres.filter("k > 1").isEmpty() and edges.select(F.col("a").alias("b")).join(edges.select("b"), "b", "left_semi").isEmpty():
+            return nodes.select("node").join(edges, F.col("node") == F.col("b"), "left").select("node", F.coalesce("a", "node").alias("cluster"))
 
 
 def violations(texts: DataFrame) -> DataFrame:

@@ -270,6 +270,11 @@ def frame_grid(spark, sf_dir):
 VECTOR_SQL = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 
 
+def _checkpoints(spark) -> None:
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+
+
 def _vectors(spark, sf_dir):
     return fx.read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
 
@@ -277,16 +282,17 @@ def _vectors(spark, sf_dir):
 @query(f"""WITH {VECTOR_SQL}, s AS (SELECT q.vec_id AS query_id, r.vec_id AS rule_id, list_cosine_similarity(q.v, r.v) AS c FROM e q JOIN e r ON q.vec_id % 2 = 1 AND r.vec_id % 2 = 0 AND r.label % 5 <> 0 AND r.vec_id < 1000)
     SELECT query_id, rule_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, rule_id)::BIGINT AS rank, round(c, 6) AS similarity FROM s QUALIFY rank <= 5""")
 def retrieved_rules(spark, sf_dir):
-    """TOP-01, JOIN-18, SIM-03, FLT-02: the five most similar active rules of each query; k is the feature. The first thousand vectors are the rule set, whose size is bounded by nature."""
+    """TOP-01, JOIN-18, SIM-03, FLT-02: the five most similar active rules of each query; k is the feature. Vectors of even ids are the rules, those of odd ids the queries."""
     v = _vectors(spark, sf_dir)
-    r = v.filter("vec_id % 2 = 0 and label % 5 <> 0 and vec_id < 1000").select(F.col("vec_id").alias("rule_id"), F.col("vec_id").alias("pos"), "vec")
+    r = v.filter("vec_id % 2 = 0 and label % 5 <> 0").select(F.col("vec_id").alias("rule_id"), F.col("vec_id").alias("pos"), "vec")
     return rules.retrieve(v.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("query_id"), "vec"), r, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()
 def rule_clusters(spark, sf_dir):
-    """CLU-01, CLU-03: complete linkage of a rule set; its invariant is tested."""
-    v = _vectors(spark, sf_dir).filter("vec_id < 300")
+    """CLU-01, CLU-03: complete linkage of all vectors; it is tested against brute force."""
+    _checkpoints(spark)
+    v = _vectors(spark, sf_dir)
     return rules.clusters(v.select(F.col("vec_id").alias("rule_id"), F.col("vec_id").alias("pos"), "vec"))
 
 

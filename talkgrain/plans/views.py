@@ -8,7 +8,7 @@ from talkgrain.functions import redact as R
 from talkgrain.functions import text as T
 from talkgrain.operators import analytics, lifecycle, rules, timelines, validators
 from talkgrain.plans import fixtures as fx
-from talkgrain.plans.registry import LANGUAGE, VERDICT_SQL, _verdicts, query
+from talkgrain.plans.registry import LANGUAGE, VERDICT_SQL, _checkpoints, _verdicts, query
 
 EVENT_LANGUAGE = LANGUAGE.format("event_id")
 
@@ -97,12 +97,9 @@ def recent_uploads(spark, sf_dir):
 @query("""WITH RECURSIVE p AS (SELECT o_orderkey AS a, o_custkey % 400 AS b FROM orders WHERE o_orderkey < 400), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), n AS (SELECT DISTINCT a AS node FROM e),
     w AS (SELECT node, node AS cluster FROM n UNION SELECT e.b, w.cluster FROM w JOIN e ON e.a = w.node) SELECT node, min(cluster) AS cluster FROM w GROUP BY 1""")
 def single_linkage(spark, sf_dir):
-    """CLU-02 on a graph of bounded size: a rule set's links."""
-    from talkgrain.plans.fixtures import read
-
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    p = read(spark, sf_dir, "orders").filter("o_orderkey < 400").selectExpr("o_orderkey as a", "o_custkey % 400 as b")
+    """CLU-02 on the links of all orders."""
+    _checkpoints(spark)
+    p = fx.read(spark, sf_dir, "orders").selectExpr("o_orderkey as a", "o_custkey % 400 as b")
     nodes = p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
     return analytics.linked(p, nodes)
 
@@ -110,8 +107,8 @@ def single_linkage(spark, sf_dir):
 @query("""WITH r AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 200)
     SELECT a.vec_id AS a, b.vec_id AS b FROM r a JOIN r b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.7""")
 def similar_rules(spark, sf_dir):
-    """JOIN-19, AGG-30 over one rule set, whose size is bounded by nature."""
-    v = fx.read(spark, sf_dir, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("rule_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    """JOIN-19, AGG-30 over all vectors."""
+    v = fx.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rule_id"), F.col("embedding").cast("array<double>").alias("vec"))
     return rules.similar_pairs(v).select("a", "b")
 
 
