@@ -417,7 +417,7 @@ def queue_view(spark, sf_dir):
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 def pending_keys(spark, sf_dir):
     """JOIN-11, JOIN-12, SET-04, FLT-03."""
-    return fx.read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey").join(fx.read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+    return fx.read(spark, sf_dir, "orders").select("o_orderkey").join(fx.read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
 
 
 @query("SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R'")

@@ -183,8 +183,8 @@ def usage_totals(spark, sf_dir):
     j AS (SELECT t.*, CASE WHEN p.s < t.e AND p.e > t.s THEN p.s END AS ps, CASE WHEN p.s < t.e AND p.e > t.s THEN p.e END AS pe FROM t JOIN p USING (call_id)) SELECT call_id, pos, 1 + coalesce((ps > s)::INT + (pe < e)::INT, 0) AS pieces FROM j WHERE ps IS NOT NULL""")
 def cut_turns(spark, sf_dir):
     """SEG-04, JOIN-22."""
-    t = fx.read(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").selectExpr("l_orderkey as call_id", "l_linenumber as pos", "l_linenumber * 100 as start", "l_linenumber * 100 + 80 as end")
-    p = fx.read(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").selectExpr("o_orderkey as call_id", "'x' as span_id", "150 + o_custkey % 300 as start", "190 + o_custkey % 300 as end")
+    t = fx.read(spark, sf_dir, "lineitem").selectExpr("l_orderkey as call_id", "l_linenumber as pos", "l_linenumber * 100 as start", "l_linenumber * 100 + 80 as end")
+    p = fx.read(spark, sf_dir, "orders").selectExpr("o_orderkey as call_id", "'x' as span_id", "150 + o_custkey % 300 as start", "190 + o_custkey % 300 as end")
     t = t.selectExpr("call_id", "pos", "cast(start as bigint) as start", "cast(end as bigint) as end").distinct()
     return timelines.cut_turn(t, p).groupBy("call_id", "pos").agg(F.count(F.lit(1)).cast("int").alias("pieces"))
 
@@ -212,9 +212,9 @@ def repeated_keys(spark, sf_dir):
 @query(r"""SELECT doc_id, word AS what, 'mixed' AS kind FROM (SELECT doc_id, unnest(regexp_split_to_array(text || ' aبc', '\s+')) AS word FROM documents WHERE doc_id % 10 = 0) WHERE word ~ '[\x{0600}-\x{06FF}]' AND word ~ '[A-Za-z]'
     UNION ALL SELECT doc_id, 'كده', 'banned' FROM documents WHERE doc_id % 20 = 0""")
 def dialect_violations(spark, sf_dir):
-    """TXT-09, TXT-10: texts of every tenth document get a planted word; those of every twentieth a banned one."""
-    d = fx.read(spark, sf_dir, "documents").filter("doc_id % 10 = 0")
-    t = F.concat(F.col("text"), F.lit(" aبc"), F.when(F.col("doc_id") % 20 == 0, " كده").otherwise(""))
+    """TXT-09, TXT-10: every document is scanned; texts of every tenth get a planted word, those of every twentieth a banned one."""
+    d = fx.read(spark, sf_dir, "documents")
+    t = F.concat(F.col("text"), F.when(F.col("doc_id") % 10 == 0, " aبc").otherwise(""), F.when(F.col("doc_id") % 20 == 0, " كده").otherwise(""))
     return analytics.violations(d.select(F.col("doc_id").alias("call_id"), t.alias("text"))).withColumnRenamed("call_id", "doc_id")
 
 
