@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows (built-in functions only).
 
 Words are lower-cased runs of letters and digits; shingles are five words; their weight is how often they occur.
-An item with w words is held against document windows of w words, its own size.
+An item with w words is held against document windows of w words, its own size, and against the whole of a shorter document.
 
 1. A window without any of the item's shingles has similarity 0, so only windows around a shared shingle are looked at;
    this loses nothing.
@@ -74,7 +74,7 @@ def _block(fp: str, k: int) -> Column:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row per document and item found in it: id, item, similarity (of the best window), start_word, n_words."""
+    """A row per document and item found in it: id, item, similarity (of the best window), start_word, n_words (the item's)."""
     scratch = Scratch(docs.sparkSession, "leaks")
     # the items: distinct texts, their shingles, fingerprints and block values
     named = items.select(F.col(item_col).alias("_item"), words_of(item_text_col).alias("_w")).filter(F.size("_w") >= WORDS)
@@ -90,7 +90,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     sizes = scratch.save(each.select("h", "item", "m").distinct(), "shingles")
     # 1. places where a document has a shingle of an item
     rows = docs.select(F.col(id_col).alias("_id"), shingles_of(words_of(text_col)).alias("_g"))
-    places = rows.select("_id", F.posexplode("_g").alias("pos", "h"))
+    places = rows.select("_id", F.size("_g").alias("_s"), F.posexplode("_g").alias("pos", "h"))
     known, small = checked(sizes.select("h").distinct())
     if small:
         places = places.join(known, "h", "left_semi")
@@ -99,7 +99,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     places = scratch.save(places, "places")
     # windows that start so that they hold the place; distinct per document and window size
     by_size, _ = checked(scratch.save(sizes.select("h", "m").distinct(), "sizes"))
-    span = F.sequence(F.greatest(F.col("pos") - F.col("m") + WORDS, F.lit(0)), F.col("pos"))
+    last = F.greatest(F.col("_s") - F.col("m") + WORDS - 1, F.lit(0))  # a document shorter than the window has one, at its start
+    span = F.sequence(F.least(F.greatest(F.col("pos") - F.col("m") + WORDS, F.lit(0)), last), F.least(F.col("pos"), last))
     starts = places.join(by_size, "h").select("_id", "m", F.explode(span).alias("start")).distinct()
     # 2. the shingles of these windows, and their fingerprints
     touched = scratch.save(starts.groupBy("_id", "m").agg(F.array_sort(F.collect_set("start")).alias("starts")), "windows")
@@ -107,7 +108,6 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     need, _ = checked(ids)
     whole = rows.join(need, F.col("_id").eqNullSafe(F.col("_need")), "left_semi").groupBy("_id").agg(F.first("_g").alias("_g"))
     windows = touched.join(whole, "_id").select("_id", "m", "_g", F.explode("starts").alias("start"))
-    windows = windows.filter(F.col("start") + F.col("m") - WORDS < F.size("_g"))
     windows = windows.select("_id", "m", "start", F.slice("_g", F.col("start") + 1, F.col("m") - WORDS + 1).alias("win"))
     printed = windows.select("_id", "m", "start", "win", F.explode("win").alias("h")).groupBy("_id", "m", "start").agg(*lanes(F.col("h")), F.count(F.lit(1)).alias("n"), F.collect_list("h").alias("win"))
     printed = printed.select("_id", "m", "start", "win", fingerprint(F.col("n")).alias("fp"))
