@@ -2,8 +2,8 @@
 
 Found values are validated, then replaced inside the text:
 
-- card numbers (13 to 19 digits): the digits but the check digit are permuted by a keyed Feistel network over their
-  number, and the check digit is made anew if the old one was right, so a valid number stays valid;
+- card numbers (13 to 19 digits whose last is their Luhn digit; others are no cards and stay): the digits but the check
+  digit are permuted by a keyed Feistel network over their number, and the check digit is made anew;
 - phone numbers (7 to 15 digits after validation): the digits after the country code are permuted, separators stay;
 - dates (ISO or day/month/year, real calendar days of 1900 to 2099): the day's number is permuted among these days by
   cycle-walking, and written as the old one was;
@@ -73,6 +73,10 @@ def check_digit(digits: Column) -> Column:
     return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
+def luhn_ok(digits: Column) -> Column:
+    return let(digits, lambda d: let(F.substring(d, F.lit(1), F.length(d) - 1), check_digit) == F.substring(d, -1, 1))
+
+
 def refilled(shape: Column, digits: Column) -> Column:
     """shape with its digits replaced by others, in order."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
@@ -94,9 +98,8 @@ def _tag(v: Column, key: str, kind: str) -> Column:
 
 def _card(v: Column, key: str) -> Column:
     def swapped(d: Column) -> Column:
-        body, last = F.substring(d, F.lit(1), F.length(d) - 1), F.substring(d, -1, 1)
-        valid = let(body, lambda x: check_digit(x)) == last
-        return let(permuted_digits(body, key, "card"), lambda new: F.concat(new, F.when(valid, check_digit(new)).otherwise(last)))
+        body = F.substring(d, F.lit(1), F.length(d) - 1)
+        return let(permuted_digits(body, key, "card"), lambda new: F.concat(new, check_digit(new)))
 
     return let(let(_digits(v), swapped), lambda new: refilled(v, new))
 
@@ -143,7 +146,7 @@ def kind_of(v: Column) -> Column:
         .when(v.rlike(r"^\d+\.\d+\.\d+\.\d+$"), F.when(F.forall(_octets(v), lambda x: x < 256), F.lit("ip")))
         .when(v.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"), F.when(_day(v).isNotNull(), F.lit("date")))
         .when(full("phone") & n.between(7, 15), F.lit("phone"))
-        .when(full("card") & n.between(13, 19), F.lit("card"))
+        .when(full("card") & n.between(13, 19), F.when(luhn_ok(_digits(v)), F.lit("card")))
     )
 
 
