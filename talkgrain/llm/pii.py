@@ -9,7 +9,7 @@ Found values are validated, then replaced inside the text:
   cycle-walking, and written as the old one was;
 - addresses of four numbers 0 to 255: the 32 bits are permuted;
 - mail addresses: a keyed digest names the same mailbox everywhere;
-- keys and passwords: a keyed digest in brackets.
+- keys and passwords, their key words in any case: a keyed digest in brackets.
 
 Equal values of a kind give equal pseudonyms in all documents, different ones give different ones (numbers, dates,
 addresses: exactly; digests: to 64 bits). Defined results: a null text stays null with nothing found; a text without
@@ -29,7 +29,7 @@ FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 #: What is looked for, in order of precedence at a place.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"AKIA[0-9A-Z]{16}\b|\b(?:password|passwd|token|secret|api_key)\s?[=:]\s?\"?[0-9A-Za-z_-]{12,}\"?",
+    "secret": r"AKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|token|secret|api_key)\s?[=:]\s?\"?[0-9A-Za-z_-]{12,}\"?",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
     "date": r"(?<![\d/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])",
     "card": r"(?<!\d)(?<!\d\.)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
@@ -167,7 +167,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text = F.col(text_col)
     values = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))
     # texts without a digit followed by two more, an @ or a key word hold none of the patterns; the others are searched
-    rows = docs.withColumn("_v", F.when(text.rlike(r"[0-9][^0-9a-zA-Z]{0,2}[0-9]|@|AKIA|passw|token|secret|api_key"), values))
+    rows = docs.withColumn("_v", F.when(text.rlike(r"[0-9][^0-9a-zA-Z]{0,2}[0-9]|@|AKIA|(?i:passw|token|secret|api_key)"), values))
     found = F.transform("_v", lambda v: F.struct(v.alias("v"), kind_of(v).alias("k")))
     rows = rows.withColumn("_f", F.when(F.size("_v") > 0, found))
     pieces = F.split(text, ANY, -1)

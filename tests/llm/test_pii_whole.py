@@ -24,3 +24,9 @@ def test_only_valid_numbers_are_cards(spark):
         assert (r.n_found, r.kinds) == ((1, ["card"]) if ok else (0, []))
         assert luhn("".join(filter(str.isdigit, new))) if ok else new == old
     assert 0 < valid < len(numbers)
+
+
+def test_key_words_of_secrets_in_any_case(spark):
+    texts = [f"{w}{sep}{value}" for w in ("PASSWORD", "Passwd", "TOKEN", "Secret", "API_KEY", "token") for sep, value in (("=", "abcdefghijklmnop"), (' = "', 'ABCDEFGHIJKL_MNOP"'))]
+    for text, r in zip(texts, run(spark, texts)):
+        assert (r.n_found, r.kinds) == (1, ["secret"]) and "mnop" not in r.text.lower(), text
