@@ -13,7 +13,8 @@ An item with w words is held against document windows of w words, its own size,
 
 RADIUS covers windows at the threshold with a margin of more than 4.5 standard deviations; exact passages have distance 0.
 Defined results: items of fewer than five words have no shingle and are not looked for; null or empty texts match
-nothing; rows that repeat an id are one document; an item listed twice is reported under each of its ids; without items
+nothing; rows that repeat an id, null included, are reported under it once, by the best
+window of all their texts; an item listed twice is reported under each of its ids; without items
 or documents the result is empty.
 """
 
@@ -73,9 +74,13 @@ def _block(fp: str, k: int) -> Column:
     return F.shiftrightunsigned(F.col(fp), BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row per document and item found in it: id, item, similarity (of the best window), start_word, n_words (the item's)."""
-    scratch = Scratch(docs.sparkSession, "leaks")
+def _key(id_col: str, text_col: str) -> Column:
+    """Rows that share id and text are one; a null id and different texts of an id have keys of their own."""
+    return F.sha2(F.to_json(F.struct(F.col(id_col).alias("id"), F.sha2(text_of(text_col), 256).alias("text"))), 256)
+
+
+def _hits(scratch: Scratch, docs: DataFrame, items: DataFrame, threshold: float, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """A row per key of a document and text of an item found in it: _id, _doc, item, m, similarity, start_word; and every id of an item's text."""
     # the items: distinct texts, their shingles, fingerprints and block values
     named = items.select(F.col(item_col).alias("_item"), words_of(item_text_col).alias("_w")).filter(F.size("_w") >= WORDS)
     named = scratch.save(named.select("_item", F.size("_w").alias("m"), shingles_of(F.col("_w")).alias("g")), "items")
@@ -89,7 +94,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     lookup = scratch.save(near.select("item", "m", "item_fp", "block", value.alias("value")), "lookup")
     sizes = scratch.save(each.select("h", "item", "m").distinct(), "shingles")
     # 1. places where a document has a shingle of an item
-    rows = docs.select(F.col(id_col).alias("_id"), shingles_of(words_of(text_col)).alias("_g"))
+    keyed = docs.select(F.col(id_col).alias("_doc"), _key(id_col, text_col).alias("_id"), F.col(text_col).alias("_t"))
+    rows = keyed.select("_doc", "_id", shingles_of(words_of("_t")).alias("_g"))
     places = rows.select("_id", F.size("_g").alias("_s"), F.posexplode("_g").alias("pos", "h"))
     known, small = checked(sizes.select("h").distinct())
     if small:
@@ -106,7 +112,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     touched = scratch.save(starts.groupBy("_id", "m").agg(F.array_sort(F.collect_set("start")).alias("starts")), "windows")
     ids = scratch.save(touched.select(F.col("_id").alias("_need")).distinct(), "ids")
     need, _ = checked(ids)
-    whole = rows.join(need, F.col("_id").eqNullSafe(F.col("_need")), "left_semi").groupBy("_id").agg(F.first("_g").alias("_g"))
+    whole = rows.join(need, F.col("_id").eqNullSafe(F.col("_need")), "left_semi").groupBy("_id").agg(F.first("_g").alias("_g"), F.first("_doc").alias("_doc"))
+    whole = scratch.save(whole, "whole")
     windows = touched.join(whole, "_id").select("_id", "m", "_g", F.explode("starts").alias("start"))
     windows = windows.select("_id", "m", "start", F.slice("_g", F.col("start") + 1, F.col("m") - WORDS + 1).alias("win"))
     printed = windows.select("_id", "m", "start", "win", F.explode("win").alias("h")).groupBy("_id", "m", "start").agg(*lanes(F.col("h")), F.count(F.lit(1)).alias("n"), F.collect_list("h").alias("win"))
@@ -127,15 +134,26 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     shared = F.aggregate(F.array_distinct("g"), F.lit(0), lambda s, x: s + F.least(of(F.col("g"), x), of(F.col("win"), x)))
     pairs = pairs.withColumn("_shared", shared).withColumn("similarity", F.col("_shared") / (F.size("g") + F.size("win") - F.col("_shared")))
     best = pairs.filter(F.col("similarity") >= threshold).groupBy("_id", "item", "m").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
-    found = scratch.save(best.select("_id", "item", "m", "b.similarity", (-F.col("b.s")).alias("start_word")), "found")
-    scratch.drop("places", "windows")
+    best = best.select("_id", "item", "m", "b.similarity", (-F.col("b.s")).alias("start_word")).join(whole.select("_id", "_doc"), "_id")
+    found = scratch.save(best, "hits")
+    scratch.drop("places", "windows", "whole")
     # every id of an item's text
-    same = named.join(grams, ["m", "g"]).select("item", F.col("_item"))
-    return found.join(same, "item").select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "similarity", "start_word", F.col("m").alias("n_words"))
+    return found, named.join(grams, ["m", "g"]).select("item", F.col("_item"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row per document and item found in it: id, item, similarity (of the best window), start_word, n_words (the item's)."""
+    scratch = Scratch(docs.sparkSession, "leaks")
+    hits, same = _hits(scratch, docs, items, threshold, id_col, text_col, item_col, item_text_col)
+    # of the texts of an id the one with the best window
+    best = hits.groupBy("_doc", "item", "m").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("s"))).alias("b"))
+    found = scratch.save(best.select("_doc", "item", "m", "b.similarity", (-F.col("b.s")).alias("start_word")), "found")
+    return found.join(same, "item").select(F.col("_doc").alias(id_col), F.col("_item").alias(item_col), "similarity", "start_word", F.col("m").alias("n_words"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs in which no item is found."""
-    ids = contaminated(docs, items, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_bad")).distinct()
-    bad, _ = checked(Scratch(docs.sparkSession, "leak-ids").save(ids, "ids"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs in whose text no item is found; other rows that share the id, or have none either, stay."""
+    scratch = Scratch(docs.sparkSession, "leak-ids")
+    hits, _ = _hits(scratch, docs, items, THRESHOLD, id_col, text_col, "item_id", "text")
+    bad, _ = checked(scratch.save(hits.select(F.col("_id").alias("_bad")).distinct(), "keys"))
+    return docs.join(bad, _key(id_col, text_col) == F.col("_bad"), "left_anti")

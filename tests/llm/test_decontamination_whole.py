@@ -36,3 +36,15 @@ def test_documents_shorter_than_the_item(spark):
     assert all(r.n_words == len(items[k][1]) and r.start_word + min(r.n_words, len(docs[i])) <= len(docs[i]) for (i, k), r in got.items())
     assert sum(len(docs[i]) < len(items[k][1]) for i, k in want) >= 10
     assert {r.doc_id for r in drop_contaminated(d, b).collect()} == set(range(len(docs))) - {i for i, _ in want}
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    leak = text(20)
+    rows = [(None, text(30)), (None, leak), (1, text(30)), (1, text(5) + " " + leak), (1, text(40)), (2, leak), (2, leak), (3, text(30))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(7, leak)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.similarity, r.start_word) for r in contaminated(d, b).collect())
+    assert got == [(0, 7, 1.0, 0), (1, 7, 1.0, 5), (2, 7, 1.0, 0)]
+    assert sorted((r.doc_id or 0, r.text) for r in drop_contaminated(d, b).collect()) == sorted((i or 0, w) for i, w in rows if leak not in w)
