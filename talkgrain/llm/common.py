@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,28 +12,70 @@ from pyspark.sql import functions as F
 #: ASCII white space as every contract of this subpackage defines it.
 SPACE = "[\\x20\\x09-\\x0D]"
 
-#: Rows that a size-checked side may have to be sent to every executor; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that a side may have to be sent to every executor; beyond them the join shuffles.
+BROADCAST_BYTES = 64 << 20
+
+#: What a row costs in the hash table of a broadcast besides its strings and arrays.
+ROW_COST = 96
 
 #: A group is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot groups.
 HOT_SHARE = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (tests, one machine) one under the warehouse."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, as in tests on one machine, one under the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Scopes that are open, innermost last; each holds the scratch folders made inside.
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Deletes the scratch tables that operators make inside. What is kept of their results must have been written before the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for made in _scopes.pop():
+            made.drop("")
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most for what is run inside: for rows that hold whole texts or sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores put before it as long as the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 class Scratch:
     """Intermediate tables in the shared folder: they cut lineage, survive executors and can be dropped when used up."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/talkgrain/{name}-{uuid.uuid4().hex}"
+        if _scopes:
+            _scopes[-1].append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -42,6 +85,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
+        """Deletes tables; the empty name is all of them."""
         jvm = self.spark._jvm
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(self.path(table))
@@ -58,9 +102,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """A scratch table, marked for broadcast if it has at most `limit` (narrow) rows; and whether it is."""
-    small = df.count() <= limit
+def checked(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """A scratch table, marked for broadcast if it takes at most `limit` bytes; and whether it does."""
+    size = F.lit(ROW_COST).cast("long")
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif kind.startswith("array<"):
+            size += 8 * F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0))
+    small = (df.agg(F.sum(size)).first()[0] or 0) <= limit
     return (F.broadcast(df) if small else df), small
 
 

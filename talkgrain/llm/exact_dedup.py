@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgrain.llm.common import Scratch, checked, join_groups, text_of
+from talkgrain.llm.common import Scratch, checked, fresh, join_groups, text_of
 
 SALTS = 16
 
@@ -60,10 +60,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch = Scratch(docs.sparkSession, "exact-drop")
     decided = exact_dedup(docs, id_col, text_col).filter("not kept")
     same = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    lost = scratch.save(decided.select(F.col(id_col).alias("_lid"), F.unhex("text_sha256").alias("_ld"), same.alias("_again")), "lost")
-    losers, _ = checked(lost.filter("not _again"))
-    rows = docs.withColumn("_digest", F.unhex(F.sha2(normal(text_col), 256)))
-    out = rows.join(losers, F.col(id_col).eqNullSafe(F.col("_lid")) & (F.col("_digest") == F.col("_ld")), "left_anti")
+    lid, ld = fresh(docs, "_lid"), fresh(docs, "_ld")
+    lost = scratch.save(decided.select(F.col(id_col).alias(lid), F.unhex("text_sha256").alias(ld), same.alias("_again")), "lost")
+    losers, _ = checked(lost.filter("not _again").drop("_again"))
+    digest = fresh(docs, "_digest")
+    rows = docs.withColumn(digest, F.unhex(F.sha2(normal(text_col), 256)))
+    out = rows.join(losers, F.col(id_col).eqNullSafe(F.col(lid)) & (F.col(digest) == F.col(ld)), "left_anti")
     if not lost.filter("_again").isEmpty():  # rows that repeat id and text
-        out = out.dropDuplicates([id_col, "_digest"])
+        out = out.dropDuplicates([id_col, digest])
     return out.select(docs.columns)

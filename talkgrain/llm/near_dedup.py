@@ -5,18 +5,20 @@ Register i of its sketch is an exponentially spaced, truncated minimum: with x t
 the i-th hash, taken as an exponential variate, it is floor(1 - log_BASE(x)) kept within 0..255. Registers merge by
 maximum, and equal registers grow likelier with similarity.
 
-1. One scan makes sketch, set size and set digest of every whole text; equal sets become one class at once.
+1. One scan makes sketch, set size and set digest of every whole text; equal sets become one class at once. A class has a
+   number of its own, whatever ids its rows have, and its set is fetched by id and digest.
 2. Bands of ROWS registers put classes into buckets. In each bucket all members are compared with one pivot, which
    differs from band to band, so a large group of copies costs a row per member and band, not one per pair.
 3. A compared pair stays if the joint likelihood of its registers, given both set sizes, does not speak against the
    threshold; then both full sets are fetched and intersected, and real links are kept.
 4. Components of the links found so far are formed. A bucket that still spans more than one component is searched in
-   full: in bounded blocks, all its pairs across components go through likelihood and verification as well, each pair in
-   the first bucket that the two share. Pairs inside a component cannot change anything any more, so no link of the
+   full: in blocks bounded by members and by elements, all its pairs across components go through likelihood and
+   verification as well, each pair in the first bucket that the two share. Pairs inside a component cannot change anything any more, so no link of the
    buckets is lost; and only members and real links leave a block, never its pairs.
 
 Defined results: null, empty or blank text has the empty set, links with nothing and stays; rows that repeat an id are
-one document of the class; a null id is its own component and stays; an empty table gives an empty result.
+one document, and each of their texts has a component; a component is named by its smallest id, of any type; a null id
+is its own component and stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkgrain.llm.common import Scratch, checked, join_groups
+from talkgrain.llm import workers
+from talkgrain.llm.common import Scratch, batches_of, checked, fresh, join_groups
 
 WORDS = 5
 ROWS, BANDS = 5, 24
@@ -38,8 +41,10 @@ BASE = 1.1
 ZERO = 20
 #: Log-likelihood by which the threshold may be less likely than the best similarity before a pair is given up.
 DOUBT = 9.0
-#: Members that a task compares with each other at a time.
-BLOCK = 512
+#: Members that a task compares with each other at a time are two parts of a bucket; a part has so many members and elements on average.
+BLOCK, ELEMENTS = 512, 1 << 21
+#: Rows with whole sets that are handed to Python at a time.
+SETS = 256
 
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLY = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -70,6 +75,7 @@ class Words:
 
 
 _words = Words()
+workers.keeps("words", _words.known.clear)
 #: Lower-cases A-Z and nothing else.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -121,38 +127,59 @@ def plausible(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarr
     return (most[:, 0] >= limit - 1e-9) & (near >= likely.max(1) - DOUBT)
 
 
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def digest(elements: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(elements.tobytes())
+
+
 def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, n (set size), digest (of the set), sketch."""
+    """_id, _h (hash of the text), n (set size), digest (of the set), sketch."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
+        workers.take_over("words")
         for b in batches:
-            n, digest, registers = [], [], []
-            for t in b.column(1):
+            n, digests, registers = [], [], []
+            for t in b.column(2):
                 s = shingles(t.as_buffer().to_pybytes())
                 n.append(len(s))
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                digests.append(digest(s) if len(s) else None)
                 registers.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(registers, pa.binary())], ["_id", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], ["_id", "_h", "n", "digest", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    return rows.mapInArrow(scan, f"_id {kind}, n long, digest binary, sketch binary")
+    return _texts(docs, id_col, text_col).mapInArrow(scan, f"_id {kind}, _h long, n long, digest binary, sketch binary")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(text_col, F.lit(""))
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text"))
 
 
 def _bucket_rows(classes: DataFrame) -> DataFrame:
-    """bucket (64-bit hash of band number and its registers), band, c: a row for each band of a class."""
+    """bucket (64-bit hash of band number and its registers), band, c, n: a row for each band of a class."""
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * ROWS + 1, ROWS)) for k in range(BANDS)])
-    return classes.select("c", F.posexplode(keys).alias("band", "bucket"))
+    return classes.select("c", "n", F.posexplode(keys).alias("band", "bucket"))
 
 
-def _pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's pivot: the member whose id is nearest to the bucket's hash by exclusive or."""
+def _pivot_pairs(rows: DataFrame, total: int) -> DataFrame:
+    """Each member of a bucket with the bucket's pivot: the member whose number is nearest to the bucket's hash by exclusive or."""
     mask = F.xxhash64("bucket")
     pivots = rows.groupBy("bucket").agg(F.min(F.col("c").bitwiseXOR(mask)).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    pivots = pivots.select("bucket", F.col("m").bitwiseXOR(mask).alias("p"))
-    return rows.join(pivots, "bucket").filter("c <> p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
+    pivots = pivots.select("bucket", F.col("m").bitwiseXOR(mask).alias("p"), "k")
+    met = join_groups(rows, pivots, "bucket", "c", "k", total)
+    return met.filter("c <> p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
@@ -172,12 +199,13 @@ def _likely(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
     return both.mapInArrow(judge, "a long, b long")
 
 
-def _open_blocks(rows: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+def _open_blocks(rows: DataFrame, labels: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     """Members, block by block, of the buckets that span more than one component."""
-    named = rows.join(labels, "c", "left").select("c", "bucket", "band", F.coalesce("label", "c").alias("label"))
-    spans = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi")
-    parts = F.ceil(F.col("k") / BLOCK).cast("int")
-    some = named.join(spans.select("bucket", parts.alias("parts")), "bucket").join(classes.select("c", "n", "sketch"), "c")
+    named = rows.join(labels, "c", "left").select("c", "n", "bucket", "band", F.coalesce("label", "c").alias("label"))
+    spans = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).filter("lo <> hi")
+    parts = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("all") / ELEMENTS)).cast("int")
+    some = join_groups(named, spans.select("bucket", parts.alias("parts"), "k"), "bucket", "c", "k", total).filter("parts is not null")
+    some = some.join(classes.select("c", "sketch"), "c")
     some = some.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     # a block meets itself and every other one once: a member of part p goes to the blocks (p, q) of all q
     some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -228,6 +256,11 @@ def _involved(blocks: DataFrame, limit: float) -> DataFrame:
     return _dealt(blocks).mapInArrow(search, blocks.schema)
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = shared(x, y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _block_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: real links of the blocks' members; those inside what is connected already are left out."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -236,7 +269,6 @@ def _block_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for block in _runs(batches, 3):
             c, label = block.column(4).to_pylist(), block.column(5).to_pylist()
             full = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column(9)]
-            quick = [set(x.tolist()) if len(x) <= 2000 else None for x in full]
             up: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -251,8 +283,7 @@ def _block_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     x, y = root(label[i]), root(label[j])
                     if x == y:
                         continue
-                    shared = len(quick[i] & quick[j]) if quick[i] is not None and quick[j] is not None else len(np.intersect1d(full[i], full[j], assume_unique=True))
-                    if 100 * shared >= percent * (len(full[i]) + len(full[j]) - shared):
+                    if _linked(full[i], full[j], percent):
                         up[max(x, y)] = min(x, y)
                         found.append({"a": min(c[i], c[j]), "b": max(c[i], c[j])})
             if found:
@@ -316,62 +347,98 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return leaves.unionByName(edges.select(F.col("a").alias("c"), F.col("a").alias("label")).distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept. Links: 100 x shared >= percent x all shingles of the two."""
-    scratch, limit = Scratch(docs.sparkSession, "near"), percent / 100
-    kind = docs.schema[id_col].dataType.simpleString()
-    profiles = scratch.save(profile(docs, id_col, text_col), "profiles")
-    real = profiles.filter(F.col("digest").isNotNull() & F.col("_id").isNotNull())
-    classes = scratch.save(real.groupBy("digest", "n", "sketch").agg(F.min("_id").cast("long").alias("c"), F.count(F.lit(1)).alias("members")), "classes")
-    rows = _bucket_rows(classes)
+class _Classes:
+    """The classes of equal sets of some documents, and what links them."""
+
+    def __init__(self, docs: DataFrame, percent: int, id_col: str, text_col: str):
+        self.scratch, self.percent, self.limit = Scratch(docs.sparkSession, "near"), percent, percent / 100
+        self.texts = _texts(docs, id_col, text_col)
+        self.profiles = self.scratch.save(profile(docs, id_col, text_col), "profiles")
+        real = self.profiles.filter(F.col("digest").isNotNull() & F.col("_id").isNotNull())
+        made = real.groupBy("digest", "n", "sketch").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("members"))
+        self.classes = self.scratch.save(made.withColumn("c", F.monotonically_increasing_id()), "classes")
+        #: Rows that repeat id and set would repeat a fetched set.
+        self.repeated = not real.groupBy("_id", "digest").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty()
 
-    def full_sets(ids: DataFrame, name: str) -> DataFrame:
-        """c, s (shingle hashes): the full sets of some ids."""
-        need, _ = checked(scratch.save(ids.select(F.col("c").alias("_need")).distinct(), f"{name}-ids"))
+    def sets(self, wanted: DataFrame, name: str) -> DataFrame:
+        """c, s (shingle hashes): the full sets of some classes, from the text of each one's smallest id."""
+        need = self.classes.join(wanted.select("c").distinct(), "c", "left_semi").select(F.col("first").alias("_need"), "digest", "c")
+        need, _ = checked(self.scratch.save(need, f"{name}-ids"))
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            workers.take_over("words")
+            for b in batches:
+                keep, s = [], []
+                for k, (t, d) in enumerate(zip(b.column(2), b.column(1).to_pylist())):
+                    x = shingles(t.as_buffer().to_pybytes())
+                    if len(x) and digest(x) == d:  # else another text of the id
+                        keep.append(k), s.append(x.tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(s, pa.binary())], ["c", "s"])
+
+        found = self.texts.join(need, F.col("_id") == F.col("_need")).select("c", "digest", "_text").mapInArrow(fetch, "c long, s binary")
+        with batches_of(self.scratch.spark, SETS):
+            return self.scratch.save(found.distinct() if self.repeated else found, f"{name}-sets")
+
+    def checked_pairs(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are links."""
+        percent = self.percent
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, 512):
-                    p = b.slice(at, 512)
-                    s = [shingles(t.as_buffer().to_pybytes()).tobytes() for t in p.column(1)]
-                    yield pa.RecordBatch.from_arrays([p.column(0), pa.array(s, pa.binary())], ["c", "s"])
+                sets = ((np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(k)) for k in (2, 3))
+                ok = [_linked(x, y, percent) for x, y in zip(*sets)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        found = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("c")), "pivot")
+        one, two = (found.select(F.col("c").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+        with batches_of(self.scratch.spark, SETS):
+            return self.scratch.save(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
+
+    def labels(self) -> DataFrame:
+        """c, label (the smallest number of its component) for the classes that have links."""
+        scratch = self.scratch
+        rows, total = _bucket_rows(self.classes), self.classes.count() * BANDS
+        pairs = scratch.save(_likely(_pivot_pairs(rows, total), self.classes, self.limit), "pairs")
+        links = self.checked_pairs(pairs)
+        scratch.drop("pivot-sets", "pivot-ids", "pairs")
+        labels = scratch.save(components(links, scratch, "first"), "first")
+        blocks = scratch.save(_involved(_open_blocks(rows, labels, self.classes, total), self.limit), "blocks")
+        sets = self.sets(blocks, "block")
+        with batches_of(scratch.spark, SETS):
+            more = scratch.save(_block_links(blocks, sets, self.percent), "more")
+        scratch.drop("block-sets", "block-ids", "blocks", "links")
+        if more.isEmpty():
+            return labels
+        stars = labels.filter("c <> label").select(F.col("label").alias("a"), F.col("c").alias("b"))
+        return scratch.save(components(stars.unionByName(more), scratch, "second"), "labels")
 
-        texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-        texts = texts.join(need, F.col("_id") == F.col("_need"), "left_semi")
-        return scratch.save(texts.mapInArrow(sets, "c long, s binary").dropDuplicates(["c"]), f"{name}-sets")
+    def named(self) -> DataFrame:
+        """digest, component (its smallest id), members: a row per class."""
+        linked = self.classes.select("c", "first").join(self.labels(), "c")
+        groups = self.scratch.save(linked.groupBy("label").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("k")), "components")
+        total = groups.agg(F.sum("k")).first()[0] or 0
+        mine = join_groups(linked, groups, "label", "c", "k", total).select("c", "component")
+        return self.classes.join(mine, "c", "left").select("digest", F.coalesce("component", "first").alias("component"), "members")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    pairs = scratch.save(_likely(_pivot_pairs(rows), classes, limit), "pairs")
-    found = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")), "pivot")
-    one = found.select(F.col("c").alias("a"), F.col("s").alias("x"))
-    two = found.select(F.col("c").alias("b"), F.col("s").alias("y"))
-    links = scratch.save(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
-    scratch.drop("pivot-sets", "pairs")
-    labels = scratch.save(components(links, scratch, "first"), "first")
-    blocks = scratch.save(_involved(_open_blocks(rows, labels, classes), limit), "blocks")
-    more = scratch.save(_block_links(blocks, full_sets(blocks, "block"), percent), "more")
-    scratch.drop("block-sets", "blocks", "links")
-    if not more.isEmpty():
-        stars = labels.filter("c <> label").select(F.col("label").alias("a"), F.col("c").alias("b"))
-        labels = scratch.save(components(stars.unionByName(more), scratch, "second"), "labels")
-    # every class takes the label of its smallest id; then every row that of its class
-    named = classes.join(labels, "c", "left").select("digest", F.coalesce("label", "c").alias("component"), "members")
+
+def _judged(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """A row per row of docs: _id, _h (hash of the text), n, component."""
+    found = _Classes(docs, percent, id_col, text_col)
+    named = found.scratch.save(found.named(), "named")
     total = named.agg(F.sum("members")).first()[0] or 0
-    out = join_groups(profiles.select("_id", "n", "digest"), named, "digest", "_id", "members", total)
-    component = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).cast(kind)
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+    out = join_groups(found.profiles.select("_id", "_h", "n", "digest"), named, "digest", "_id", "members", total)
+    return out.select("_id", "_h", "n", F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id, kept. Links: 100 x shared >= percent x all shingles of the two."""
+    kept = F.col("_id").eqNullSafe(F.col("component"))
+    return _judged(docs, percent, id_col, text_col).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns."""
-    scratch = Scratch(docs.sparkSession, "near-drop")
-    lost, _ = checked(scratch.save(near_duplicates(docs, percent, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_lid")), "lost"))
-    return docs.join(lost, F.col(id_col) == F.col("_lid"), "left_anti")
+    scratch, lid, lh = Scratch(docs.sparkSession, "near-drop"), fresh(docs, "_lid"), fresh(docs, "_lh")
+    lost = _judged(docs, percent, id_col, text_col).filter(~F.col("_id").eqNullSafe(F.col("component"))).select(F.col("_id").alias(lid), F.col("_h").alias(lh))
+    lost, _ = checked(scratch.save(lost, "lost"))
+    return docs.join(lost, (F.col(id_col) == F.col(lid)) & (F.xxhash64(F.coalesce(text_col, F.lit(""))) == F.col(lh)), "left_anti")
