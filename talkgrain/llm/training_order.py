@@ -1,11 +1,13 @@
 """Training-order materialisation: token sequences in a keyed random order, as fixed-stride shards of raw token ids.
 
-Every document becomes sequences of `length` ids (the last one padded). Sequences are numbered without gaps by a prefix
-sum over chunks of documents, and a keyed Feistel permutation of the numbers, with cycle-walking so that it stays inside
-them, gives each its global slot. Slot s is row s % rows of shard s // rows, at byte s % rows x stride; so a reader can
-start at any slot and read on sequentially, and can resume where it stopped.
-
-Texts are tokenized twice, first only to count, so that neither ids nor texts are shuffled for numbering.
+Every document becomes sequences of `length` ids (the last one padded). A keyed hash of document and sequence deals the
+sequences to shards of about `rows`; a shard numbers its own without gaps, in the order of their documents, and a keyed
+Feistel permutation of these numbers, with cycle-walking so that it stays inside them, gives each its row. The shards follow
+each other by number, so a sequence's global slot is the rows of the shards before its own plus its row. Row r stands at byte
+r x stride; so a reader can start at any slot and read on sequentially, and can resume where it stopped.
+
+Texts are tokenized once, and the ids are shuffled once; nothing else of the size of the corpus is kept or joined, at any
+size. Key, texts, ids and the number of shards alone decide the order.
 Defined results: a null or empty text is the end token alone; a null id is an id like any other; rows that repeat id and
 text are one; an empty table writes nothing.
 """
@@ -23,11 +25,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkgrain.llm import files
-from talkgrain.llm.common import Scratch, checked
+from talkgrain.llm.common import Scratch, batches_of, checked
 from talkgrain.llm.tokens import encoder16
 
-CHUNKS = 1024
 FEISTEL_ROUNDS = 6
+#: Tasks that write shards at most; beyond them a task writes several.
+WRITERS = 100_000
+#: Shards whose rows are summed at once when slots are counted.
+SPAN = 4096
+#: Bytes of text that make a token, for the number of shards; they only decide how full the shards are.
+TOKEN_BYTES = 2
 
 
 def permuted(numbers: np.ndarray, size: int, key: str) -> np.ndarray:
@@ -62,79 +69,98 @@ def write_shards(docs: DataFrame, tokenizer: str, key: str, scratch: Scratch, le
     stride, end, pad = 2 * length, end_id.to_bytes(2, "little"), pad_id.to_bytes(2, "little")
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(text_col, F.lit(""))
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    # as if every document's last sequence were half full
+    shards = max(1, -(-(size // (TOKEN_BYTES * length) + n // 2) // rows))
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [-(-len(ids) // stride) for part in range(0, b.num_rows, 512) for ids in _tokens(tokenizer, b.column(2).slice(part, 512), end)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["_id", "_h", "_n"])
-
-    chunk = F.pmod(F.xxhash64("_id"), F.lit(CHUNKS)).cast("int")
-    counted = scratch.save(keyed.mapInArrow(count, f"_id {kind}, _h long, _n long"), "counted")
-    counted = counted.dropDuplicates(["_id", "_h"]).withColumn("_chunk", chunk)
-    chunks = counted.groupBy("_chunk").agg(F.sum("_n").alias("_m"))
-    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(chunks.select("_chunk", before("_m", Window.partitionBy(F.lit(0)).orderBy("_chunk")).alias("_o")))  # CHUNKS rows at most
-    first = before("_n", Window.partitionBy("_chunk").orderBy("_id", "_h"))
-    numbered = scratch.save(counted.withColumn("_f", first).join(offsets, "_chunk").select("_id", "_h", (F.col("_f") + F.col("_o")).alias("_first"), "_n"), "numbered")
-    total = numbered.agg(F.sum("_n")).first()[0] or 0
-    if not total:
-        return docs.sparkSession.createDataFrame([], f"`{id_col}` {kind}, sequence int, slot long, shard int, byte_offset long, n_tokens int, ids_crc32 long, path string")
-    index, _ = checked(numbered.select(F.col("_id").alias("_nid"), F.col("_h").alias("_nh"), "_first"))
-    placed = keyed.join(index, F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_h") == F.col("_nh"))).select("_id", "_text", "_first")
-
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part, who, piece, number, n, ids = b.slice(at, 256), [], [], [], [], []
-                for k, (data, start) in enumerate(zip(_tokens(tokenizer, part.column(1), end), part.column(2).to_pylist())):
+                part, who, piece, n, ids = b.slice(at, 256), [], [], [], []
+                for k, data in enumerate(_tokens(tokenizer, part.column(2), end)):
                     for p, o in enumerate(range(0, len(data), stride)):
                         some = data[o : o + stride]
-                        who.append(k), piece.append(p), number.append(start + p), n.append(len(some) // 2), ids.append(some + pad * ((stride - len(some)) // 2))
-                slot = permuted(np.array(number, np.int64), total, key)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who, pa.int64())), pa.array(piece, pa.int32()), pa.array(slot), pa.array((slot // rows).astype(np.int32)), pa.array(n, pa.int32()), pa.array(ids, pa.binary())], ["_id", "sequence", "slot", "shard", "n_tokens", "ids"])
+                        who.append(k), piece.append(p), n.append(len(some) // 2), ids.append(some)
+                rows_of = pa.array(who, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_of), part.column(1).take(rows_of), pa.array(piece, pa.int32()), pa.array(n, pa.int32()), pa.array(ids, pa.binary())], ["_id", "_h", "sequence", "n_tokens", "ids"])
 
-    folder, shards = scratch.path("shards"), -(-total // rows)
-    placed = placed.mapInArrow(sequences, f"_id {kind}, sequence int, slot long, shard int, n_tokens int, ids binary")
-    ranged = placed.repartitionById(min(shards, 100_000), F.col("shard") % min(shards, 100_000)).sortWithinPartitions("slot")
+    found = keyed.mapInArrow(sequences, f"_id {kind}, _h long, sequence int, n_tokens int, ids binary")
+    found = found.withColumn("shard", F.pmod(F.xxhash64(F.lit(key), "_id", "_h", "sequence"), F.lit(shards)).cast("int"))
+    tasks, folder = min(shards, WRITERS), scratch.path("shards")
+    dealt = found.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "_id", "_h", "sequence")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attempt, shard, out, path, last = TaskContext.get().taskAttemptId(), None, None, "", -1
+        attempt = TaskContext.get().taskAttemptId()
+
+        def one(held: list[pa.RecordBatch], shard: int) -> pa.RecordBatch:
+            """Writes a shard, of about `rows` sequences, in the order of the permutation."""
+            t = pa.Table.from_batches(held).combine_chunks()
+            who, h, piece = t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2).to_pylist()
+            last, keep = object(), []
+            for k, name in enumerate(zip(who, h, piece)):
+                if name != last:  # else a repeated row
+                    keep.append(k)
+                last = name
+            t = t.take(pa.array(keep, pa.int64()))
+            place = permuted(np.arange(len(keep), dtype=np.int64), len(keep), f"{key}/{shard}")
+            ids = t.column(4).combine_chunks()
+            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+            path, crc = f"{folder}/shard-{shard:06d}-{attempt}.bin", np.zeros(len(keep), np.int64)
+            with files.writer(path) as out:
+                for k in np.argsort(place).tolist():
+                    data = ids[k].as_buffer().to_pybytes()
+                    data += pad * ((stride - len(data)) // 2)
+                    crc[k] = zlib.crc32(data)
+                    out.write(data)
+            rest = [t.column(0).combine_chunks(), t.column(2).combine_chunks(), pa.array(place), pa.array([shard] * len(keep), pa.int32()), t.column(3).combine_chunks(), pa.array(crc), pa.array([path] * len(keep))]
+            return pa.RecordBatch.from_arrays(rest, [id_col, "sequence", "row", "shard", "n_tokens", "ids_crc32", "path"])
+
+        held, shard = [], None
         for b in batches:
-            keep, crc, paths = [], [], []
-            for k, (slot, s, ids) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(5))):
-                if slot == last:
-                    continue  # a repeated row
-                if s != shard:
-                    if out is not None:
-                        out.close()
-                    shard, path = s, f"{folder}/shard-{s:06d}-{attempt}.bin"
-                    out = files.writer(path)
-                elif slot != last + 1:
-                    raise ValueError(f"slot {last + 1} is missing")
-                last = slot
-                out.write(ids.as_buffer())
-                keep.append(k), crc.append(zlib.crc32(ids.as_buffer())), paths.append(path)
-            b = b.take(pa.array(keep, pa.int64()))
-            where = pa.array([x % rows * stride for x in b.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), where, b.column(4), pa.array(crc, pa.int64()), pa.array(paths, pa.string())], [id_col, "sequence", "slot", "shard", "byte_offset", "n_tokens", "ids_crc32", "path"])
-        if out is not None:
-            out.close()
-
-    made = f"`{id_col}` {kind}, sequence int, slot long, shard int, byte_offset long, n_tokens int, ids_crc32 long, path string"
-    return scratch.save(ranged.mapInArrow(write, made), "index")
-
-
-def read_slots(paths: list[str], start: int, n: int, length: int, rows: int) -> np.ndarray:
-    """Ids of n slots from `start` on; paths: of the shards in order. A reader resumes by its next slot alone."""
+            s = b.column(5).to_numpy()
+            cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+            for start, stop in zip(cuts, cuts[1:]):
+                if stop > start:
+                    if held and s[start] != shard:
+                        yield one(held, shard)
+                        held = []
+                    shard = int(s[start])
+                    held.append(b.slice(start, stop - start))
+        if held:
+            yield one(held, shard)
+
+    made = f"`{id_col}` {kind}, sequence int, row long, shard int, n_tokens int, ids_crc32 long, path string"
+    with batches_of(scratch.spark, 2048):
+        index = scratch.save(dealt.select("_id", "_h", "sequence", "n_tokens", "ids", "shard").mapInArrow(write, made), "index")
+    return _slots(index, scratch, stride).select(id_col, "sequence", "slot", "shard", "byte_offset", "n_tokens", "ids_crc32", "path")
+
+
+def _slots(index: DataFrame, scratch: Scratch, stride: int) -> DataFrame:
+    """index with the global slots: rows of the shards before, summed in spans of shards, plus the row in the shard."""
+    counts = scratch.save(index.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")), "counts").withColumn("_span", F.floor(F.col("shard") / SPAN))
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.groupBy("_span").agg(F.sum("_n").alias("_m"))
+    spans = spans.select("_span", before("_m", Window.partitionBy(F.lit(0)).orderBy("_span")).alias("_o"))  # a row per SPAN shards
+    first = counts.withColumn("_f", before("_n", Window.partitionBy("_span").orderBy("shard"))).join(F.broadcast(spans), "_span")
+    first, _ = checked(scratch.save(first.select("shard", (F.col("_f") + F.col("_o")).alias("_first")), "first"))
+    return index.join(first, "shard").withColumn("slot", F.col("_first") + F.col("row")).withColumn("byte_offset", F.col("row") * stride)
+
+
+def read_slots(shards: list[tuple[str, int]], start: int, n: int, length: int) -> np.ndarray:
+    """Ids of n slots from `start` on; shards: path and rows of each, in order. A reader resumes by its next slot alone."""
     out, stride = [], 2 * length
-    while n > 0 and start // rows < len(paths):
-        with files.random_reader(paths[start // rows]) as f:
-            f.seek(start % rows * stride)
-            some = min(n, rows - start % rows)
-            data = f.read(some * stride)
-        out.append(np.frombuffer(data, "<u2").reshape(-1, length))
-        n, start = n - some, start + some
+    for path, rows in shards:
+        if n > 0 and start < rows:
+            with files.random_reader(path) as f:
+                f.seek(start * stride)
+                some = min(n, rows - start)
+                out.append(np.frombuffer(f.read(some * stride), "<u2").reshape(-1, length))
+            n, start = n - some, 0
+        else:
+            start -= rows
+        if n <= 0:
+            break
     return np.concatenate(out) if out else np.zeros((0, length), "<u2")
 
 

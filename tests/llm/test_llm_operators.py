@@ -204,9 +204,14 @@ def test_training_order(spark, odd, none):
     index = training_order.write_shards(docs, vocabulary(), "k", Scratch(spark, "t"), length=64, rows=32)
     rows = sorted(index.collect(), key=lambda r: r.slot)
     assert [r.slot for r in rows] == list(range(len(rows)))
-    paths = [p for _, p in sorted({(r["shard"], r.path) for r in rows})]
-    ids = training_order.read_slots(paths, 0, len(rows), 64, 32)
-    assert (training_order.read_slots(paths, 40, 50, 64, 32) == ids[40:90]).all()
+    shards = [(p, sum(r.path == p for r in rows)) for _, p in sorted({(r["shard"], r.path) for r in rows})]
+    assert len(shards) > 5
+    ids = training_order.read_slots(shards, 0, len(rows), 64)
+    assert ids.shape == (len(rows), 64) and all(zlib.crc32(ids[r.slot].tobytes()) == r.ids_crc32 for r in rows)
+    for start, n in ((40, 50), (0, 1), (len(rows) - 3, 9), (33, 200)):
+        assert (training_order.read_slots(shards, start, n, 64) == ids[start : start + n]).all()
+    again = training_order.write_shards(docs.repartition(3), vocabulary(), "k", Scratch(spark, "t"), length=64, rows=32)
+    assert {(r.doc_id, r.sequence, r.slot, r.ids_crc32) for r in again.collect()} == {(r.doc_id, r.sequence, r.slot, r.ids_crc32) for r in rows}
     for i, text in {(r.doc_id, r.text) for r in docs.collect()}:
         want = [*lib.encode(text or "", add_special_tokens=False).ids, 49_407]
         mine = sorted((r.sequence, r.slot, r.n_tokens) for r in rows if r.doc_id == i)
