@@ -3,8 +3,9 @@
 Words are lower-cased runs of letters and digits; shingles are five words; their weight is how often they occur.
 An item with w words is held against document windows of w words, its own size, and against the whole of a shorter document.
 
-1. A window without any of the item's shingles has similarity 0, so only windows around a shared shingle are looked at;
-   this loses nothing.
+1. A window of k shingles can only reach the threshold t with an item of n if t (n + k) / (1 + t) of its shingles are those
+   of some item of its size, so only windows with so many are looked at; this loses nothing. The places are counted for
+   all windows of a document at once, by a running sum over the bounds of where windows hold them.
 2. Each such window gets the 64-bit SimHash of its shingles.
 3. Multi-index search: fingerprints are cut into BLOCKS blocks; two that differ in at most RADIUS bits differ in at most
    RADIUS // BLOCKS bits of some block. Every item is entered under all values within that distance of each of its
@@ -20,18 +21,18 @@ or documents the result is empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgrain.llm.common import Scratch, checked, let, text_of
+from talkgrain.llm.common import Scratch, checked, fresh, let, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
 BLOCKS, BLOCK_BITS = 8, 8
 RADIUS = 23
-#: Fields of 16 bits in which 4 of the 64 bit positions are counted at a time.
-FIELDS, FIELD_BITS = 4, 16
-LANES = 16
+#: Fields of 32 bits in which 2 of the 64 bit positions are counted at a time; a window has fewer than 2^32 shingles.
+FIELDS, FIELD_BITS = 2, 32
+LANES = 32
 _ONES = sum(1 << (FIELD_BITS * f) for f in range(FIELDS))
 
 
@@ -50,7 +51,7 @@ def shingles_of(words: Column) -> Column:
 
 
 def lanes(h: Column) -> list[Column]:
-    """Sums, for LANES lanes, of the bits k, k + 16, k + 32 and k + 48 of the hashes, each in a field of its own."""
+    """Sums, for LANES lanes, of the bits k and k + 32 of the hashes, each in a field of its own."""
     return [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_ONES))).alias(f"_l{k}") for k in range(LANES)]
 
 
@@ -103,17 +104,24 @@ def _hits(scratch: Scratch, docs: DataFrame, items: DataFrame, threshold: float,
     else:  # too many to send around: documents' distinct shingles meet them by shuffle
         places = places.join(known.hint("shuffle_hash"), "h", "left_semi")
     places = scratch.save(places, "places")
-    # windows that start so that they hold the place; distinct per document and window size
+    # windows are held by where they start; a place is in those from `low` on up to its own position
     by_size, _ = checked(scratch.save(sizes.select("h", "m").distinct(), "sizes"))
-    last = F.greatest(F.col("_s") - F.col("m") + WORDS - 1, F.lit(0))  # a document shorter than the window has one, at its start
-    span = F.sequence(F.least(F.greatest(F.col("pos") - F.col("m") + WORDS, F.lit(0)), last), F.least(F.col("pos"), last))
-    starts = places.join(by_size, "h").select("_id", "m", F.explode(span).alias("start")).distinct()
+    n = F.col("m") - WORDS + 1  # the item's shingles; a shorter document has one window, at its start
+    last = F.greatest(F.col("_s") - n, F.lit(0))
+    held = places.join(by_size, "h").select("_id", "m", "_s", F.greatest(F.col("pos") - n + 1, F.lit(0)).alias("low"), F.least("pos", last).alias("high"))
+    bounds = held.select("_id", "m", "_s", F.explode(F.array(F.struct(F.col("low").alias("at"), F.lit(1).alias("d")), F.struct((F.col("high") + 1).alias("at"), F.lit(-1).alias("d")))).alias("b"))
+    bounds = bounds.groupBy("_id", "m", "_s", "b.at").agg(F.sum("b.d").alias("d"))
+    here = Window.partitionBy("_id", "m").orderBy("at")
+    runs = bounds.select("_id", "m", "_s", "at", F.sum("d").over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("shared"), F.lead("at").over(here).alias("until"))
+    least = F.ceil(F.lit(threshold) * (n + F.least(F.col("_s"), n)) / (1 + threshold) - 1e-6)
+    starts = runs.filter(F.col("until").isNotNull() & (F.col("shared") >= least)).select("_id", "m", F.explode(F.sequence(F.col("at"), F.col("until") - 1)).alias("start"))
     # 2. the shingles of these windows, and their fingerprints
-    touched = scratch.save(starts.groupBy("_id", "m").agg(F.array_sort(F.collect_set("start")).alias("starts")), "windows")
+    touched = scratch.save(starts.groupBy("_id", "m").agg(F.array_sort(F.collect_list("start")).alias("starts")), "windows")
     ids = scratch.save(touched.select(F.col("_id").alias("_need")).distinct(), "ids")
     need, _ = checked(ids)
-    whole = rows.join(need, F.col("_id").eqNullSafe(F.col("_need")), "left_semi").groupBy("_id").agg(F.first("_g").alias("_g"), F.first("_doc").alias("_doc"))
-    whole = scratch.save(whole, "whole")
+    found = keyed.join(need, F.col("_id") == F.col("_need"), "left_semi")
+    whole = found.groupBy("_id").agg(F.first("_t").alias("_t"), F.first("_doc").alias("_doc"))  # rows that share id and text
+    whole = scratch.save(whole.select("_id", shingles_of(words_of("_t")).alias("_g"), "_doc"), "whole")
     windows = touched.join(whole, "_id").select("_id", "m", "_g", F.explode("starts").alias("start"))
     windows = windows.select("_id", "m", "start", F.slice("_g", F.col("start") + 1, F.col("m") - WORDS + 1).alias("win"))
     printed = windows.select("_id", "m", "start", "win", F.explode("win").alias("h")).groupBy("_id", "m", "start").agg(*lanes(F.col("h")), F.count(F.lit(1)).alias("n"), F.collect_list("h").alias("win"))
@@ -128,11 +136,15 @@ def _hits(scratch: Scratch, docs: DataFrame, items: DataFrame, threshold: float,
         before = before | ((F.col("block") > k) & (F.bit_count(x) <= RADIUS // BLOCKS))
     met = met.filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & ~before)
     # 4. exact similarity of the multisets
-    texts, _ = checked(grams.select("item", F.array_sort("g").alias("g")))
+    # the shared multiset: each common shingle once, and once more for each time that both repeat it
+    repeats = each.groupBy("item", "h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").groupBy("item").agg(F.collect_list(F.struct("h", "k")).alias("rep"))
+    texts = grams.select("item", F.array_distinct("g").alias("gd"), F.size("g").alias("gn")).join(repeats, "item", "left")
+    texts, _ = checked(scratch.save(texts, "texts"))
     pairs = met.select("_id", "m", "start", "win", "item").join(texts, "item")
-    of = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    shared = F.aggregate(F.array_distinct("g"), F.lit(0), lambda s, x: s + F.least(of(F.col("g"), x), of(F.col("win"), x)))
-    pairs = pairs.withColumn("_shared", shared).withColumn("similarity", F.col("_shared") / (F.size("g") + F.size("win") - F.col("_shared")))
+    again = lambda x: F.greatest(F.least(x["k"], F.size(F.filter("win", lambda y: y == x["h"]))) - 1, F.lit(0)).cast("int")
+    more = F.coalesce(F.aggregate("rep", F.lit(0), lambda total, x: total + again(x)), F.lit(0))
+    shared = F.size(F.array_intersect("gd", "win")) + more
+    pairs = pairs.withColumn("_shared", shared).withColumn("similarity", F.col("_shared") / (F.col("gn") + F.size("win") - F.col("_shared")))
     best = pairs.filter(F.col("similarity") >= threshold).groupBy("_id", "item", "m").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
     best = best.select("_id", "item", "m", "b.similarity", (-F.col("b.s")).alias("start_word")).join(whole.select("_id", "_doc"), "_id")
     found = scratch.save(best, "hits")
@@ -155,5 +167,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """The rows of docs in whose text no item is found; other rows that share the id, or have none either, stay."""
     scratch = Scratch(docs.sparkSession, "leak-ids")
     hits, _ = _hits(scratch, docs, items, THRESHOLD, id_col, text_col, "item_id", "text")
-    bad, _ = checked(scratch.save(hits.select(F.col("_id").alias("_bad")).distinct(), "keys"))
-    return docs.join(bad, _key(id_col, text_col) == F.col("_bad"), "left_anti")
+    name = fresh(docs, "_bad")
+    bad, _ = checked(scratch.save(hits.select(F.col("_id").alias(name)).distinct(), "keys"))
+    return docs.join(bad, _key(id_col, text_col) == F.col(name), "left_anti")
