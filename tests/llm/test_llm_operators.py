@@ -10,11 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talkgrain.llm import near_dedup, pii, training_order, warc
+from talkgrain.llm import language_id, near_dedup, packing, pii, training_order, warc
 from talkgrain.llm.common import Scratch
 from talkgrain.llm.decontaminate import contaminated, drop_contaminated
 from talkgrain.llm.exact_dedup import drop_copies, exact_dedup
-from talkgrain.llm.language_id import fit, held_out, identify
+from talkgrain.llm.language_id import fit, held_out, identify, recognised
 from talkgrain.llm.packing import evolve, pack_documents
 from talkgrain.llm.queries import vocabulary
 from talkgrain.llm.sharding import shard
@@ -192,6 +192,33 @@ def test_evolution_is_near_the_bound():
     assert len(best.bins) <= math.ceil(sum(lengths) / 2048) + 1
 
 
+def test_evolution_crosses_and_improves():
+    rng = random.Random(6)
+    lengths = [rng.randint(200, 1500) for _ in range(400)]
+    seed = packing.settlers(lengths, 2048, random.Random(0), 1)[0]
+    before = packing.crossovers[0]
+    best = evolve(lengths, 2048, 1)
+    assert packing.crossovers[0] - before == packing.ISLANDS * packing.EPOCHS * packing.GENERATIONS * 2
+    assert best.fitness() > seed.fitness()
+    again = packing.Bins.read(lengths, 2048, best.written())
+    assert sorted(map(sorted, again.bins)) == sorted(map(sorted, best.bins)) and again.fitness() == best.fitness()
+
+
+def test_islands_are_tasks(spark):
+    """The distributed islands come to what the same islands come to in one process; groups that repeated rows blow up are divided."""
+    rng = random.Random(7)
+    rows = [(i, 0, 0, rng.randint(1, 900), i) for i in range(300)] + [(None, 0, 0, 77, 5)] * 400
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(df, 1024, Scratch(spark, "t"), block=64).collect()
+    assert len(got) == len(rows)
+    bins = check_sequences(got, 1024)
+    assert bins <= 1.1 * sum(r[3] for r in rows) / 1024  # groups of 64 pieces, many of them alike, leave more free than those of the query
+    one = [r for r in rows if r[0] is not None and r[0] < 60]
+    small = packing.pack(spark.createDataFrame(one, df.schema), 1024, Scratch(spark, "t"), block=64).collect()
+    order = [r[3] for r in sorted(one, key=lambda r: (-r[3], r[0]))]
+    assert check_sequences(small, 1024) == len(evolve(order, 1024, 0).bins)
+
+
 def test_permutation_is_one_to_one():
     for n in (1, 2, 3, 17, 1000, 4097):
         assert sorted(training_order.permuted(np.arange(n), n, "k").tolist()) == list(range(n))
@@ -262,6 +289,36 @@ def test_language(spark, odd, none):
     assert fit(none) is None and {r.lang_pred for r in identify(odd, None).collect()} == {"und"}
 
 
+def test_language_of_long_texts_and_clashing_columns(spark):
+    rng = random.Random(4)
+    t = words(rng, 3000).encode()
+    want = language_id._counts([t])
+    before, language_id.STEP_BYTES = language_id.STEP_BYTES, 1000
+    try:
+        assert (language_id.counts([t]) == want).all()
+        assert [s for s in language_id.steps([b"a", t, b"b"])] == [slice(0, 1), slice(1, 2), slice(2, 3)]
+    finally:
+        language_id.STEP_BYTES = before
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = fit(docs)
+    odd = docs.select("*", F.lit(7).alias("score"), F.lit("x").alias("rejected"), F.lit(1).alias("_judged"))
+    kept = recognised(odd, model)
+    assert kept.columns == odd.columns and {(r.score, r.rejected) for r in kept.collect()} == {(7, "x")}
+    assert kept.count() == identify(docs, model).filter("not rejected").count()
+
+
+def test_the_sample_is_what_a_full_ranking_gives(spark):
+    """Many labelled rows, some repeated: the bound on hashes loses none of the first."""
+    rows = spark.range(6000).select((F.col("id") % 2500).alias("doc_id"), F.concat(F.lit("ab"), (F.col("id") % 2500).cast("string"), F.lit("c")).alias("text"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("lang"))
+    seen = []
+    real, language_id.normalised = language_id.normalised, lambda x: seen.append(len(x)) or x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    try:
+        fit(rows, per_language=100)
+    finally:
+        language_id.normalised = real
+    assert seen[0] == 200
+
+
 def luhn(d):
     d = [int(x) for x in d][::-1]
     return (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
