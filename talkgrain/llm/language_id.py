@@ -7,7 +7,8 @@ of the nearest centroid. It is rejected if that centroid is so far that the cosi
 in a hundred of the sample's texts of such a length reach; short texts are naturally far, so bounds are per class of length.
 
 Defined results: a text that is null or has no letter is `und`, score 0, rejected; without any labelled row every text
-is; ties go to the language that sorts first; repeated rows each get their result; only the text is looked at.
+is; ties go to the language that sorts first; repeated rows each get their result, and are one in the sample; only the text
+is looked at, so ids may be null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkgrain.llm.common import fresh
+
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
 CLUSTERS = 3
@@ -35,7 +38,20 @@ MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
 def counts(texts: list[bytes]) -> np.ndarray:
-    """Hashed n-gram counts, a row per text. Two zero bytes after each text keep its n-grams apart from the next one's."""
+    """Hashed n-gram counts, a row per text; a text above STEP_BYTES is counted in parts."""
+    if len(texts) == 1 and len(texts[0]) > STEP_BYTES:
+        t = texts[0]
+        # parts overlap by two bytes; the 1- and 2-grams that lie within the overlap are counted once too often
+        parts = [t[k : k + STEP_BYTES + 2] for k in range(0, len(t) - 2, STEP_BYTES)]
+        out = _counts(parts[:1])
+        for p in parts[1:]:
+            out += _counts([p]) - _counts([p[:2]])
+        return out
+    return _counts(texts)
+
+
+def _counts(texts: list[bytes]) -> np.ndarray:
+    """Two zero bytes after each text keep its n-grams apart from the next one's."""
     joined = np.frombuffer(b"".join(t + b"\0\0" for t in texts) + b"\0\0", np.uint8).astype(np.uint32)
     sizes = np.array([len(t) + 2 for t in texts])
     n = int(sizes.sum())
@@ -51,6 +67,9 @@ def counts(texts: list[bytes]) -> np.ndarray:
 def steps(texts: list[bytes]) -> Iterator[slice]:
     start = size = 0
     for k, t in enumerate(texts):
+        if len(t) > STEP_BYTES and start < k:
+            yield slice(start, k)
+            start, size = k, 0
         size += len(t)
         if size >= STEP_BYTES or k - start >= 255:
             yield slice(start, k + 1)
@@ -109,10 +128,20 @@ def clustered(x: np.ndarray, k: int) -> np.ndarray:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> Model | None:
     """Learns from at most per_language texts of each language; those vectors, and nothing else, come to the driver."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64("_id"), "_id"))
-    ids = rows.select(F.col(id_col).alias("_id"), F.col(lang_col)).withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select("_id").distinct()
-    sample = rows.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "left_semi")  # per_language rows of each language
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("text"))
+    keys = rows.select("lang", "_id", "_h", F.xxhash64("_id", "_h").alias("_o")).groupBy("lang", "_id", "_h", "_o").agg(F.count(F.lit(1)).alias("_k"))
+    # of a language with many texts only those with small hashes can be among the first; the bound lets about 4 x per_language pass
+    many = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("_id", "_h"), 0.02).alias("_n"))
+    span = F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("_n"))
+    bounds = {r["lang"]: r["_b"] for r in many.select("lang", (span - 2.0**63).alias("_b")).toLocalIterator()}  # a number per language
+    near = F.lit(False)
+    for lang, bound in bounds.items():
+        near = F.when(F.col("lang") == lang, F.col("_o").cast("double") <= bound).otherwise(near)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_o", "_id", "_h"))
+    first = lambda some: some.withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select(F.col("lang").alias("_sl"), F.col("_id").alias("_sid"), F.col("_h").alias("_sh"))
+    chosen = first(keys.filter(near))
+    sample = rows.join(F.broadcast(chosen), (F.col("lang") == F.col("_sl")) & F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_h") == F.col("_sh")), "left_semi")  # per_language rows of each language
+    sample = sample.dropDuplicates(["lang", "_id", "_h"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,7 +150,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 x = np.log1p(counts(texts[s])).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.array([len(t) for t in texts[s]], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "size", "v"])
 
-    found = sample.select(F.col(lang_col).alias("lang"), text_col).mapInArrow(vectors, "lang string, size long, v binary").toPandas()
+    found = sample.select("lang", "text").mapInArrow(vectors, "lang string, size long, v binary").toPandas()
     if not len(found):
         return None
     found = found.sort_values(["lang", "size", "v"], kind="stable").reset_index(drop=True)
@@ -148,27 +177,36 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs and: lang_pred, score, rejected."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """docs and: lang_pred, score, rejected; columns of docs that have these names are replaced. Only the texts go to Python."""
+    judged, kind = fresh(docs, "_judged"), "struct<lang_pred: string, score: double, rejected: boolean>"
+
+    @F.arrow_udf(kind)
+    def predict(texts: pa.Array, has_letter: pa.Array) -> pa.Array:
+        lang: list[str] = ["und"] * len(texts)
+        score, far = np.zeros(len(texts)), np.ones(len(texts), bool)
+        real = np.flatnonzero(has_letter.to_numpy(zero_copy_only=False))
+        if model and len(real):
+            for part in np.array_split(real, -(-len(real) // 1024)):
+                some = lowered(texts.take(pa.array(part)))
+                for s in steps(some):
+                    rows = part[s]
+                    k, score[rows], far[rows] = model.nearest(some[s])
+                    for r, n in zip(rows.tolist(), k.tolist()):
+                        lang[r] = model.languages[n]
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(far)], ["lang_pred", "score", "rejected"])
+
     has_letter = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
-    at = docs.columns.index(text_col)
+    out = docs.withColumn(judged, predict(F.col(text_col), has_letter))
+    new = ("lang_pred", "score", "rejected")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new], *[F.col(judged)[c].alias(c) for c in new])
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lang: list[str] = ["und"] * b.num_rows
-            score, far = np.zeros(b.num_rows), np.ones(b.num_rows, bool)
-            real = np.flatnonzero(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
-            if model and len(real):
-                for part in np.array_split(real, -(-len(real) // 1024)):
-                    texts = lowered(b.column(at).take(pa.array(part)))
-                    for s in steps(texts):
-                        rows = part[s]
-                        k, score[rows], far[rows] = model.nearest(texts[s])
-                        for r, n in zip(rows.tolist(), k.tolist()):
-                            lang[r] = model.languages[n]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(far)], [*b.schema.names[:-1], "lang_pred", "score", "rejected"])
-
-    return docs.withColumn("_has_letter", has_letter).mapInArrow(predict, f"{kinds}, lang_pred string, score double, rejected boolean")
+
+def recognised(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns as they are."""
+    far, columns = fresh(docs, "_far"), [F.col(f"`{c}`") for c in docs.columns]
+    kept = {c: fresh(docs, f"_kept_{c}") for c in docs.columns if c.lower() in ("lang_pred", "score", "rejected")}
+    out = identify(docs.withColumnsRenamed(kept), model, text_col=text_col).withColumnRenamed("rejected", far).filter(f"not `{far}`")
+    return out.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in kept.items()}).select(*columns)
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
