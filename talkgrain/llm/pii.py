@@ -4,16 +4,18 @@ Found values are validated, then replaced inside the text:
 
 - card numbers (13 to 19 digits whose last is their Luhn digit; others are no cards and stay): the digits but the check
   digit are permuted by a keyed Feistel network over their number, and the check digit is made anew;
-- phone numbers (7 to 15 digits after validation): the digits after the country code are permuted, separators stay;
+- phone numbers (7 to 15 digits after validation): the digits after the country code are permuted, separators stay; the
+  code is told by its first digits, so a number is linked however it is written;
 - dates (ISO or day/month/year, real calendar days of 1900 to 2099): the day's number is permuted among these days by
   cycle-walking, and written as the old one was;
 - addresses of four numbers 0 to 255: the 32 bits are permuted;
-- mail addresses: a keyed digest names the same mailbox everywhere;
+- mail addresses (parts as long as the mail standards allow, 64 and 63 letters): a keyed digest names the same mailbox everywhere;
 - keys and passwords, their key words in any case: a keyed digest in brackets.
 
 Equal values of a kind give equal pseudonyms in all documents, different ones give different ones (numbers, dates,
 addresses: exactly; digests: to 64 bits). Defined results: a null text stays null with nothing found; a text without
-findings is returned as it was; every row gets its result.
+findings is returned as it was; every row gets its result, a null id too; columns of the table that are named n_found or
+kinds are replaced, all others stay. The patterns work in linear time and without recursion on texts of any length.
 """
 
 from __future__ import annotations
@@ -21,20 +23,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkgrain.llm.common import let
+from talkgrain.llm.common import fresh, let
 
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 
 #: What is looked for, in order of precedence at a place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}+",
     "secret": r"AKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|token|secret|api_key)\s?[=:]\s?\"?[0-9A-Za-z_-]{12,}\"?",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
     "date": r"(?<![\d/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])",
     "card": r"(?<!\d)(?<!\d\.)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)",
 }
+#: Country codes of two digits; 1 and 7 are codes of one digit, all others have three.
+TWO_DIGITS = "20|27|3[0-4]|36|39|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-5]|98"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -105,7 +109,7 @@ def _card(v: Column, key: str) -> Column:
 
 
 def _phone(v: Column, key: str) -> Column:
-    code = F.length(_digits(F.regexp_extract(v, r"^\+(\d{1,3})[ .(-]", 1)))
+    code = F.when(v.startswith("+"), F.length(F.regexp_extract(_digits(v), f"^(?:[17]|{TWO_DIGITS}|\\d{{3}})", 0))).otherwise(F.lit(0))
     new = let(_digits(v), lambda d: F.concat(F.substring(d, F.lit(1), code), permuted_digits(F.substring(d, code + 1, F.length(d)), key, "phone")))
     return let(new, lambda x: refilled(v, x))
 
@@ -167,12 +171,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text = F.col(text_col)
     values = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))
     # texts without a digit followed by two more, an @ or a key word hold none of the patterns; the others are searched
-    rows = docs.withColumn("_v", F.when(text.rlike(r"[0-9][^0-9a-zA-Z]{0,2}[0-9]|@|AKIA|(?i:passw|token|secret|api_key)"), values))
-    found = F.transform("_v", lambda v: F.struct(v.alias("v"), kind_of(v).alias("k")))
-    rows = rows.withColumn("_f", F.when(F.size("_v") > 0, found))
+    found, made = fresh(docs, "_v"), fresh(docs, "_f")
+    rows = docs.withColumn(found, F.when(text.rlike(r"[0-9][^0-9a-zA-Z]{0,2}[0-9]|@|AKIA|(?i:passw|token|secret|api_key)"), values))
+    rows = rows.withColumn(made, F.when(F.size(found) > 0, F.transform(found, lambda v: F.struct(v.alias("v"), kind_of(v).alias("k")))))
     pieces = F.split(text, ANY, -1)
-    new = F.transform("_f", lambda x: pseudonym(x["v"], x["k"], key))
+    new = F.transform(made, lambda x: pseudonym(x["v"], x["k"], key))
     woven = F.concat_ws("", F.flatten(F.zip_with(pieces, F.concat(new, F.array(F.lit(""))), lambda p, n: F.array(p, n))))
-    kinds = F.filter(F.transform("_f", lambda x: x["k"]), lambda k: k.isNotNull())
-    rows = rows.withColumn("n_found", F.coalesce(F.size(kinds), F.lit(0))).withColumn("kinds", F.coalesce(F.array_sort(F.array_distinct(kinds)), F.array().cast("array<string>")))
-    return rows.withColumn(text_col, F.when(F.col("_f").isNotNull(), woven).otherwise(text)).drop("_v", "_f")
+    kinds = F.filter(F.transform(made, lambda x: x["k"]), lambda k: k.isNotNull())
+    out = [F.when(F.col(made).isNotNull(), woven).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_found", "kinds")]
+    return rows.select(*out, F.coalesce(F.size(kinds), F.lit(0)).alias("n_found"), F.coalesce(F.array_sort(F.array_distinct(kinds)), F.array().cast("array<string>")).alias("kinds"))
