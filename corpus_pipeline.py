@@ -10,10 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgrain.llm.common import Scratch
+from talkgrain.llm.common import Scratch, scratch_scope
 from talkgrain.llm.decontaminate import drop_contaminated
 from talkgrain.llm.exact_dedup import drop_copies
-from talkgrain.llm.language_id import fit, held_out, identify
+from talkgrain.llm.language_id import fit, held_out, recognised
 from talkgrain.llm.near_dedup import drop_near_duplicates
 from talkgrain.llm.packing import pack_documents
 from talkgrain.llm.queries import table, vocabulary
@@ -22,7 +22,7 @@ from talkgrain.llm.queries import table, vocabulary
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not far from every known language stay."""
     model = fit(docs.filter(~held_out()))
-    return identify(docs, model).filter("not rejected").select(docs.columns)
+    return recognised(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with scratch_scope():  # what the stage's operators kept aside goes once its result is written
+            docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
         if k:
             scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
