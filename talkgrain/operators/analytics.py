@@ -9,6 +9,12 @@ from talkgrain.functions.text import jaccard
 
 # Fixed values.
 FLAT, SLOW_SECONDS, WALL_FACTOR = 0.1, 3600, 1.25
+CONTRACTIONS = (
+    "don't", "doesn't", "didn't", "isn't", "aren't", "wasn't", "weren't", "can't", "couldn't", "won't", "wouldn't", "shouldn't", "mustn't",
+    "i'm", "i've", "i'd", "i'll", "you're", "you've", "you'd", "you'll", "we're", "we've", "we'd", "we'll", "they're", "they've", "they'd", "they'll",
+    "he's", "she's", "it's", "that's", "there's", "here's", "what's", "who's", "let's", "ma'am", "y'all", "o'clock",
+)
+STRIPPED = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~،؛؟“”‘’"
 BANNED = ("فندم", "إزاي", "خالص", "معلش", "عايز", "فين", "كده", "النهاردة")
 
 
@@ -117,6 +123,14 @@ def violations(texts: DataFrame) -> DataFrame:
     return banned.unionByName(mixed)
 
 
+def transliterated(texts: DataFrame) -> DataFrame:
+    """texts (call_id, language, text): words in Latin letters around an apostrophe that are no English contraction, in Arabic and mixed calls."""
+    words = texts.filter(F.col("language").isin("ar", "mixed")).select("call_id", F.explode(F.split("text", "(?U)\\s+")).alias("what"))
+    core = F.btrim("what", F.lit(STRIPPED))
+    found = core.rlike("[A-Za-z]'[A-Za-z]") & ~core.rlike("[\\x{0600}-\\x{06FF}]") & ~F.lower(core).isin(*CONTRACTIONS)
+    return words.filter(found).withColumn("kind", F.lit("transliterated"))
+
+
 def claim_parts(claim_id: Column) -> Column:
     """list[i] as a struct; null for anything else."""
     ok = claim_id.rlike("^\\w+\\[\\d+\\]$")

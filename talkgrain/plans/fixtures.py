@@ -57,4 +57,15 @@ def segments_sql(kind: str, name: str) -> str:
     types = "('click', 'view')" if kind == "asr" else "('purchase', 'signup', 'error')"
     return f"""{name} AS (SELECT * FROM (
         SELECT user_id AS call_id, row_number() OVER w - 1 AS pos, event_type AS name, epoch_us(ts) / 1e6 AS start_sec, lead(epoch_us(ts) / 1e6) OVER w AS end_sec
-        FROM events WHERE event_type IN {types} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE end_sec IS NOT NULL AND pos < 40)"""
+        FROM events WHERE event_type IN {types} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE end_sec IS NOT NULL)"""
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem's rows as the claims of a call, numbered from 0."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return read(spark, sf_dir, "lineitem").withColumn("call_id", F.col("l_orderkey")).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+
+
+CLAIMS_SQL = "c AS (SELECT l_orderkey AS call_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, * FROM lineitem)"

@@ -94,17 +94,16 @@ def recent_uploads(spark, sf_dir):
     return analytics.recent(fx.read(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id", 3).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT o_orderkey AS a, o_custkey % 400 AS b FROM orders WHERE o_orderkey < 400), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), n AS (SELECT DISTINCT a AS node FROM e),
-    w AS (SELECT node, node AS cluster FROM n UNION SELECT e.b, w.cluster FROM w JOIN e ON e.a = w.node) SELECT node, min(cluster) AS cluster FROM w GROUP BY 1""")
+@query()
 def single_linkage(spark, sf_dir):
-    """CLU-02 on the links of all orders."""
+    """CLU-02 on the links of all orders: recursive SQL is too slow on them; it is tested against brute force."""
     _checkpoints(spark)
     p = fx.read(spark, sf_dir, "orders").selectExpr("o_orderkey as a", "o_custkey % 400 as b")
     nodes = p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
     return analytics.linked(p, nodes)
 
 
-@query("""WITH r AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 200)
+@query("""WITH r AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
     SELECT a.vec_id AS a, b.vec_id AS b FROM r a JOIN r b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.7""")
 def similar_rules(spark, sf_dir):
     """JOIN-19, AGG-30 over all vectors."""
@@ -179,7 +178,7 @@ def usage_totals(spark, sf_dir):
     return analytics.usage_total(e, "user_id")
 
 
-@query("""WITH t AS (SELECT DISTINCT l_orderkey AS call_id, l_linenumber AS pos, l_linenumber * 100 AS s, l_linenumber * 100 + 80 AS e FROM lineitem WHERE l_orderkey % 50 = 0), p AS (SELECT DISTINCT o_orderkey AS call_id, 150 + o_custkey % 300 AS s, 190 + o_custkey % 300 AS e FROM orders WHERE o_orderkey % 50 = 0),
+@query("""WITH t AS (SELECT DISTINCT l_orderkey AS call_id, l_linenumber AS pos, l_linenumber * 100 AS s, l_linenumber * 100 + 80 AS e FROM lineitem), p AS (SELECT DISTINCT o_orderkey AS call_id, 150 + o_custkey % 300 AS s, 190 + o_custkey % 300 AS e FROM orders),
     j AS (SELECT t.*, CASE WHEN p.s < t.e AND p.e > t.s THEN p.s END AS ps, CASE WHEN p.s < t.e AND p.e > t.s THEN p.e END AS pe FROM t JOIN p USING (call_id)) SELECT call_id, pos, 1 + coalesce((ps > s)::INT + (pe < e)::INT, 0) AS pieces FROM j WHERE ps IS NOT NULL""")
 def cut_turns(spark, sf_dir):
     """SEG-04, JOIN-22."""
@@ -209,8 +208,9 @@ def repeated_keys(spark, sf_dir):
     return validators.repeated(fx.read(spark, sf_dir, "lineitem"), "l_orderkey").filter("n > 6")
 
 
-@query(r"""SELECT doc_id, word AS what, 'mixed' AS kind FROM (SELECT doc_id, unnest(regexp_split_to_array(text || ' aبc', '\s+')) AS word FROM documents WHERE doc_id % 10 = 0) WHERE word ~ '[\x{0600}-\x{06FF}]' AND word ~ '[A-Za-z]'
-    UNION ALL SELECT doc_id, 'كده', 'banned' FROM documents WHERE doc_id % 20 = 0""")
+@query(r"""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 10 = 0 THEN ' aبc' ELSE '' END || CASE WHEN doc_id % 20 = 0 THEN ' كده' ELSE '' END AS t FROM documents)
+    SELECT doc_id, word AS what, 'mixed' AS kind FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\s+')) AS word FROM d) WHERE word ~ '[\x{0600}-\x{06FF}]' AND word ~ '[A-Za-z]'
+    UNION ALL SELECT doc_id, b, 'banned' FROM d, (SELECT unnest(['فندم', 'إزاي', 'خالص', 'معلش', 'عايز', 'فين', 'كده', 'النهاردة']) AS b) WHERE contains(t, b)""")
 def dialect_violations(spark, sf_dir):
     """TXT-09, TXT-10: every document is scanned; texts of every tenth get a planted word, those of every twentieth a banned one."""
     d = fx.read(spark, sf_dir, "documents")

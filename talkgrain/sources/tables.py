@@ -69,6 +69,23 @@ def admitted_audio(files: DataFrame, most_bytes: int) -> DataFrame:
     return files.withColumn("status", F.when(~suffix.isin(*AUDIO), 415).when(F.col("length") > most_bytes, 413).when(~right, 422).otherwise(200))
 
 
+def save_checkpoint(df: DataFrame, path: str, n_batches: int) -> None:
+    """A run's state, with the number of batches that it was planned for."""
+    df.withColumn("_n_batches", F.lit(n_batches)).write.mode("overwrite").parquet(path)
+
+
+def load_checkpoint(spark: SparkSession, path: str, n_batches: int) -> DataFrame:
+    """The state of a run of so many batches; that of another plan is refused."""
+    df = spark.read.parquet(path)
+    return df.withColumn("_n_batches", F.when(F.col("_n_batches") == n_batches, F.col("_n_batches")).otherwise(F.raise_error(F.lit("the checkpoint is of another number of batches")))).filter("_n_batches is not null").drop("_n_batches")
+
+
+def assembled(spark: SparkSession, path: str, record: str, segment: str) -> tuple[DataFrame, DataFrame]:
+    """Records and segments of a document {records, segments, meta}."""
+    doc = spark.read.schema(f"records array<struct<{record}>>, segments array<struct<{segment}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return tuple(doc.select(F.explode(c).alias("x")).select("x.*") for c in ("records", "segments"))
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
     """Rows as JSON lines with their keys in alphabetical order."""
     df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode(mode).text(path)

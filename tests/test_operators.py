@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talkgrain.functions import redact as R
 from talkgrain.functions import text as T
 from talkgrain.operators import datasets, evidence, lifecycle, metrics, rules, timelines, validators
-from talkgrain.plans import registry, views  # noqa: F401
+from talkgrain.plans import evaluation, records, registry, views  # noqa: F401
 from talkgrain.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
