@@ -84,4 +84,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op5_warc": r"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS t FROM pages),
+        h AS (SELECT *, octet_length(encode(t)) AS n, array_to_string(list_transform(string_split(lower(sha1(t)), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS b,
+                     min(page_id) OVER (PARTITION BY t) AS first FROM p)
+        SELECT page_id, url, n AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM h""",
+    "op9_near_duplicates": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+        c AS (SELECT g, min(doc_id) AS c, len(g) AS n FROM (SELECT doc_id, list_sort(g) AS g FROM s) WHERE len(g) > 0 GROUP BY g),
+        e AS (SELECT c, n, unnest(g) AS h FROM c),
+        l AS (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.h = b.h AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        r AS (SELECT c AS node, c AS label FROM c UNION SELECT l.b, r.label FROM r JOIN l ON l.a = r.node),
+        m AS (SELECT node, min(label) AS label FROM r GROUP BY 1)
+        SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(m.label, s.doc_id) AS component_id, s.doc_id = coalesce(m.label, s.doc_id) AS kept
+        FROM s LEFT JOIN c ON c.g = list_sort(s.g) LEFT JOIN m ON m.node = c.c""",
 }
