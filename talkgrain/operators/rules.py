@@ -80,7 +80,7 @@ def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def retrieve(queries: DataFrame, rules: DataFrame, k: int) -> DataFrame:
+def retrieve(queries: DataFrame, rules: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """queries (query_id, vec), active rules (rule_id, pos, vec): the k most similar; ties in insertion order. Rows without a vector match nothing."""
 
     def pick(mine: _Block, block: _Block, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ def retrieve(queries: DataFrame, rules: DataFrame, k: int) -> DataFrame:
     schema = f"query_id {_kind(queries, 'query_id')}, rule_id {_kind(rules, 'rule_id')}, pos {_kind(rules, 'pos')}, similarity double"
     scored = _search(queries.select("query_id", "vec"), rules.select("rule_id", "pos", "vec"), "pos", pick, schema, within)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "pos"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rule_id", "rank", F.round("similarity", 6).alias("similarity"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rule_id", "rank", F.round("similarity", digits).alias("similarity"))
 
 
 def leave_one_out(ranked: DataFrame, k: int) -> DataFrame:

@@ -285,9 +285,9 @@ def conflict_candidates(spark, sf_dir):
     """TOP-02, PRJ-12: the three active rules most similar to a new one, which a judge then looks at; new ones are the ids divisible by 20."""
     v = _vectors(spark, sf_dir)
     known = v.filter("label % 5 <> 0").select(F.col("vec_id").alias("rule_id"), F.col("vec_id").alias("pos"), "vec")
-    found = rules.retrieve(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec"), known, 4).filter("query_id <> rule_id")
+    found = rules.retrieve(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec"), known, 4, 4).filter("query_id <> rule_id")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    return found.withColumn("_n", best).filter("_n <= 3").select(F.col("query_id").alias("candidate"), "rule_id", F.round("similarity", 4).alias("similarity"))
+    return found.withColumn("_n", best).filter("_n <= 3").select(F.col("query_id").alias("candidate"), "rule_id", "similarity")
 
 
 @query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('11:' || c_custkey)) AS turn, ['billing', 'delivery', 'repair'][((c_custkey * 7 + 11) % 3 + 1)::INT] AS scenario FROM customer""")
