@@ -15,11 +15,12 @@ PATTERNS = (
     ("[PHONE]", f"{BEFORE}(?:\\+|00)\\d{{1,3}}(?:{GAP}\\(?\\d{{1,4}}\\)?){{2,5}}{AFTER}"),
     ("[CARD]", "\\b\\d{4}(?:[ -]?\\d{4}){2,4}\\b"),
     ("[NATIONAL_ID]", "\\b\\d{10}\\b"),
-    ("[PHONE]", f"{BEFORE}(?<!\\d[ .\\-])[0\\x{{0660}}](?:{GAP}\\d){{8,9}}{AFTER}"),
+    ("[PHONE]", f"{BEFORE}(?<!\\d[ .\\-])[0٠](?:{GAP}\\d){{8,9}}{AFTER}"),
     ("[PHONE]", f"{BEFORE}\\(?\\d{{3}}\\)?{GAP}\\d{{3}}[ .\\-]\\d{{4}}{AFTER}"),
     ("[PHONE]", f"{BEFORE}\\d{{3}}[ .\\-]\\d{{4}}{AFTER}"),
     ("[NUMBER]", f"{BEFORE}\\d(?:[ \\-]?\\d){{6,}}{AFTER}"),
 )
+# Fixed values as well: what is left alone.
 HEX = "[0-9a-fA-F]"
 PROTECTED = (
     f"\\b{HEX}{{8}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{12}}\\b"
