@@ -18,6 +18,9 @@ from talkgrain.llm.near_dedup import drop_near_duplicates
 from talkgrain.llm.packing import pack_documents
 from talkgrain.llm.queries import table, vocabulary
 
+#: Entries of a generation of the tokenizer's cache: workers stand beside an executor that four stages have filled.
+CACHE = 100_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not far from every known language stay."""
@@ -39,7 +42,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, vocabulary(), 2048)
+    return pack_documents(docs, vocabulary(), 2048, cache=CACHE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

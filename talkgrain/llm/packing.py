@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgrain.llm.common import Scratch, batches_of, checked
-from talkgrain.llm.tokens import encoder
+from talkgrain.llm.tokens import CACHE_ENTRIES, encoder
 
 #: Pieces that a group has on average. A group that got SPLIT times as many, by rows that repeat each other, is divided.
 BLOCK, SPLIT = 1024, 4
@@ -36,13 +36,15 @@ ISLANDS, PACKINGS, EPOCHS, GENERATIONS = 2, 4, 2, 3
 #: A bin is settled in its round if at most so many tokens of it are free, or if it is the last round.
 SLACK = 8
 ROUNDS = 6
+#: Whole texts that are handed to Python at a time.
+TEXTS = 1024
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces: id, piece, start, length, ids_crc32."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end, step = encoder(tokenizer), end_id.to_bytes(4, "little"), 4 * capacity
+        e, end, step = encoder(tokenizer, cache), end_id.to_bytes(4, "little"), 4 * capacity
         for b in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for k, ids in enumerate(e.encode_all([t.as_buffer().to_pybytes() for t in b.column(1)])):
@@ -271,6 +273,9 @@ def pack(pieces: DataFrame, capacity: int, scratch: Scratch, id_col: str = "doc_
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_ENTRIES) -> DataFrame:
+    """Where each piece of each document goes. cache: entries of a generation of the tokenizer's cache in each worker; fewer take less memory and more time."""
     scratch = Scratch(docs.sparkSession, "packing")
-    return pack(scratch.save(cut(docs, tokenizer, capacity, 0, id_col, text_col), "pieces"), capacity, scratch, id_col)
+    with batches_of(scratch.spark, TEXTS):
+        pieces = scratch.save(cut(docs, tokenizer, capacity, 0, id_col, text_col, cache), "pieces")
+    return pack(pieces, capacity, scratch, id_col)

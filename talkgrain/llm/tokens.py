@@ -19,7 +19,7 @@ import numpy as np
 
 from talkgrain.llm import workers
 
-#: Entries of a generation of the cache; two are kept. Bounds memory, never changes results.
+#: Entries of a generation of the cache, unless an encoder is given others; two are kept. Bounds memory, never changes results.
 CACHE_ENTRIES = 500_000
 
 #: Bytes of text that are looked at at a time.
@@ -75,6 +75,7 @@ class _Runs:
         split = self.spec.get("pre_tokenizer")
         #: Whether texts may be taken apart here; else every text is the library's.
         self.known = plain and self.spec.get("normalizer") == NORMALIZER and split == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and self.spec["model"].get("end_of_word_suffix") is not None
+        self.entries = CACHE_ENTRIES
         self.cache: dict = {}
         self.older: dict = {}
 
@@ -99,7 +100,7 @@ class _Runs:
 
     def learn(self, new: set) -> None:
         cache, older = self.cache, self.older
-        if len(cache) + len(new) > CACHE_ENTRIES:
+        if len(cache) + len(new) > self.entries:
             older = self.older = cache.copy()
             cache.clear()
             new = self.wanted
@@ -300,8 +301,10 @@ def counter(path: str) -> HeapCounter:
     return _once(HeapCounter, path)
 
 
-def encoder(path: str) -> IdEncoder:
-    return _once(IdEncoder, path)
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> IdEncoder:
+    found = _once(IdEncoder, path)
+    found.entries = entries
+    return found
 
 
 def encoder16(path: str) -> IdEncoder16:

@@ -28,11 +28,10 @@ def give_back() -> None:
 
 
 def take_over(name: str) -> None:
-    """To be called by a task before it uses the caches of `name`: those of all others are emptied if this worker served them before."""
+    """To be called by a task before it uses the caches of `name`: those of all others are emptied, and what this worker's earlier tasks freed goes back."""
     if _owner != [name]:
         for other, clear in _clearers.items():
             if other != name:
                 clear()
-        if _owner:
-            give_back()
+        give_back()
         _owner[:] = [name]
