@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgrain.llm.common import fresh
+from talkgrain.llm import workers
+from talkgrain.llm.common import batches_of, fresh
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
@@ -30,8 +31,10 @@ CLUSTERS = 3
 LENGTHS = (16, 32, 64, 128, 256, 512, 1024)
 #: Share of the sample's low cosines (first percentile) under which a text is rejected.
 REACH = 0.25
-#: Texts are turned into vectors so many bytes at a time.
-STEP_BYTES = 1 << 20
+#: Texts are turned into vectors so many bytes at a time; counting takes about 60 bytes of arrays per byte.
+STEP_BYTES = 1 << 18
+#: Whole texts of the sample that are handed to Python at a time.
+TEXTS = 256
 
 #: Multipliers that hash 1-, 2- and 3-grams.
 MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
@@ -144,13 +147,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sample = sample.dropDuplicates(["lang", "_id", "_h"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.take_over("language")
         for b in batches:
             texts = lowered(b.column(1))
             for s in steps(texts):
                 x = np.log1p(counts(texts[s])).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.array([len(t) for t in texts[s]], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "size", "v"])
 
-    found = sample.select("lang", "text").mapInArrow(vectors, "lang string, size long, v binary").toPandas()
+    with batches_of(labelled.sparkSession, TEXTS):
+        found = sample.select("lang", "text").mapInArrow(vectors, "lang string, size long, v binary").toPandas()
     if not len(found):
         return None
     found = found.sort_values(["lang", "size", "v"], kind="stable").reset_index(drop=True)
@@ -182,6 +187,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     @F.arrow_udf(kind)
     def predict(texts: pa.Array, has_letter: pa.Array) -> pa.Array:
+        workers.take_over("language")
         lang: list[str] = ["und"] * len(texts)
         score, far = np.zeros(len(texts)), np.ones(len(texts), bool)
         real = np.flatnonzero(has_letter.to_numpy(zero_copy_only=False))

@@ -43,8 +43,8 @@ ZERO = 20
 DOUBT = 9.0
 #: Members that a task compares with each other at a time are two parts of a bucket; a part has so many members and elements on average.
 BLOCK, ELEMENTS = 512, 1 << 21
-#: Rows with whole sets that are handed to Python at a time.
-SETS = 256
+#: Rows with whole sets, and with whole texts, that are handed to Python at a time.
+SETS, TEXTS = 256, 1024
 
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLY = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -353,7 +353,8 @@ class _Classes:
     def __init__(self, docs: DataFrame, percent: int, id_col: str, text_col: str):
         self.scratch, self.percent, self.limit = Scratch(docs.sparkSession, "near"), percent, percent / 100
         self.texts = _texts(docs, id_col, text_col)
-        self.profiles = self.scratch.save(profile(docs, id_col, text_col), "profiles")
+        with batches_of(docs.sparkSession, TEXTS):
+            self.profiles = self.scratch.save(profile(docs, id_col, text_col), "profiles")
         real = self.profiles.filter(F.col("digest").isNotNull() & F.col("_id").isNotNull())
         made = real.groupBy("digest", "n", "sketch").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("members"))
         self.classes = self.scratch.save(made.withColumn("c", F.monotonically_increasing_id()), "classes")

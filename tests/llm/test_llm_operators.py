@@ -387,3 +387,19 @@ def test_decontamination(spark, odd, none):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 10
     assert sorted(r.doc_id for r in drop_contaminated(d, b).collect()) == sorted({i for i, _ in docs} - {i for i, _ in want})
     assert contaminated(odd, b).count() == 0 and contaminated(none, b).count() == 0 and contaminated(d, b.filter("false")).count() == 0
+
+
+def test_a_new_owner_frees_other_caches():
+    from talkgrain.llm import workers
+
+    kept = {"runs": 1}
+    workers.keeps("runs", kept.clear)
+    try:
+        workers.take_over("language")
+        assert not kept
+        kept["runs"] = 1
+        workers.take_over("language")  # the owner stays: nothing is swept again
+        assert kept
+    finally:
+        workers._clearers.pop("runs")
+        workers._owner.clear()
