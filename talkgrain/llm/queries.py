@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkgrain.llm.collocations import collocations
 from talkgrain.llm.common import Scratch
 from talkgrain.llm.decontaminate import contaminated
 from talkgrain.llm.exact_dedup import exact_dedup
+from talkgrain.llm.html import extract_pages
 from talkgrain.llm.language_id import fit, held_out, identify
 from talkgrain.llm.near_dedup import near_duplicates
 from talkgrain.llm.packing import pack_documents
 from talkgrain.llm.pii import pseudonymise
+from talkgrain.llm.runs import looped, periodic_runs, run_digests
 from talkgrain.llm.sharding import shard
 from talkgrain.llm.token_counts import token_counts
 from talkgrain.llm.training_order import verify, write_shards
@@ -76,7 +79,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_training_order, op4_pii, op5_warc, op6_token_counts, op7_packing, op8_sharding, op9_near_duplicates, op10_decontamination)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), edit=looped))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=10, longest=3, drop_percent=50, top=2000).withColumnRenamed("category", "lang")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_training_order, op4_pii, op5_warc, op6_token_counts, op7_packing, op8_sharding, op9_near_duplicates, op10_decontamination, op11_periodic_runs, op12_main_text, op13_collocations)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -102,4 +117,20 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT node, min(label) AS label FROM r GROUP BY 1)
         SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(m.label, s.doc_id) AS component_id, s.doc_id = coalesce(m.label, s.doc_id) AS kept
         FROM s LEFT JOIN c ON c.g = list_sort(s.g) LEFT JOIN m ON m.node = c.c""",
+    "op13_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1),
+        g AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
+              UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p
+              UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p),
+        f AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+        c AS (SELECT lang, k, phrase, f AS a, w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+        s AS (SELECT c.lang, c.k, c.phrase, a, cut, x.f AS l, y.f AS r, (1000000 * a::HUGEINT * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+              FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        o AS (SELECT lang, u AS phrase, max(f) AS most FROM (SELECT lang, f, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS u FROM f WHERE k = 3) GROUP BY 1, 2)
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+        FROM b JOIN n USING (lang) LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase AND b.k = 2
+        WHERE most IS NULL OR 100 * most < 50 * a QUALIFY rank <= 2000""",
 }
