@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Order, labels and patterns decide results and so must be these. (?U) gives Unicode digits and words.
-BEFORE, AFTER, GAP = "(?<!\\d)", "(?!\\d)", "[ .\\-]?"
+BEFORE, AFTER, GAP = "(?<![\\d+])", "(?!\\d)", "[ .\\-]?"
 PATTERNS = (
     ("[EMAIL]", "\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b"),
     ("[IBAN]", "\\b[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[A-Z0-9]{10,20}\\b"),
@@ -29,19 +29,26 @@ PROTECTED = (
 
 
 def _step(label: str, pattern: str) -> Callable[[Column], Column]:
-    return lambda s: F.struct(F.regexp_replace(s["t"], pattern, label).alias("t"), (s["n"] + F.regexp_count(s["t"], F.lit(pattern))).alias("n"))
+    """One search: what lies between the matches gives both the text with labels and their number."""
+    return lambda s: F.struct(F.array_join(s["p"], label).alias("t"), (s["n"] + F.size(s["p"]) - 1).alias("n"))
 
 
 def _segment(text: Column) -> Column:
     """Struct of the redacted piece and its count; every pattern sees what the ones before it left."""
     state = F.struct(text.alias("t"), F.lit(0).alias("n"))
     for label, pattern in PATTERNS:
-        state = F.get(F.transform(F.array(state), _step(label, f"(?U){pattern}")), 0)  # computed once per piece
+        parts = F.transform(F.array(state), lambda s: F.struct(F.split(s["t"], f"(?U){pattern}", -1).alias("p"), s["n"].alias("n")))  # noqa: B023  computed once per piece
+        state = F.get(F.transform(parts, _step(label, pattern)), 0)
     return state
 
 
 def redacted(text: Column) -> Column:
-    """Struct: text, original_length, count. Identifiers and machine timestamps are left alone."""
+    """Struct: text, original_length, count. Identifiers and machine timestamps are left alone. A text without a digit or an @ has nothing to find."""
+    clean = F.struct(text.alias("text"), F.length(text).alias("original_length"), F.lit(0).alias("count"))
+    return F.when(text.rlike("(?U)[\\d@]"), _redacted(text)).when(text.isNotNull(), clean)
+
+
+def _redacted(text: Column) -> Column:
     kept = F.regexp_extract_all(text, F.lit(f"(?U)({PROTECTED})"), F.lit(0))
     pieces = F.transform(F.split(text, f"(?U){PROTECTED}", -1), _segment)
 

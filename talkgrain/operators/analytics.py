@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgrain.functions.text import jaccard
+from talkgrain.operators.quantiles import with_quantiles
 
 # Fixed values.
 FLAT, SLOW_SECONDS, WALL_FACTOR = 0.1, 3600, 1.25
@@ -38,12 +39,14 @@ def hourly_cost(hourly: float, seconds_per_token: Column, tokens_per_call: Colum
 
 
 def recogniser(rows: DataFrame) -> DataFrame:
-    """rows (language, audio_s, total_s, stage_s?): pooled real-time factor, and a stage's over the rows that have it."""
-    has = F.col("stage_s").isNotNull()
-    return rows.groupBy("language").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("total_s"), 6).alias("mean_s"), F.round(F.median("total_s"), 6).alias("median_s"), F.round(F.max("total_s"), 6).alias("max_s"),
-        F.round(F.try_divide(F.sum("total_s"), F.sum("audio_s")), 6).alias("rtf"), F.round(F.try_divide(F.sum("stage_s"), F.sum(F.when(has, F.col("audio_s")))), 6).alias("stage_rtf"),
+    """rows (language, audio_s, total_s, stage_s?): pooled real-time factor and its inverse over the timed rows, and a stage's factor over the rows that have it."""
+    has, timed = F.col("stage_s").isNotNull(), F.col("total_s").isNotNull()
+    figures = rows.groupBy("language").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("total_s"), 6).alias("mean_s"), F.round(F.max("total_s"), 6).alias("max_s"),
+        F.round(F.try_divide(F.sum("total_s"), F.sum(F.when(timed, F.col("audio_s")))), 6).alias("rtf"), F.round(F.try_divide(F.sum(F.when(timed, F.col("audio_s"))), F.sum("total_s")), 6).alias("speed"),
+        F.round(F.try_divide(F.sum("stage_s"), F.sum(F.when(has, F.col("audio_s")))), 6).alias("stage_rtf"),
     )
+    return with_quantiles(figures, rows, ["language"], {"_q": F.col("total_s")}, {"_q": ("median_s", "_p95")}).drop("_p95")
 
 
 def sentiment_direction(first: Column, last: Column, n: Column) -> Column:
@@ -116,10 +119,15 @@ def linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             return nodes.select("node").join(edges, F.col("node") == F.col("b"), "left").select("node", F.coalesce("a", "node").alias("cluster"))
 
 
+def _mixed(word: Column) -> Column:
+    core = F.btrim(word, F.lit(STRIPPED))
+    return core.rlike("[\\x{0600}-\\x{06FF}]") & core.rlike("[A-Za-z]")
+
+
 def violations(texts: DataFrame) -> DataFrame:
-    """texts (call_id, text): banned words, and words of two scripts."""
+    """texts (call_id, text): banned words, and words of two scripts; punctuation around a word is of no script."""
     banned = texts.select("call_id", F.explode(F.filter(F.array(*map(F.lit, BANNED)), lambda w: F.col("text").contains(w))).alias("what")).withColumn("kind", F.lit("banned"))
-    mixed = texts.select("call_id", F.explode(F.filter(F.split("text", "(?U)\\s+"), lambda w: w.rlike("[\\x{0600}-\\x{06FF}]") & w.rlike("[A-Za-z]"))).alias("what")).withColumn("kind", F.lit("mixed"))
+    mixed = texts.select("call_id", F.explode(F.filter(F.split("text", "(?U)\\s+"), _mixed)).alias("what")).withColumn("kind", F.lit("mixed"))
     return banned.unionByName(mixed)
 
 

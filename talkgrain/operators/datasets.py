@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkgrain.operators import ordered
+
 
 def batches(rows: DataFrame, n: int, group: str, order: str) -> DataFrame:
     """n consecutive slices of each group, larger ones first."""
-    return rows.withColumn("batch", F.ntile(n).over(Window.partitionBy(group).orderBy(order)))
+    out = ordered.ranked(rows, [group], [order], "_rank", "_size")
+    return out.withColumn("batch", ordered.tile(F.col("_rank"), F.col("_size"), n).cast("int")).drop("_rank", "_size")
 
 
 def apportion(weights: DataFrame, total: int) -> DataFrame:
@@ -25,28 +28,29 @@ def _draw(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def _drawn(rows: DataFrame, seed: int, group: str, key: str) -> DataFrame:
+    """rows with their place _rank in the group's order by keyed hash, and the group's _size."""
+    return ordered.ranked(rows.withColumn("_draw", _draw(seed, key)), [group], ["_draw", key], "_rank", "_size").drop("_draw")
+
+
 def sample(rows: DataFrame, fraction: float, seed: int, group: str, key: str) -> DataFrame:
     """A fixed share of each group, half-even rounded, drawn by keyed hash."""
-    w = Window.partitionBy(group)
-    picked = rows.withColumn("_r", F.row_number().over(w.orderBy(_draw(seed, key)))).withColumn("_k", F.bround(F.count(F.lit(1)).over(w) * fraction))
-    return picked.filter("_r <= _k").drop("_r", "_k")
+    return _drawn(rows, seed, group, key).filter(F.col("_rank") <= F.bround(F.col("_size") * fraction)).drop("_rank", "_size")
 
 
 def split(rows: DataFrame, fraction: float, seed: int, group: str, key: str) -> DataFrame:
     """rows and part: groups of one are training data; else at least one row of each part."""
-    w = Window.partitionBy(group)
-    n = F.count(F.lit(1)).over(w)
+    n = F.col("_size")
     val = F.least(F.greatest(F.lit(1), F.bround(n * fraction)), n - 1)
-    return rows.withColumn("part", F.when((n >= 2) & (F.row_number().over(w.orderBy(_draw(seed, key))) <= val), "val").otherwise("train"))
+    return _drawn(rows, seed, group, key).withColumn("part", F.when((n >= 2) & (F.col("_rank") <= val), "val").otherwise("train")).drop("_rank", "_size")
 
 
 def interleave(rows: DataFrame, group: str, order: str, even: bool = False) -> DataFrame:
     """Round robin over groups: turn, then group; with even, only as many turns as the smallest group has."""
-    out = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    out = ordered.ranked(rows, [group], [order], "turn", "_size")
     if even:
-        least = out.groupBy(group).agg(F.max("turn").alias("n")).agg(F.min("n").alias("_least"))
-        out = out.join(F.broadcast(least)).filter("turn <= _least").drop("_least")  # one row
-    return out
+        out = out.join(F.broadcast(out.agg(F.min("_size").alias("_least")))).filter("turn <= _least").drop("_least")  # one row
+    return out.drop("_size")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

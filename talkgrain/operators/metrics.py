@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgrain.functions import text as T
+from talkgrain.operators.quantiles import with_quantiles
+
+#: The four quality figures of a benchmark cell.
+CELL_METRICS = ("accuracy", "rubric_agreement", "grounding_precision", "unsupported_rate")
 
 
 def last_per(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -77,27 +81,33 @@ def rate(numerator: Column, n: Column) -> Column:
 
 def quantiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact p50 and p95, interpolated; null values do not count."""
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"))
+    figures = rows.groupBy(*keys).agg(F.count(value).alias("n"))
+    return with_quantiles(figures, rows, keys, {"_q": F.col(value)}, {"_q": ("p50", "p95")})
 
 
 def service(calls: DataFrame) -> DataFrame:
     """calls (language, attempts, status, queued, started, finished in seconds): waits, times, retries, failures, throughput."""
     wait, took = F.col("started") - F.col("queued"), F.col("finished") - F.col("started")
-    return calls.groupBy("language").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.percentile(wait, F.lit(0.5)), 6).alias("wait_p50"), F.round(F.percentile(wait, F.lit(0.95)), 6).alias("wait_p95"),
-        F.round(F.percentile(took, F.lit(0.5)), 6).alias("time_p50"), F.round(F.percentile(took, F.lit(0.95)), 6).alias("time_p95"),
-        F.round(F.avg((F.col("attempts") > 1).cast("double")), 6).alias("retry_rate"), F.round(F.avg((F.col("status") == "failed").cast("double")), 6).alias("failure_rate"),
+    figures = calls.groupBy("language").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("attempts") > 1).cast("double")), 6).alias("retry_rate"), F.round(F.avg((F.col("status") == "failed").cast("double")), 6).alias("failure_rate"),
         F.round(F.try_divide(F.count(F.lit(1)) * 60, F.max("finished") - F.min("queued")), 6).alias("calls_per_minute"),
     )
+    return with_quantiles(figures, calls, ["language"], {"_w": wait, "_t": took}, {"_w": ("wait_p50", "wait_p95"), "_t": ("time_p50", "time_p95")})
 
 
 def benchmark_cells(records: DataFrame) -> DataFrame:
-    """records (arm, language, outcome, latency, tokens): a cell per arm and language."""
+    """records (arm, language, outcome, latency, tokens, and, if known, the four metrics of valid calls and latency_n): a cell per arm and language.
+
+    latency_n counts the latencies that were measured and falls back to n where it is null throughout.
+    """
     ok = F.col("outcome") == "ok"
-    return records.groupBy("arm", "language").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("valid"), F.round(F.avg(ok.cast("double")), 6).alias("valid_rate"), F.count_if(~ok).alias("errors"),
-        F.round(F.percentile(F.when(ok, F.col("latency")), F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(F.when(ok, F.col("latency")), F.lit(0.95)), 6).alias("p95"), F.round(F.avg("tokens"), 6).alias("tokens"),
-    )
+    more = [F.round(F.avg(F.when(ok, F.col(m))), 6).alias(m) for m in CELL_METRICS if m in records.columns]
+    if "latency_n" in records.columns:
+        more.append(F.coalesce(F.sum("latency_n"), F.count(F.lit(1))).alias("latency_n"))
+    figures = records.groupBy("arm", "language").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("valid"), F.round(F.avg(ok.cast("double")), 6).alias("valid_rate"), F.count_if(~ok).alias("errors"), F.round(F.avg("tokens"), 6).alias("tokens"), *more
+    )
+    return with_quantiles(figures, records, ["arm", "language"], {"_q": F.when(ok, F.col("latency"))}, {"_q": ("p50", "p95")})
 
 
 def paired_verdict(scores: DataFrame) -> DataFrame:

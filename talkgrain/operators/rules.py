@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rules that are sent to every executor at a time; a larger rule set is sent in parts.
-MAX_RULES = 100_000
-#: Cosines that a worker holds at a time, and how far products in another order of summing may be off.
-CELLS, ROUNDING = 4_000_000, 1e-9
+from talkgrain.operators import search
+
 SIMILAR, MIN_APPLICATIONS, MIN_SUCCESS = 0.7, 10, 0.5
 
 
@@ -26,79 +19,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Dot products row by row, summed in order as dot does, so equal vectors have equal products."""
-    out = np.zeros(len(a))
-    for d in range(a.shape[1]):
-        out += a[:, d] * b[:, d]
-    return out
-
-
-class _Block:
-    """The vectors of some rules, with what their cosines need."""
-
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        self.norms = np.sqrt(_products(vectors, vectors))
-        self.unit = vectors / np.maximum(self.norms, 1e-300)[:, None]
-
-    def cosines(self, at: np.ndarray, other: _Block, there: np.ndarray) -> np.ndarray:
-        norm = self.norms[at] * other.norms[there]
-        return np.where(norm == 0, 0.0, _products(self.vectors[at], other.vectors[there]) / np.where(norm == 0, 1.0, norm))
-
-
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), float)
-
-
-def _search(left: DataFrame, rules: DataFrame, order: str, pick: Callable[[_Block, _Block, np.ndarray], tuple[np.ndarray, np.ndarray]], schema: str, within: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]) -> DataFrame:
-    """left (id, vec) against all rules, of which MAX_RULES at a time are sent around; pick names pairs by products that are rounded otherwise, within settles them."""
-    rules = rules.filter("vec is not null")
-    parts = max(1, -(-rules.count() // MAX_RULES))
-    found = []
-    for part in range(parts):
-        some = rules.filter(F.pmod(F.xxhash64(rules.columns[0]), F.lit(parts)) == part).toPandas().sort_values(order, kind="stable").reset_index(drop=True)
-        if not len(some):
-            continue
-        sent = left.sparkSession.sparkContext.broadcast((some.drop(columns="vec"), _Block(_matrix(some["vec"]))))
-
-        def solve(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            names, block = sent.value
-            step = max(1, CELLS // len(names))
-            for rows in batches:
-                for at in range(0, len(rows), step):
-                    some = rows.iloc[at : at + step].reset_index(drop=True)
-                    mine = _Block(_matrix(some["vec"]))
-                    i, j = pick(mine, block, mine.unit @ block.unit.T)
-                    yield within(some, names, i, j, mine.cosines(i, block, j))
-
-        found.append(left.filter("vec is not null").mapInPandas(solve, schema))
-    return reduce(DataFrame.unionByName, found) if found else left.sparkSession.createDataFrame([], schema)
-
-
-def _kind(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
-
-
 def retrieve(queries: DataFrame, rules: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """queries (query_id, vec), active rules (rule_id, pos, vec): the k most similar; ties in insertion order. Rows without a vector match nothing."""
-
-    def pick(mine: _Block, block: _Block, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = near.shape[1]
-        least = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf)
-        return np.nonzero(near >= least[:, None] - ROUNDING)
-
-    def within(some: pd.DataFrame, names: pd.DataFrame, i: np.ndarray, j: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-        best = np.lexsort((j, -c, i))  # names are in insertion order
-        i, j, c = i[best], j[best], c[best]
-        first = np.arange(len(i)) - np.searchsorted(i, i) < k
-        i, j, c = i[first], j[first], c[first]
-        return pd.DataFrame({"query_id": some["query_id"].to_numpy()[i], "rule_id": names["rule_id"].to_numpy()[j], "pos": names["pos"].to_numpy()[j], "similarity": c})
-
-    schema = f"query_id {_kind(queries, 'query_id')}, rule_id {_kind(rules, 'rule_id')}, pos {_kind(rules, 'pos')}, similarity double"
-    scored = _search(queries.select("query_id", "vec"), rules.select("rule_id", "pos", "vec"), "pos", pick, schema, within)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "pos"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rule_id", "rank", F.round("similarity", digits).alias("similarity"))
+    return search.nearest(queries, rules, k).select("query_id", "rule_id", "rank", F.round("similarity", digits).alias("similarity"))
 
 
 def leave_one_out(ranked: DataFrame, k: int) -> DataFrame:
@@ -109,72 +32,14 @@ def leave_one_out(ranked: DataFrame, k: int) -> DataFrame:
 
 def similar_pairs(rules: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """Pairs of rules with a cosine of at least the threshold."""
-
-    def pick(mine: _Block, block: _Block, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.nonzero(near >= threshold - ROUNDING)
-
-    def within(some: pd.DataFrame, names: pd.DataFrame, i: np.ndarray, j: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-        found = pd.DataFrame({"a": some["rule_id"].to_numpy()[i], "b": names["rule_id"].to_numpy()[j], "similarity": c})
-        return found[(found["a"] < found["b"]) & (found["similarity"] >= threshold)]
-
-    kind, rows = _kind(rules, "rule_id"), rules.select("rule_id", "vec")
-    return _search(rows, rows, "rule_id", pick, f"a {kind}, b {kind}, similarity double", within)
-
-
-def complete_linkage(vectors: np.ndarray, threshold: float = SIMILAR) -> list[list[int]]:
-    """Merges the two clusters whose least similar members are most similar, while that is at least the threshold; ties go to the lowest numbers."""
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    least = unit @ unit.T
-    np.fill_diagonal(least, -np.inf)
-    n = len(vectors)
-    groups: dict[int, list[int]] = {i: [i] for i in range(n)}
-    upper = np.triu(least, 1) + np.tril(np.full_like(least, -np.inf))
-    there, best = upper.argmax(axis=1), upper.max(axis=1)  # of each row its best partner of a higher number
-    del upper
-
-    def renew(k: int) -> None:
-        if k + 1 < n:
-            there[k] = k + 1 + int(np.argmax(least[k, k + 1 :]))
-            best[k] = least[k, there[k]]
-
-    while len(groups) > 1:
-        i = int(np.argmax(best))
-        j = int(there[i])
-        if not best[i] >= threshold:
-            break
-        groups[i] = sorted(groups[i] + groups.pop(j))
-        least[i] = np.minimum(least[i], least[j])
-        least[:, i] = least[i]
-        least[j] = least[:, j] = least[i, i] = -np.inf
-        best[j] = -np.inf
-        renew(i)
-        for k in np.flatnonzero(((there == i) | (there == j)) & (best > -np.inf)):
-            renew(int(k))
-    return [groups[k] for k in sorted(groups)]
+    return search.pairs(rules, threshold)
 
 
 def clusters(rules: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """rule_id, cluster: complete linkage over all active rules. Only rules that a chain of similar pairs connects can share a cluster, so each such component is solved by itself; clusters are numbered by their first rules."""
-    from talkgrain.operators.analytics import linked
-
-    kind = _kind(rules, "rule_id")
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable").reset_index(drop=True)
-        found = complete_linkage(_matrix(rows["vec"]), threshold)
-        first = {i: rows["pos"][g[0]] for g in found for i in g}
-        return pd.DataFrame({"rule_id": rows["rule_id"], "first": [first[i] for i in range(len(rows))]})
-
-    rows = rules.select("rule_id", "pos", "vec")
-    part = linked(similar_pairs(rows, threshold - 2 * ROUNDING).select("a", "b"), rows.select(F.col("rule_id").alias("node")))
-    rows = rows.join(part.withColumnRenamed("node", "rule_id"), "rule_id")
-    size = F.count(F.lit(1)).over(Window.partitionBy("cluster"))
-    rows = rows.withColumn("_n", size)
-    solved = rows.filter("_n > 1").groupBy("cluster").applyInPandas(solve, f"rule_id {kind}, first {_kind(rules, 'pos')}")
-    solved = solved.unionByName(rows.filter("_n = 1").select("rule_id", F.col("pos").alias("first"))).checkpoint()
-    ordered = solved.select("first").distinct().sort("first").rdd.map(lambda r: r[0]).zipWithIndex()
-    numbers = rules.sparkSession.createDataFrame(ordered, f"first {_kind(rules, 'pos')}, cluster int")
-    return solved.join(numbers, "first").select("rule_id", "cluster")
+    """rule_id, cluster: complete linkage over all active rules, numbered by their first rules."""
+    from talkgrain.operators import linkage
+
+    return linkage.clusters(rules, threshold)
 
 
 def merged(rules: DataFrame, cluster_of: DataFrame) -> DataFrame:

@@ -63,13 +63,14 @@ def _nearest(asr: DataFrame, s: DataFrame) -> DataFrame:
 
 
 def align(asr: DataFrame, speakers: DataFrame) -> DataFrame:
-    """Each asr segment (call_id, pos, start_sec, end_sec) with the speaker that overlaps it most, else the nearest by midpoint; ties go to the first."""
+    """Each asr segment (call_id, pos, start_sec, end_sec) with the speaker that overlaps it most, else the nearest by midpoint; ties go to the first. In a call without any speaker it stays, with none."""
     s = speakers.select("call_id", F.col("pos").alias("_p"), F.col("name").alias("speaker"), F.col("start_sec").alias("_s"), F.col("end_sec").alias("_e"))
     asr = asr.select("call_id", "pos", "start_sec", "end_sec")
-    both = _meeting(asr, s).unionByName(_nearest(asr, s))
+    both = _meeting(asr, s).unionByName(_nearest(asr, s)).unionByName(asr, allowMissingColumns=True)
     both = both.withColumn("overlap_sec", overlap(F.col("start_sec"), F.col("end_sec"), F.col("_s"), F.col("_e")))
     far = F.abs((F.col("start_sec") + F.col("end_sec")) / 2 - (F.col("_s") + F.col("_e")) / 2)
-    order = F.struct((-F.col("overlap_sec")).alias("o"), F.when(F.col("overlap_sec") > 0, 0.0).otherwise(far).alias("far"), "_p", "speaker")
+    none = F.col("_p").isNull()
+    order = F.struct(none.alias("none"), F.when(~none, -F.col("overlap_sec")).alias("o"), F.when(F.col("overlap_sec") > 0, 0.0).otherwise(far).alias("far"), "_p", "speaker")
     return both.groupBy("call_id", "pos").agg(F.min(order).alias("_b")).select("call_id", "pos", "_b.speaker", F.round(-F.col("_b.o"), 6).alias("overlap_sec"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talkgrain.operators import datasets, lifecycle, records, rules, validators
+from talkgrain.operators import datasets, lifecycle, ordered, records, rules, validators
 from talkgrain.plans import fixtures as fx
 from talkgrain.plans.registry import LANGUAGE, _vectors, query
 
@@ -293,8 +293,8 @@ def conflict_candidates(spark, sf_dir):
 @query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('11:' || c_custkey)) AS turn, ['billing', 'delivery', 'repair'][((c_custkey * 7 + 11) % 3 + 1)::INT] AS scenario FROM customer""")
 def shuffled_sequence(spark, sf_dir):
     """BAT-05: a seeded order within a category and a seeded choice."""
-    order = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.md5(F.concat(F.lit("11:"), F.col("c_custkey").cast("string")))))
-    return fx.read(spark, sf_dir, "customer").select("c_custkey", order.cast("long").alias("turn"), _pick(("billing", "delivery", "repair"), (F.col("c_custkey") * 7 + 11) % 3).alias("scenario"))
+    c = fx.read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.md5(F.concat(F.lit("11:"), F.col("c_custkey").cast("string"))).alias("draw"))
+    return ordered.ranked(c, ["c_nationkey"], ["draw", "c_custkey"], "turn", "size").select("c_custkey", F.col("turn").cast("long").alias("turn"), _pick(("billing", "delivery", "repair"), (F.col("c_custkey") * 7 + 11) % 3).alias("scenario"))
 
 
 @query("""SELECT o_orderkey AS id, 'analysis' AS origin, c_name AS owner FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT l_orderkey, 'correction', s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'""")

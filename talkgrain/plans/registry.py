@@ -11,6 +11,7 @@ from talkgrain.functions import redact as R
 from talkgrain.functions import text as T
 from talkgrain.operators import datasets, evidence, lifecycle, metrics, rules, timelines, validators
 from talkgrain.plans import fixtures as fx
+from talkgrain.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -235,7 +236,7 @@ def metric_trend(spark, sf_dir):
 BOTH = f"{fx.segments_sql('asr', 'asr')}, {fx.segments_sql('speakers', 'spk')}"
 
 
-@query(f"""WITH {BOTH}, j AS (SELECT a.call_id, a.pos, s.name AS speaker, s.pos AS p, greatest(0.0, least(a.end_sec, s.end_sec) - greatest(a.start_sec, s.start_sec)) AS o, abs((a.start_sec + a.end_sec) / 2 - (s.start_sec + s.end_sec) / 2) AS d FROM asr a JOIN spk s USING (call_id))
+@query(f"""WITH {BOTH}, j AS (SELECT a.call_id, a.pos, s.name AS speaker, s.pos AS p, CASE WHEN s.pos IS NOT NULL THEN greatest(0.0, least(a.end_sec, s.end_sec) - greatest(a.start_sec, s.start_sec)) END AS o, abs((a.start_sec + a.end_sec) / 2 - (s.start_sec + s.end_sec) / 2) AS d FROM asr a LEFT JOIN spk s USING (call_id))
     SELECT call_id, pos, speaker, round(o, 6) AS overlap_sec FROM j QUALIFY row_number() OVER (PARTITION BY call_id, pos ORDER BY o DESC, CASE WHEN o > 0 THEN 0 ELSE d END, p) = 1""")
 def speaker_alignment(spark, sf_dir):
     """JOIN-14, SIM-05, SEG-02."""
@@ -272,13 +273,24 @@ VECTOR_SQL = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddin
 
 def _checkpoints(spark) -> None:
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        spark.sparkContext.setCheckpointDir(files.shared_folder(spark, "checkpoints"))
 
 
 def _vectors(spark, sf_dir):
     return fx.read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
 
 
+#: Vectors that cluster: each leans towards the first of its eight.
+GROUPED_SQL = """g AS (SELECT a.vec_id, a.label, list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE + 1.6 * coalesce(b.embedding[i]::DOUBLE, 0)) AS v FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 8)"""
+
+
+def _grouped_vectors(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    head = v.filter("vec_id % 8 = 0").select(F.col("vec_id").alias("head"), F.col("vec").alias("u"))
+    near = F.zip_with("vec", F.coalesce("u", F.transform("vec", lambda _: F.lit(0.0))), lambda x, y: x + F.lit(1.6) * y)
+    return v.join(head, F.col("head") == F.col("vec_id") - F.col("vec_id") % 8, "left").select("vec_id", "label", near.alias("vec"))
+
+
 @query(f"""WITH {VECTOR_SQL}, s AS (SELECT q.vec_id AS query_id, r.vec_id AS rule_id, list_cosine_similarity(q.v, r.v) AS c FROM e q JOIN e r ON q.vec_id % 20 = 0 AND r.label % 5 <> 0)
     SELECT query_id, rule_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, rule_id)::BIGINT AS rank, round(c, 6) AS similarity FROM s QUALIFY rank <= 5""")
 def retrieved_rules(spark, sf_dir):
@@ -290,9 +302,9 @@ def retrieved_rules(spark, sf_dir):
 
 @query()
 def rule_clusters(spark, sf_dir):
-    """CLU-01, CLU-03: complete linkage of all vectors; it is tested against brute force."""
+    """CLU-01: complete linkage of all vectors, leaning towards the first of their eight; it is tested against brute force."""
     _checkpoints(spark)
-    v = _vectors(spark, sf_dir)
+    v = _grouped_vectors(spark, sf_dir)
     return rules.clusters(v.select(F.col("vec_id").alias("rule_id"), F.col("vec_id").alias("pos"), "vec"))
 
 

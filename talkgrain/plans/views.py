@@ -8,7 +8,7 @@ from talkgrain.functions import redact as R
 from talkgrain.functions import text as T
 from talkgrain.operators import analytics, lifecycle, rules, timelines, validators
 from talkgrain.plans import fixtures as fx
-from talkgrain.plans.registry import LANGUAGE, VERDICT_SQL, _checkpoints, _verdicts, query
+from talkgrain.plans.registry import GROUPED_SQL, LANGUAGE, VERDICT_SQL, _checkpoints, _grouped_vectors, _verdicts, query
 
 EVENT_LANGUAGE = LANGUAGE.format("event_id")
 
@@ -32,12 +32,12 @@ def call_costs(spark, sf_dir):
     return fx.read(spark, sf_dir, "events").select("event_id", F.round(analytics.token_cost(n, v, 0.3, 2.5), 6).alias("token_cost"), F.round(analytics.hourly_cost(1.5, v, n), 6).alias("hourly_cost"))
 
 
-@query(f"""WITH r AS (SELECT {EVENT_LANGUAGE} AS language, value AS audio_s, value * (1 + event_id % 3) AS total_s, CASE WHEN event_type <> 'view' THEN value * 0.5 END AS stage_s FROM events)
-    SELECT language, count(*) AS n, round(avg(total_s), 6) AS mean_s, round(median(total_s), 6) AS median_s, round(max(total_s), 6) AS max_s, round(sum(total_s) / sum(audio_s), 6) AS rtf, round(sum(stage_s) / sum(audio_s) FILTER (WHERE stage_s IS NOT NULL), 6) AS stage_rtf FROM r GROUP BY 1""")
+@query(f"""WITH r AS (SELECT {EVENT_LANGUAGE} AS language, value AS audio_s, CASE WHEN event_id % 11 <> 0 THEN value * (1 + event_id % 3) END AS total_s, CASE WHEN event_type <> 'view' THEN value * 0.5 END AS stage_s FROM events)
+    SELECT language, count(*) AS n, round(avg(total_s), 6) AS mean_s, round(median(total_s), 6) AS median_s, round(max(total_s), 6) AS max_s, round(sum(total_s) / sum(audio_s) FILTER (WHERE total_s IS NOT NULL), 6) AS rtf, round(sum(audio_s) FILTER (WHERE total_s IS NOT NULL) / sum(total_s), 6) AS speed, round(sum(stage_s) / sum(audio_s) FILTER (WHERE stage_s IS NOT NULL), 6) AS stage_rtf FROM r GROUP BY 1""")
 def recogniser_latency(spark, sf_dir):
     """AGG-22, AGG-23."""
     v = F.col("value")
-    return analytics.recogniser(fx.read(spark, sf_dir, "events").select(fx.category("event_id").alias("language"), v.alias("audio_s"), (v * (F.pmod("event_id", F.lit(3)) + 1)).alias("total_s"), F.when(F.col("event_type") != "view", v * 0.5).alias("stage_s")))
+    return analytics.recogniser(fx.read(spark, sf_dir, "events").select(fx.category("event_id").alias("language"), v.alias("audio_s"), F.when(F.col("event_id") % 11 != 0, v * (F.pmod("event_id", F.lit(3)) + 1)).alias("total_s"), F.when(F.col("event_type") != "view", v * 0.5).alias("stage_s")))
 
 
 @query(f"SELECT {LANGUAGE.format('doc_id')} AS language, lang AS detected, count(*) AS n FROM documents GROUP BY 1, 2")
@@ -103,11 +103,10 @@ def single_linkage(spark, sf_dir):
     return analytics.linked(p, nodes)
 
 
-@query("""WITH r AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
-    SELECT a.vec_id AS a, b.vec_id AS b FROM r a JOIN r b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.7""")
+@query(f"""WITH {GROUPED_SQL} SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.7""")
 def similar_rules(spark, sf_dir):
-    """JOIN-19, AGG-30 over all vectors."""
-    v = fx.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rule_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    """JOIN-19 over all vectors, leaning towards the first of their eight."""
+    v = _grouped_vectors(spark, sf_dir).select(F.col("vec_id").alias("rule_id"), "vec")
     return rules.similar_pairs(v).select("a", "b")
 
 
@@ -208,13 +207,13 @@ def repeated_keys(spark, sf_dir):
     return validators.repeated(fx.read(spark, sf_dir, "lineitem"), "l_orderkey").filter("n > 6")
 
 
-@query(r"""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 10 = 0 THEN ' aبc' ELSE '' END || CASE WHEN doc_id % 20 = 0 THEN ' كده' ELSE '' END AS t FROM documents)
-    SELECT doc_id, word AS what, 'mixed' AS kind FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\s+')) AS word FROM d) WHERE word ~ '[\x{0600}-\x{06FF}]' AND word ~ '[A-Za-z]'
+@query(r"""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 10 = 0 THEN ' aبc' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' (hello،' ELSE '' END || CASE WHEN doc_id % 20 = 0 THEN ' كده' ELSE '' END AS t FROM documents)
+    SELECT doc_id, word AS what, 'mixed' AS kind FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\s+')) AS word FROM d) WHERE trim(word, '!"#$%&()*+,-./:;<=>?@[\]^_`{|}~،؛؟“”‘’') ~ '[\x{0600}-\x{06FF}]' AND trim(word, '!"#$%&()*+,-./:;<=>?@[\]^_`{|}~،؛؟“”‘’') ~ '[A-Za-z]'
     UNION ALL SELECT doc_id, b, 'banned' FROM d, (SELECT unnest(['فندم', 'إزاي', 'خالص', 'معلش', 'عايز', 'فين', 'كده', 'النهاردة']) AS b) WHERE contains(t, b)""")
 def dialect_violations(spark, sf_dir):
-    """TXT-09, TXT-10: every document is scanned; texts of every tenth get a planted word, those of every twentieth a banned one."""
+    """TXT-09, TXT-10: every document is scanned; texts of every tenth get a planted word, those of every twentieth a banned one; an Arabic comma after a Latin word is no violation."""
     d = fx.read(spark, sf_dir, "documents")
-    t = F.concat(F.col("text"), F.when(F.col("doc_id") % 10 == 0, " aبc").otherwise(""), F.when(F.col("doc_id") % 20 == 0, " كده").otherwise(""))
+    t = F.concat(F.col("text"), F.when(F.col("doc_id") % 10 == 0, " aبc").otherwise(""), F.when(F.col("doc_id") % 5 == 0, " (hello،").otherwise(""), F.when(F.col("doc_id") % 20 == 0, " كده").otherwise(""))
     return analytics.violations(d.select(F.col("doc_id").alias("call_id"), t.alias("text"))).withColumnRenamed("call_id", "doc_id")
 
 

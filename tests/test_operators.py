@@ -36,6 +36,11 @@ def one(spark, column):
         ("on 2031-04-27", "on [NUMBER]", 1),
         ("7b1c90de-51aa-4c0d-8e22-6f3a9d0b4c17 at 2030-02-03T04:05:06Z by q@r.org", "7b1c90de-51aa-4c0d-8e22-6f3a9d0b4c17 at 2030-02-03T04:05:06Z by [EMAIL]", 1),
         ("JO17ABCD0040000000000777000123", "JO17ABCD[PHONE]", 1),
+        ("1+2345678", "1+2345678", 0),
+        ("ext 12+345 6789", "ext 12+345 6789", 0),
+        ("C++0791234567", "C++0791234567", 0),
+        ("a++1234567", "a++1234567", 0),
+        ("no digits here", "no digits here", 0),
         ("", "", 0),
     ],
 )

@@ -33,7 +33,7 @@ def test_queries_see_every_interval(spark):
     asr, spk = timed(rows, "asr"), timed(rows, "speakers")
     assert max(len(v) for v in spk.values()) > 40
     got = {(r.call_id, r.pos): (r.speaker, r.overlap_sec) for r in registry.queries()["speaker_alignment"](spark, SMALL).collect()}
-    assert got == {(c, g[0]): best(g, spk[c]) for c, v in asr.items() if spk.get(c) for g in v}
+    assert got == {(c, g[0]): best(g, spk[c]) for c, v in asr.items() if spk.get(c) for g in v} | {(c, g[0]): (None, None) for c, v in asr.items() if not spk.get(c) for g in v}
     got = {(r.call_id, r.at): r.span_pos for r in registry.queries()["point_in_span"](spark, SMALL).collect()}
     assert got == {(c, g[2]): min((s[0] for s in spk.get(c, ()) if s[2] <= g[2] < s[3]), default=None) for c, v in asr.items() for g in v}
     assert sum(r.segments for r in registry.queries()["speaker_islands"](spark, SMALL).collect()) == sum(map(len, asr.values()))

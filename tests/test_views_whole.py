@@ -2,7 +2,7 @@
 
 import re
 
-from talkgrain.operators.analytics import BANNED
+from talkgrain.operators.analytics import BANNED, STRIPPED
 from talkgrain.plans import fixtures as fx
 from talkgrain.plans import registry, views  # noqa: F401
 
@@ -31,12 +31,12 @@ def test_cut_turns(spark):
 
 
 def test_dialect_violations(spark, tmp_path):
-    docs = [(1, "هوa كده"), (2, "plain"), (3, "معلش"), (10, "plain"), (20, "plain"), (21, "ok aب")]
+    docs = [(1, "هوa كده"), (2, "plain"), (3, "معلش"), (10, "plain"), (20, "plain"), (21, "ok aب"), (22, "hello، (hi؟ x،ب"), (5, "plain")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = []
     for i, text in docs:
-        text += (" aبc" if i % 10 == 0 else "") + (" كده" if i % 20 == 0 else "")
+        text += (" aبc" if i % 10 == 0 else "") + (" (hello،" if i % 5 == 0 else "") + (" كده" if i % 20 == 0 else "")
         want += [(i, w, "banned") for w in BANNED if w in text]
-        want += [(i, w, "mixed") for w in text.split() if re.search("[\u0600-\u06FF]", w) and re.search("[A-Za-z]", w)]
+        want += [(i, w, "mixed") for w in text.split() if re.search("[\u0600-\u06FF]", w.strip(STRIPPED)) and re.search("[A-Za-z]", w.strip(STRIPPED))]
     got = registry.queries()["dialect_violations"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.what, r.kind) for r in got) == sorted(want)
