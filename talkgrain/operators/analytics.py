@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkgrain.functions.text import jaccard
 from talkgrain.operators.quantiles import with_quantiles
+from talkgrain.sources import files
 
 # Fixed values.
 FLAT, SLOW_SECONDS, WALL_FACTOR = 0.1, 3600, 1.25
@@ -106,14 +107,14 @@ def recent(rows: DataFrame, owner: str, key: str, at: str, n: int = 5) -> DataFr
 
 def linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Single linkage: node, cluster (its smallest member), by large-star and small-star steps until only stars are left; chains of any length end."""
-    edges = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
+    edges = files.kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").distinct()  # greater neighbours to the smallest one
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        edges = small.filter("a <> b").distinct().checkpoint()
+        edges = files.kept(small.filter("a <> b").distinct())
         centres = edges.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
         if centres.filter("k > 1").isEmpty() and edges.select(F.col("a").alias("b")).join(edges.select("b"), "b", "left_semi").isEmpty():
             return nodes.select("node").join(edges, F.col("node") == F.col("b"), "left").select("node", F.coalesce("a", "node").alias("cluster"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from talkgrain.operators import ordered, search
 from talkgrain.operators.analytics import linked
+from talkgrain.sources import files
 
 #: Clusters that one task merges by itself, and rounds between two looks at the components.
 SMALL, ROUNDS = 500, 4
@@ -51,14 +52,14 @@ def _merged(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One round of edges (a < b, s): the edges that are left between the merged clusters, and what went (first) into which (keep)."""
     rank = F.struct(F.col("s"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"), rank.alias("r")).groupBy("node").agg(F.max("r").alias("r"))
-    mutual = ends.groupBy("r").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select((-F.col("r.x")).alias("keep"), (-F.col("r.y")).alias("gone")).checkpoint()
+    mutual = files.kept(ends.groupBy("r").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select((-F.col("r.x")).alias("keep"), (-F.col("r.y")).alias("gone")))
     moved = mutual.select(F.explode(F.array("keep", "gone")).alias("node"), "keep")
     for end in ("a", "b"):
         edges = edges.join(moved.select(F.col("node").alias(end), F.col("keep").alias(f"_{end}")), end, "left")
     size = lambda c: F.when(F.col(c).isNotNull(), 2).otherwise(1)
     a, b = F.coalesce("_a", "a"), F.coalesce("_b", "b")
     edges = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "s", (size("_a") * size("_b")).alias("m")).filter("a <> b")
-    edges = edges.groupBy("a", "b").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n"), F.max("m").alias("m")).filter("n = m").select("a", "b", "s").checkpoint()
+    edges = files.kept(edges.groupBy("a", "b").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n"), F.max("m").alias("m")).filter("n = m").select("a", "b", "s"))
     return edges, mutual.select(F.col("gone").alias("first"), "keep")
 
 
@@ -72,20 +73,20 @@ def link(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataFrame:
     of = nodes.select("node", F.col("node").alias("first"))
 
     def follow(moved: DataFrame) -> DataFrame:
-        return of.join(moved, "first", "left").select("node", F.coalesce("keep", "first").alias("first")).checkpoint()
+        return files.kept(of.join(moved, "first", "left").select("node", F.coalesce("keep", "first").alias("first")))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         found = _solve(rows)
         return pd.DataFrame({"first": list(found), "keep": list(found.values())})
 
-    edges = edges.select("a", "b", "s").checkpoint()
+    edges = files.kept(edges.select("a", "b", "s"))
     while not edges.isEmpty():
         ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         part = linked(edges.select("a", "b"), ends)
         part = part.join(part.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster")
-        inside = edges.join(part.select(F.col("node").alias("a"), "cluster", "n"), "a").checkpoint()
+        inside = files.kept(edges.join(part.select(F.col("node").alias("a"), "cluster", "n"), "a"))
         of = follow(inside.filter(F.col("n") <= small).groupBy("cluster").applyInPandas(solve, f"first {kind}, keep {kind}"))
-        edges = inside.filter(F.col("n") > small).select("a", "b", "s").checkpoint()
+        edges = files.kept(inside.filter(F.col("n") > small).select("a", "b", "s"))
         for _ in range(ROUNDS):
             if edges.isEmpty():
                 break
@@ -94,13 +95,20 @@ def link(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataFrame:
     return of
 
 
-def clusters(rules: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
-    """rules (rule_id, pos, vec): rule_id, cluster, numbered from 0 by their first rules in the order of pos, which must be unique numbers."""
-    rows = rules.select("rule_id", F.col("pos").cast("long").alias("pos"), "vec")
+def clusters(rules: DataFrame, threshold: float, small: int = SMALL, within: str | None = None) -> DataFrame:
+    """rules (rule_id, pos, vec): rule_id, cluster, numbered from 0 by their first rules in the order of pos, which must be unique numbers. Rules that differ in the column `within` share no cluster."""
+    label = F.col(within) if within else F.lit(0)
+    rows = rules.select("rule_id", F.col("pos").cast("long").alias("pos"), "vec", label.alias("_w"))
     zero = ~F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("_same", F.when(zero, F.struct(F.lit(None).cast("array<double>").alias("v"), F.col("pos").alias("p"))).otherwise(F.struct(F.col("vec").cast("array<double>").alias("v"), F.lit(None).cast("long").alias("p"))))
-    heads = rows.groupBy("_same").agg(F.min("pos").alias("head")).checkpoint()  # equal vectors; those without a direction are alike nothing
+    alone = F.struct(F.lit(None).cast("array<double>").alias("v"), F.col("pos").alias("p"), F.col("_w").alias("w"))
+    rows = rows.withColumn("_same", F.when(zero, alone).otherwise(F.struct(F.col("vec").cast("array<double>").alias("v"), F.lit(None).cast("long").alias("p"), F.col("_w").alias("w"))))
+    heads = files.kept(rows.groupBy("_same").agg(F.min("pos").alias("head")))  # equal vectors; those without a direction are alike nothing
     found = search.pairs(heads.select(F.col("head").alias("rule_id"), F.col("_same.v").alias("vec")), threshold)
+    if within:
+        of_head = heads.select("head", F.col("_same.w").alias("w"))
+        for end in ("a", "b"):
+            found = found.join(of_head.select(F.col("head").alias(end), F.col("w").alias(f"_{end}")), end)
+        found = found.filter(F.col("_a").eqNullSafe(F.col("_b")))
     of = link(found.select("a", "b", F.col("similarity").alias("s")), heads.select(F.col("head").alias("node")), small)
     firsts = ordered.ranked(of.select("first").distinct(), [], ["first"], "_n", "_size").select("first", (F.col("_n") - 1).cast("int").alias("cluster"))
     heads = heads.join(of.join(firsts, "first").select(F.col("node").alias("head"), "cluster"), "head").select(F.col("_same").alias("_s"), "cluster")
@@ -139,7 +147,7 @@ def statistics(members: DataFrame) -> DataFrame:
     hold the median, until few are left, which are told with their counts. No pair leaves its task.
     """
     members = members.select("cluster", "rule_id", F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
-    dealt = _block_pairs(members).checkpoint()
+    dealt = files.kept(_block_pairs(members))
     kind = dealt.schema["cluster"].dataType.simpleString()
     keys, over = ["cluster", "p", "q"], Window.partitionBy("cluster")
     spans = members.groupBy("cluster").agg(F.lit(-2.0).alias("lo"), F.lit(2.0).alias("hi"), F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("total"), F.lit(None).cast("double").alias("least"), F.lit(None).cast("long").alias("last"))
@@ -165,7 +173,7 @@ def statistics(members: DataFrame) -> DataFrame:
         counts = counts.withColumn("total", F.coalesce("total", F.sum("n").over(over))).withColumn("least", F.coalesce("least", F.min("low").over(over)))  # BINS rows at most
         counts = counts.withColumn("from", F.col("before") + F.sum("n").over(over.orderBy("bin")) - F.col("n"))
         holds = F.greatest(low, F.col("from")) <= F.least(high, F.col("from") + F.col("n") - 1)
-        spans = counts.filter(holds).groupBy("cluster").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.min("from").alias("before"), F.first("total").alias("total"), F.first("least").alias("least"), F.first("last").alias("last"), F.sum("n").alias("n")).checkpoint()
+        spans = files.kept(counts.filter(holds).groupBy("cluster").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.min("from").alias("before"), F.first("total").alias("total"), F.first("least").alias("least"), F.first("last").alias("last"), F.sum("n").alias("n")))
         if spans.filter((F.col("n") > RANKED) & (F.col("lo") < F.col("hi")) & (F.col("last").isNull() | (F.col("n") < F.col("last")))).isEmpty():
             break  # few values are left, or an interval no longer shrinks as its ends hold the two middle values
         spans = spans.withColumn("last", F.col("n")).drop("n")

@@ -18,8 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pivots at most, numbers in a block of vectors, and how far products in another order of summing may be off.
-PIVOTS, BLOCK_NUMBERS, ROUNDING = 256, 1 << 18, 1e-9
+from talkgrain.sources import files
+
+#: Pivots at most, vectors that are worth a pivot, numbers in a block of vectors, and how far products in another order of summing may be off.
+PIVOTS, PER_PIVOT, BLOCK_NUMBERS, ROUNDING = 256, 64, 1 << 18, 1e-9
 #: Slack of angle bounds: acos near 1 turns a rounding of 1e-16 into 1e-8.
 SLACK = 1e-6
 
@@ -65,7 +67,7 @@ class Cells:
 
     def __init__(self, rules: DataFrame):
         rows = rules.select("rule_id", "pos", "vec").filter("vec is not null and exists(vec, x -> x <> 0)")
-        some = rows.select("vec").orderBy(F.xxhash64("vec")).limit(4 * PIVOTS).distinct().limit(PIVOTS).toPandas()  # bounded
+        some = rows.select("vec").orderBy(F.xxhash64("vec")).limit(4 * PIVOTS).distinct().limit(min(PIVOTS, 1 + rows.count() // PER_PIVOT)).toPandas()  # bounded
         self.pivots = Block(matrix(some["vec"])).unit if len(some) else np.zeros((0, 1))
         self.block_rows = max(16, BLOCK_NUMBERS // max(1, self.pivots.shape[1]))
         sent, schema = self.pivots, f"rule_id {kind(rules, 'rule_id')}, pos {kind(rules, 'pos')}, vec array<double>, cell int, angle double"
@@ -154,7 +156,7 @@ def nearest(queries: DataFrame, rules: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "pos"))
     found = None
     if len(cells.pivots):
-        first = cells.meet(cells.visits(direct, lambda _, b: promising(b)), best, schema).checkpoint()
+        first = files.kept(cells.meet(cells.visits(direct, lambda _, b: promising(b)), best, schema))
         kth = first.withColumn("_r", rank).filter(F.col("_r") == k).select("query_id", F.col("similarity").alias("_kth"))
         again = direct.join(kth, "query_id", "left").withColumn("_kth", F.coalesce("_kth", F.lit(-3.0)))
 
@@ -179,7 +181,7 @@ def pairs(rules: DataFrame, threshold: float) -> DataFrame:
     id_kind = kind(rules, "rule_id")
     schema = f"a {id_kind}, b {id_kind}, similarity double"
     if not len(cells.pivots):
-        return rules.sparkSession.createDataFrame([], schema)
+        return rows.filter("false").select(F.col("rule_id").alias("a"), F.col("rule_id").alias("b"), F.lit(0.0).alias("similarity"))
 
     def alike(mine: Block, block: Block, near: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, b = left["query_id"].to_numpy(), right["rule_id"].to_numpy()

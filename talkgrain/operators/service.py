@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -16,10 +15,7 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, MapType, StringTy
 from talkgrain.functions import redact as R
 from talkgrain.functions import text as T
 from talkgrain.operators import evidence, rules
-
-#: What makes an object of a document a quote.
-QUOTE = {"text", "speaker", "start_char", "end_char"}
-
+from talkgrain.sources import files
 
 def every_string(value: Column, kind: DataType, change: Callable[[Column], Column]) -> Column:
     """The value with each string in it changed, however deep; keys of maps and names of fields stay."""
@@ -40,35 +36,6 @@ def scrubbed(df: DataFrame, column: str) -> Column:
     return every_string(F.col(column), df.schema[column].dataType, lambda s: R.redacted(s)["text"])
 
 
-def _walk(value: Any) -> Iterator[tuple[str, dict]]:
-    todo = [("", value)]
-    while todo:
-        path, x = todo.pop()
-        if isinstance(x, dict):
-            if QUOTE <= x.keys():
-                yield path, x
-            else:
-                todo += [(f"{path}.{k}" if path else k, y) for k, y in x.items()]
-        elif isinstance(x, list):
-            todo += [(f"{path}[{i}]", y) for i, y in enumerate(x)]
-
-
-def quotes_in(documents: DataFrame, key: str, column: str) -> DataFrame:
-    """key, path, text, start_char of each quote in JSON documents of any shape; a quote is not searched itself. Null and torn documents have none."""
-
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = []
-            for k, doc in zip(frame[key], frame[column]):
-                try:
-                    found += [(k, path, q["text"], q["start_char"]) for path, q in _walk(json.loads(doc or "null"))]
-                except (ValueError, RecursionError):
-                    continue
-            yield pd.DataFrame(found, columns=[key, "path", "text", "start_char"])
-
-    return documents.select(key, column).mapInPandas(find, f"{key} {documents.schema[key].dataType.simpleString()}, path string, text string, start_char long")
-
-
 def admitted(lines: DataFrame) -> DataFrame:
     """Per call of lines (call_id, pos, line): the redacted transcript, its replacements, and the first line (redacted) without a speaker, which refuses it."""
     done = R.redacted(F.col("line"))
@@ -162,32 +129,8 @@ def replayed(known: DataFrame, batch: str, n: int, threshold: float = rules.SIMI
     active = known.filter(F.lit(False)).select("rule_id", "pos", "vec")
     for b in range(n):
         active = active.unionByName(known.filter(F.col(batch) == b).select("rule_id", "pos", "vec"))
-        found = medoids(active, rules.clusters(active, threshold)).checkpoint()
+        found = files.kept(medoids(active, rules.clusters(active, threshold)))
         total, most, left = found.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0)), F.count(F.lit(1))).first()
         out.append((b, total, most, left))
-        active = active.join(found.select("rule_id"), "rule_id", "left_semi").checkpoint()
+        active = files.kept(active.join(found.select("rule_id"), "rule_id", "left_semi"))
     return spark.createDataFrame(out, "batch int, consolidated long, max_cluster long, active_after long")
-
-
-def prequential(calls: DataFrame, n: int) -> DataFrame:
-    """Per batch 0..n-1 of calls (batch, topic, plain_ok, guided_ok): both arms over the same calls, and the rules after it.
-
-    The memory arm takes guided_ok where an active rule has the call's topic, else plain_ok. Then each rule counts its calls,
-    topics that failed without a rule get one, and rules with too little success retire; a retired topic gets no second rule.
-    """
-    spark, out = calls.sparkSession, []
-    state = spark.createDataFrame([], f"topic {calls.schema['topic'].dataType.simpleString()}, success_count long, failure_count long, retired boolean")
-    for b in range(n):
-        met = calls.filter(F.col("batch") == b).join(state.select("topic", "retired"), "topic", "left")
-        met = met.withColumn("guided", F.coalesce(~F.col("retired"), F.lit(False))).withColumn("ok", F.when(F.col("guided"), F.col("guided_ok")).otherwise(F.col("plain_ok")))
-        seen = met.groupBy("topic").agg(
-            F.count_if(F.col("guided") & F.col("ok")).alias("s"), F.count_if(F.col("guided") & ~F.col("ok")).alias("f"), F.count_if(~F.col("guided") & ~F.col("ok")).alias("lost"),
-            F.count(F.lit(1)).alias("calls"), F.count_if("plain_ok").alias("control"), F.count_if("ok").alias("memory"),
-        ).checkpoint()
-        both = state.join(seen, "topic", "full_outer").filter("retired is not null or lost > 0")
-        counted = both.select("topic", *[(F.coalesce(a, F.lit(0)) + F.coalesce(b_, F.lit(0))).alias(a) for a, b_ in (("success_count", "s"), ("failure_count", "f"))], F.coalesce("retired", F.lit(False)).alias("retired"))
-        state = rules.retire(counted).checkpoint()
-        one = seen.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("calls", "control", "memory")]).first()
-        kept = state.agg(F.count_if(~F.col("retired")), F.count_if("retired")).first()
-        out.append((b, *one, *kept))
-    return spark.createDataFrame(out, "batch int, calls long, control_ok long, memory_ok long, active_rules long, retired_rules long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from talkgrain.operators import evidence, rules, service
+from talkgrain.operators import documents, evidence, rules, service
 from talkgrain.plans import fixtures as fx
 from talkgrain.plans.registry import GROUND_SQL, SPLIT_SQL, _vectors, query
 from talkgrain.sources import files, published, tables
@@ -61,7 +61,7 @@ def document_quotes(spark, sf_dir):
     o = fx.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), F.when(F.col("o_orderkey") % 7 != 0, said).alias("said"))
     both = per.join(o, "call_id", "left").withColumn("doc", F.concat(F.lit('{"claims":['), "claims", F.lit('],"summary":{"by":[[1,'), F.coalesce("said", F.lit("null")), F.lit("]]}}")))
     torn = per.select((-F.col("call_id")).alias("call_id"), F.concat(F.lit('{"claims":['), "claims").alias("doc"))
-    return service.quotes_in(both.select("call_id", "doc").unionByName(torn), "call_id", "doc")
+    return documents.quotes_in(both.select("call_id", "doc").unionByName(torn), "call_id", "doc")
 
 
 @query("""WITH q AS (SELECT doc_id, coalesce(text, '') AS t, list_filter([left(coalesce(text, ''), 10), substr(coalesce(text, ''), 20, 8), CASE WHEN doc_id % 6 = 0 THEN 'nowhere~~' END, CASE WHEN doc_id % 9 = 0 THEN ' ' END], lambda x: x IS NOT NULL) AS q FROM documents),
@@ -129,13 +129,6 @@ def replayed_batches(spark, sf_dir):
     return service.replayed(v, "batch", 3)
 
 
-@query()
-def prequential_loop(spark, sf_dir):
-    """STR-19: five batches, with and without the rules that earlier ones left. No SQL: the state of a batch depends on the last; tested against brute force."""
-    o = fx.read(spark, sf_dir, "orders")
-    return service.prequential(o.select((F.col("o_orderkey") % 5).alias("batch"), (F.col("o_custkey") % 50).alias("topic"), (F.col("o_totalprice") > 200000).alias("plain_ok"), ((F.col("o_custkey") % 50 + F.col("o_orderkey")) % 7 < F.col("o_custkey") % 50 % 6 + 2).alias("guided_ok")), 5)
-
-
 def _features(texts: list[str]) -> np.ndarray:
     """Stands for an outside model: letters, a's and spaces of a text."""
     return np.array([[len(t), t.count("a"), t.count(" ")] for t in texts], float).reshape(-1, 3)

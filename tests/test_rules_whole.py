@@ -35,6 +35,7 @@ def cosines(v):
 def test_searches(spark, table, monkeypatch, pivots, numbers):
     home, ids, v, _ = table
     monkeypatch.setattr(search, "PIVOTS", pivots)
+    monkeypatch.setattr(search, "PER_PIVOT", 4)
     monkeypatch.setattr(search, "BLOCK_NUMBERS", numbers)  # the second deals cells in many blocks and chunks
     c = cosines(v)
     want = set()
@@ -55,7 +56,8 @@ def grouped(ids, v):
     return np.array([x + 1.6 * v[at[i - i % 8]] if i - i % 8 in at else x for i, x in zip(ids, v)])
 
 
-def test_cells_are_skipped(spark, table):
+def test_cells_are_skipped(spark, table, monkeypatch):
+    monkeypatch.setattr(search, "PER_PIVOT", 4)
     home, ids, v, _ = table
     rows = spark.read.parquet(f"{home}/embeddings.parquet").select(F.col("vec_id").alias("rule_id"), F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("vec"))
     one = search.skipped(rows.select(F.col("rule_id").alias("query_id"), "vec"), rows, 0.9).first()

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talkgrain.operators import rules, service
+from talkgrain.operators import documents, service
 from talkgrain.sources import files, published
+from tests.test_rules_whole import cosines, matrix_linkage
 
 
 def test_strings_of_every_depth(spark):
@@ -14,11 +15,14 @@ def test_strings_of_every_depth(spark):
 
 def test_quotes_of_torn_null_and_deep_documents(spark):
     quote = '{"text":"t","speaker":"Agent","start_char":1,"end_char":2,"inner":{"text":"u","speaker":"","start_char":0,"end_char":1}}'
-    deep = "[" * 300 + quote + "]" * 300
-    rows = spark.createDataFrame([(1, deep), (2, None), (3, "{"), (4, ""), (5, "[]"), (6, '{"a":[1,' + quote + "]}")], "id long, doc string")
-    got = {r.id: r for r in service.quotes_in(rows, "id", "doc").collect()}
-    assert sorted(got) == [1, 6]
-    assert got[1].path == "[0]" * 300 and got[6].path == "a[1]" and got[6].text == "t"
+    deep = "[" * 12 + quote + "]" * 12
+    odd = '{"a":{"text":5,"speaker":null,"start_char":"one","end_char":[]},"b":{"text":"x","speaker":1,"start_char":1.5,"end_char":2},"c":[],"d":{"text":"no quote"}}'
+    twice = '{"a":1,"a":2}'
+    rows = spark.createDataFrame([(7, odd), (8, twice), (9, quote), (1, deep), (2, None), (3, "{"), (4, ""), (5, "[]"), (6, '{"a":[1,' + quote + "]}")], "id long, doc string")
+    got = sorted(tuple(r) for r in documents.quotes_in(rows, "id", "doc").collect() if r.id != 7)
+    assert got == [(1, "[0]" * 12, "t", 1), (6, "a[1]", "t", 1), (9, "", "t", 1)]
+    odd = sorted(tuple(r) for r in documents.quotes_in(rows.filter("id = 7"), "id", "doc").collect())
+    assert odd == [(7, "a", None, None), (7, "b", "x", None)]
 
 
 def test_a_line_without_speaker_refuses_the_call(spark):
@@ -37,7 +41,7 @@ def test_medoids_and_replay_against_brute_force(spark):
     for b in range(3):
         active = active + [i for i in range(36) if i % 3 == b]
         active.sort()
-        groups = rules.complete_linkage(v[active])
+        groups = matrix_linkage(cosines(v[active]))
         left = []
         for g in groups:
             m = [active[i] for i in g]
@@ -50,30 +54,6 @@ def test_medoids_and_replay_against_brute_force(spark):
     assert [tuple(r) for r in empty] == [(0, 0, 0, 0)]
 
 
-def test_prequential_against_brute_force(spark):
-    rng = np.random.default_rng(9)
-    calls = [(int(rng.integers(4)), int(t), bool(rng.random() < 0.4), bool(rng.random() < t / 6)) for t in rng.integers(6, size=400)]
-    df = spark.createDataFrame(calls, "batch int, topic int, plain_ok boolean, guided_ok boolean")
-    state, want = {}, []
-    for b in range(4):
-        mine, memory, lost = [c for c in calls if c[0] == b], 0, set()
-        seen = {t: list(x) for t, x in state.items()}
-        for _, t, plain, guided in mine:
-            if t in state and not state[t][2]:
-                memory += guided
-                seen[t][0 if guided else 1] += 1
-            else:
-                memory += plain
-                if not plain:
-                    lost.add(t)
-        for t in lost:
-            seen.setdefault(t, [0, 0, False])
-        state = {t: [s, f, r or (s + f >= 10 and s / (s + f) < 0.5)] for t, (s, f, r) in seen.items()}
-        want.append((b, len(mine), sum(c[2] for c in mine), memory, sum(not x[2] for x in state.values()), sum(x[2] for x in state.values())))
-    assert [tuple(r) for r in service.prequential(df, 4).sort("batch").collect()] == want
-    assert want[-1][5] > 0
-
-
 def test_retries_and_models(spark):
     def ask(key, n):
         if key < 0 or n < key:
