@@ -210,12 +210,15 @@ def agents_upserted(spark, sf_dir):
     return lifecycle.upsert(cur, fx.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), F.lit("new").alias("origin")), "key")
 
 
-RULES_SQL = "r AS (SELECT p_partkey AS rule_id, p_partkey % 3 = 0 AS retired, coalesce(list_sort(list(DISTINCT l_orderkey) FILTER (WHERE l_orderkey IS NOT NULL)), []) AS sources FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity >= 48) ON l_partkey = p_partkey GROUP BY 1, 2)"
+RULES_SQL = "g AS (SELECT p_partkey, unnest(range(1, 8)) AS n FROM part), r AS (SELECT p_partkey * 10 + n AS rule_id, (p_partkey + n) % 3 = 0 AS retired, coalesce(list_sort(list(DISTINCT l_orderkey) FILTER (WHERE l_orderkey IS NOT NULL)), []) AS sources FROM g LEFT JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = n GROUP BY 1, 2)"
 
 
 def _rules(spark, sf_dir):
-    made = fx.read(spark, sf_dir, "lineitem").filter("l_quantity >= 48").groupBy(F.col("l_partkey").alias("rule_id")).agg(F.array_sort(F.collect_set("l_orderkey")).alias("source_ids"))
-    return fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), (F.col("p_partkey") % 3 == 0).alias("retired")).join(made, "rule_id", "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<long>")))
+    """A rule per part and place of a line; its sources are the orders that have the part there."""
+    made = fx.read(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("rule_id")).agg(F.array_sort(F.collect_set("l_orderkey")).alias("source_ids"))
+    every = fx.read(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n"))
+    every = every.select((F.col("p_partkey") * 10 + F.col("n")).alias("rule_id"), ((F.col("p_partkey") + F.col("n")) % 3 == 0).alias("retired"))
+    return every.join(made, "rule_id", "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<long>")))
 
 
 @query(f"""WITH {RULES_SQL}, one AS (SELECT rule_id AS ancestor, sources[1] AS s FROM r WHERE len(sources) = 1), e AS (SELECT rule_id, unnest(sources) AS s FROM r WHERE NOT retired) SELECT DISTINCT rule_id, ancestor FROM e JOIN one USING (s) WHERE rule_id <> ancestor""")
@@ -305,11 +308,11 @@ def all_documents(spark, sf_dir):
     return o.unionByName(li.select(F.col("l_orderkey").alias("id"), F.lit("correction").alias("origin"), F.col("s_name").alias("owner")))
 
 
-@query(f"""WITH {fx.CLAIMS_SQL}, r AS (SELECT o_orderkey AS call_id, list('rule ' || l_partkey ORDER BY pos) FILTER (WHERE l_quantity > 45) AS r FROM orders LEFT JOIN c ON call_id = o_orderkey GROUP BY 1)
+@query(f"""WITH {fx.CLAIMS_SQL}, r AS (SELECT o_orderkey AS call_id, list('rule ' || l_partkey ORDER BY pos) FILTER (WHERE call_id IS NOT NULL AND l_partkey IS NOT NULL) AS r FROM orders LEFT JOIN c ON call_id = o_orderkey GROUP BY 1)
     SELECT call_id, md5('Extract.' || CASE WHEN r IS NULL THEN '' ELSE chr(10) || chr(10) || '{records.GUIDANCE}' || chr(10) || array_to_string(list_transform(r, lambda x: '- ' || x), chr(10)) END) AS prompt_md5 FROM r""")
 def prompts(spark, sf_dir):
     """TXT-14, JOIN-08: retrieved rules in their order; without any the prompt is the plain one."""
-    c = fx.claims(spark, sf_dir).filter("l_quantity > 45").groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "l_partkey"))), lambda x: F.concat(F.lit("rule "), x["l_partkey"].cast("string"))).alias("r"))
+    c = fx.claims(spark, sf_dir).groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "l_partkey"))), lambda x: F.concat(F.lit("rule "), x["l_partkey"].cast("string"))).alias("r"))
     o = fx.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id")).join(c, "call_id", "left")
     return o.select("call_id", F.md5(records.prompt("Extract.", F.coalesce("r", F.array().cast("array<string>")))).alias("prompt_md5"))
 
@@ -386,12 +389,12 @@ def consolidation_sync(spark, sf_dir):
     return records.consolidated(before, after, fx.read(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("rule_id")))
 
 
-@query("""WITH d AS (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN substr(text, 6, 15) || '~~' ELSE substr(text, 6, 15) END AS q, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id % 7 - 2)::BIGINT END AS s FROM documents WHERE length(text) > 30)
+@query("""WITH d AS (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN substr(text, 6, 15) || '~~' ELSE substr(text, 6, 15) END AS q, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id % 7 - 2)::BIGINT END AS s FROM documents WHERE text IS NOT NULL)
     SELECT doc_id, CASE WHEN q <> '' THEN greatest(coalesce(s, 0), 0) END AS start, CASE WHEN q <> '' THEN greatest(coalesce(s, 0), 0) + length(q) END AS "end", CASE WHEN q <> '' AND contains(text, q) THEN strpos(text, q) - 1 ELSE 0 END AS plain_start,
     CASE WHEN q = '' THEN 1 WHEN contains(text, q) THEN strpos(text, q) - 1 + length(q) ELSE length(q) END AS plain_end, CASE WHEN q <> '' AND contains(text, q) THEN 'Agent' ELSE 'Unknown' END AS speaker FROM d""")
 def repaired_quotes(spark, sf_dir):
     """EXT-02, EXT-03: offsets that follow from start and text; quotes kept as they came, with places of their own if they are not in the text."""
-    d = fx.read(spark, sf_dir, "documents").filter("length(text) > 30")
+    d = fx.read(spark, sf_dir, "documents").filter("text is not null")
     cut = F.substring("text", 6, 15)
     q = F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 5 == 1, F.concat(cut, F.lit("~~"))).otherwise(cut)
     d = d.select("doc_id", "text", q.alias("q"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 7 - 2).alias("s"))
@@ -416,14 +419,14 @@ def point_order(spark, sf_dir):
     return e.groupBy("user_id").agg((~F.bool_or(F.coalesce(F.col("before") > F.col("value"), F.lit(False)))).alias("chronological"), F.min(key)["event_id"].alias("first_id"), F.max(key)["event_id"].alias("last_id"))
 
 
-@query("""WITH s AS (SELECT c_custkey AS call_id, c_nationkey % 4 AS topic, c_acctbal AS target FROM customer WHERE c_acctbal > 0), h AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0), k AS (SELECT * FROM s WHERE call_id NOT IN (SELECT c_custkey FROM h)),
+@query("""WITH s AS (SELECT c_custkey AS call_id, c_nationkey % 4 AS topic, c_acctbal AS target FROM customer), h AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0), k AS (SELECT * FROM s WHERE call_id NOT IN (SELECT c_custkey FROM h)),
     r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY md5('5:' || call_id)) AS r, count(*) OVER (PARTITION BY topic) AS n FROM k)
     SELECT topic, CASE WHEN n >= 2 AND r <= least(greatest(1, round_even(n * 0.15, 0)), n - 1) THEN 'val' ELSE 'train' END AS part, count(*) AS examples, 0::BIGINT AS leaked FROM r GROUP BY 1, 2""")
 def training_set(spark, sf_dir):
     """FT-01, FLT-09: held-out calls left out, repeated examples dropped, split by topic, and a guard that none leaked."""
     c = fx.read(spark, sf_dir, "customer")
     held = c.filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("call_id"))
-    s = c.filter("c_acctbal > 0").select(F.col("c_custkey").alias("call_id"), (F.col("c_nationkey") % 4).alias("topic"), F.col("c_acctbal").alias("target"))
+    s = c.select(F.col("c_custkey").alias("call_id"), (F.col("c_nationkey") % 4).alias("topic"), F.col("c_acctbal").alias("target"))
     twice = s.withColumn("pos", F.lit(0)).unionByName(s.withColumn("pos", F.lit(1)))
     examples = datasets.first_of(twice.join(held, "call_id", "left_anti"), ["call_id", "topic", "target"], "pos").drop("pos")
     split = datasets.split(examples, 0.15, 5, "topic", "call_id")
