@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their columns; the last returns the pieces
 with their sequences. Every stage's result is written as Parquet in the shared folder and read again as the next one's docs.
+
+Defined results: a text that is null, empty or without a letter is no recognised language and goes in the first stage; rows
+that repeat id and text, and rows of equal text, leave one row (the smallest id, a null id last); rows without an id are
+documents like any other; texts of any length are read whole; columns besides the documents' own pass through, whatever
+their names, until packing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from talkgrain.llm.packing import pack_documents
 from talkgrain.llm.queries import table, vocabulary
 
 #: Entries of a generation of the tokenizer's cache: workers stand beside an executor that four stages have filled.
-CACHE = 100_000
+CACHE = 40_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
