@@ -52,17 +52,17 @@ def test_prediction_equals_plain_nearest_centroid(docs):
 
 
 def test_rejection_of_other_scripts_and_of_unlearned_languages(spark, docs):
-    """Texts of other scripts are rejected; of a language left out, whose letters the others share, the share is reported by the README."""
+    """Texts of other scripts are rejected, and so is nearly all of a language that was left out, though it shares its letters."""
     model = L.fit(docs.filter(~L.held_out()))
     known = L.identify(docs.filter(L.held_out() & F.col("text").rlike("\\p{L}")), model)
     assert known.filter("rejected").count() <= 0.02 * known.count()
     foreign = ["съешь ещё этих мягких французских булок да выпей чаю " * 3, "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏" * 3, "مرحبا كيف حالك اليوم أتمنى أن تكون بخير يا صديقي " * 3, "αυτή είναι μια πρόταση στα ελληνικά για δοκιμή " * 3]
     got = L.identify(spark.createDataFrame([(k, t) for k, t in enumerate(foreign)], "doc_id long, text string"), model)
-    assert got.filter("rejected").count() >= 3  # the fourth shares enough bytes with the accented letters learned
+    assert got.filter("rejected").count() >= 3  # one of the four shares enough bytes with accented letters
     for lang in model.languages:
         other = L.fit(docs.filter(~L.held_out() & (F.col("lang") != lang)))
         left = L.identify(docs.filter((F.col("lang") == lang) & F.col("text").rlike("\\p{L}")), other)
-        assert lang not in {r.lang_pred for r in left.select("lang_pred").distinct().collect()}
+        assert left.filter("rejected").count() >= 0.9 * left.count() and left.filter(F.col("lang_pred") == lang).isEmpty()
 
 
 def odd_rows():
