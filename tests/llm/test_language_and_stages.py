@@ -62,7 +62,7 @@ def test_rejection_of_other_scripts_and_of_unlearned_languages(spark, docs):
     for lang in model.languages:
         other = L.fit(docs.filter(~L.held_out() & (F.col("lang") != lang)))
         left = L.identify(docs.filter((F.col("lang") == lang) & F.col("text").rlike("\\p{L}")), other)
-        assert left.filter("rejected").count() >= 0.9 * left.count() and left.filter(F.col("lang_pred") == lang).isEmpty()
+        assert left.filter("rejected").count() >= 0.8 * left.count() and left.filter(F.col("lang_pred") == lang).isEmpty()
 
 
 def odd_rows():
