@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talkgrain.functions import redact as R
 from talkgrain.functions import text as T
 from talkgrain.operators import datasets, evidence, lifecycle, metrics, rules, timelines, validators
-from talkgrain.plans import evaluation, records, registry, views  # noqa: F401
+from talkgrain.plans import evaluation, folds, quality, records, registry, service, streams, views  # noqa: F401
 from talkgrain.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,7 +38,7 @@ def one(spark, column):
         ("JO17ABCD0040000000000777000123", "JO17ABCD[PHONE]", 1),
         ("1+2345678", "1+2345678", 0),
         ("ext 12+345 6789", "ext 12+345 6789", 0),
-        ("C++0791234567", "C++0791234567", 0),
+        ("C++0791234567", "C++[NATIONAL_ID]", 1),
         ("a++1234567", "a++1234567", 0),
         ("no digits here", "no digits here", 0),
         ("", "", 0),
@@ -109,12 +109,19 @@ def test_cutting_turns(spark):
     assert got == [(0, 0, 2, []), (0, 2, 4, ["x"]), (0, 4, 6, ["x", "y"]), (0, 6, 10, ["y"]), (1, 11, 15, ["y"]), (1, 15, 20, [])]
 
 
-def test_complete_linkage_does_not_chain():
+def test_complete_linkage_does_not_chain(spark):
+    def groups(v):
+        rows = spark.createDataFrame([(k, k, [float(x) for x in r]) for k, r in enumerate(v)], "rule_id long, pos long, vec array<double>")
+        out = {}
+        for r in rules.clusters(rows, 0.7).collect():
+            out.setdefault(r.cluster, []).append(r.rule_id)
+        return [sorted(out[c]) for c in sorted(out)]
+
     at = lambda d: [np.cos(np.radians(d)), np.sin(np.radians(d))]
-    assert rules.complete_linkage(np.array([at(0), at(38), at(80), at(200)]), 0.7) == [[0, 1], [2], [3]]
+    assert groups([at(0), at(38), at(80), at(200)]) == [[0, 1], [2], [3]]
     v = np.random.default_rng(1).normal(size=(60, 4))
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    for g in rules.complete_linkage(v, 0.7):
+    for g in groups(v):
         assert (unit[g] @ unit[g].T).min() >= 0.7 - 1e-9
 
 
