@@ -16,7 +16,7 @@ RADIUS covers windows at the threshold with a margin of more than 4.5 standard d
 Defined results: items of fewer than five words have no shingle and are not looked for; null or empty texts match
 nothing; rows that repeat an id, null included, are reported under it once, by the best
 window of all their texts; an item listed twice is reported under each of its ids; without items
-or documents the result is empty.
+or documents the result is empty. Other columns are ignored or passed through, whatever their names; texts of any length are read whole.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ Three combining steps, each grouping by digest *and* full content:
 
 Defined results: null text is the empty text; a null id sorts after every other one, so a group keeps a null id only if
 it has no other; rows that repeat id and text are copies of which one is kept; an empty table gives an empty result;
-other columns are left alone, whatever their names.
+other columns are left alone, whatever their names; texts of any length are compared whole.
 """
 
 from __future__ import annotations

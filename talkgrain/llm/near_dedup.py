@@ -18,7 +18,8 @@ maximum, and equal registers grow likelier with similarity.
 
 Defined results: null, empty or blank text has the empty set, links with nothing and stays; rows that repeat an id are
 one document, and each of their texts has a component; a component is named by its smallest id, of any type; a null id
-is its own component and stays; an empty table gives an empty result.
+is its own component and stays; an empty table gives an empty result; other columns are ignored or passed through,
+whatever their names; texts of any length are read whole.
 """
 
 from __future__ import annotations

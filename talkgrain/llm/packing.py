@@ -13,7 +13,7 @@ that cannot be better: the least number of bins, of which one is not full.
 
 Defined results: a null or empty text is the end token alone; every row is packed, repeated ones too, and null ids are ids
 like any other; an empty table gives an empty result. Which sequence a piece gets depends on ids, checksums and lengths; among
-rows that repeat all of these, on where they stand.
+rows that repeat all of these, on where they stand. Other columns are ignored, whatever their names; texts of any length are packed whole.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 The key of a row is the first 64 bits of md5 of its id as text, so nothing but the id and the number of shards decides.
 Slots count from 0 in each shard without gaps; they come from a prefix sum over (shard, chunk), so no task ever holds a shard.
 
-Defined results: null text has no bytes; a null id is hashed as the empty string; repeated rows get slots of their own.
+Defined results: null text has no bytes; a null id is hashed as the empty string; repeated rows get slots of their own;
+an empty table gives an empty result; other columns are ignored, whatever their names; texts of any length are read whole, and not moved.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Token counts by heap-and-linked-list byte-pair merging: symbols at the start minus merges, without making ids.
 
 Each distinct run of non-space bytes is counted once per worker (talkgrain.llm.tokens); the cache is bounded.
-Defined results: null text is empty; the empty text has 0 tokens; every row, repeated ones too, gets its own row.
+Defined results: null text is empty; the empty text has 0 tokens; every row, repeated ones too, gets its own row;
+an empty table gives an empty result; other columns are ignored, whatever their names; texts of any length are counted whole.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ r x stride; so a reader can start at any slot and read on sequentially, and can
 Texts are tokenized once, and the ids are shuffled once; nothing else of the size of the corpus is kept or joined, at any
 size. Key, texts, ids and the number of shards alone decide the order.
 Defined results: a null or empty text is the end token alone; a null id is an id like any other; rows that repeat id and
-text are one; an empty table writes nothing.
+text are one; an empty table writes nothing; other columns are ignored, whatever their names; texts of any length are written whole.
 """
 
 from __future__ import annotations

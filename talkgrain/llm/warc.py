@@ -6,7 +6,9 @@ more than one step of a payload, and checks block and payload digests as it goes
 Equal payloads (of at least `min_bytes`) are stored once: the record with the smallest id is a response, the others are
 revisits that name it. Defined results: a null payload is empty; a row without an id is a response; rows that repeat id
 and payload are all what the first is; an empty table makes no archive and reads as no rows. Archives are written next
-to each other without a shuffle of the payloads, unless there are more revisits than may be broadcast.
+to each other without a shuffle of the payloads, unless there are more revisits than may be broadcast. The URL that is read back
+is the one in the header: percent-encoded where WARC needs that, null where it was empty. Other columns are ignored, whatever their
+names; payloads of any length are written whole.
 """
 
 from __future__ import annotations
