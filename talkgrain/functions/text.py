@@ -116,3 +116,15 @@ def waiting(seconds: Column) -> Column:
     """1h 42m, 12m, <1m."""
     m = F.floor(seconds / 60)
     return F.when(m < 1, "<1m").when(m < 60, F.concat(m.cast("string"), F.lit("m"))).otherwise(F.concat(F.floor(m / 60).cast("string"), F.lit("h "), (m % 60).cast("string"), F.lit("m")))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many digits, or a dash for none."""
+    return F.when(x.isNull(), "—").otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
+
+
+def signed(x: Column, digits: int) -> Column:
+    """A difference with its sign; what rounds to zero has none; a dash for none."""
+    text = fixed(F.abs(x), digits)
+    zero = F.regexp_replace(text, "[0.]", "") == ""
+    return F.when(x.isNull(), "—").when(zero, text).otherwise(F.concat(F.when(x < 0, "−").otherwise("+"), text))

@@ -59,3 +59,38 @@ def planned_corrections(verdicts: DataFrame, claims: DataFrame) -> DataFrame:
     unknown = F.transform(F.filter("_v", lambda w: w["i"] >= F.col("_n")), lambda w: w["claim_id"])
     left = F.transform(F.filter("_after", lambda a: a["verdict"] != "reject"), lambda a: a["x"])
     return both.select("call_id", "list", left.alias("items"), n("correct").alias("corrected"), n("reject").alias("rejected"), F.array_join(notes, "\n\n").alias("notes"), unknown.alias("unknown"))
+
+
+def compared(base: DataFrame, other: DataFrame, names: list[str]) -> DataFrame:
+    """base and other (call_id, language, error, and the named metrics): per language and metric the means over the calls that neither arm failed, and their difference; calls of one arm alone do not count."""
+    both = base.select("call_id", "language", F.col("error").alias("_e"), *[F.col(n).alias(f"_b_{n}") for n in names]).join(other.select("call_id", F.col("error").alias("_f"), *[F.col(n).alias(f"_o_{n}") for n in names]), "call_id")
+    fine = both.filter("_e is null and _f is null")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"_b_{n}").alias("b"), F.col(f"_o_{n}").alias("o")) for n in names]))
+    rows = fine.select("language", each.alias("m")).select("language", "m.*")
+    return rows.groupBy("language", "metric").agg(F.count(F.lit(1)).alias("calls"), F.round(F.avg("b"), 6).alias("base"), F.round(F.avg("o"), 6).alias("other"), F.round(F.avg("o") - F.avg("b"), 6).alias("delta"))
+
+
+def outcomes(base: DataFrame, other: DataFrame, metric: str) -> DataFrame:
+    """Per call of either arm: both_failed, base_failed, other_failed, better, worse or same by the metric, and the difference where both succeeded."""
+    both = base.select("call_id", F.lit(True).alias("_b"), F.col("error").alias("_e"), F.col(metric).alias("_x")).join(other.select("call_id", F.lit(True).alias("_o"), F.col("error").alias("_f"), F.col(metric).alias("_y")), "call_id", "full")
+    no_b, no_o = F.col("_b").isNull() | F.col("_e").isNotNull(), F.col("_o").isNull() | F.col("_f").isNotNull()
+    delta = F.when(~no_b & ~no_o, F.round(F.col("_y") - F.col("_x"), 6))
+    outcome = F.when(no_b & no_o, "both_failed").when(no_b, "base_failed").when(no_o, "other_failed").when(delta > 0, "better").when(delta < 0, "worse").otherwise("same")
+    return both.select("call_id", outcome.alias("outcome"), delta.alias("delta"))
+
+
+def captured(differences: DataFrame, predicted: DataFrame, reference: DataFrame) -> DataFrame:
+    """differences (call_id, difference: an error location or null), predicted and reference (call_id, location, value): a correction per call that differs: location, topic, original, corrected (null where a side has nothing there)."""
+    found = differences.filter("difference is not null").select("call_id", F.col("difference").alias("location"))
+    out = found.join(predicted.select("call_id", "location", F.col("value").alias("original")), ["call_id", "location"], "left")
+    out = out.join(reference.select("call_id", "location", F.col("value").alias("corrected")), ["call_id", "location"], "left")
+    return out.select("call_id", "location", T.topic(F.col("location")).alias("topic"), "original", "corrected")
+
+
+def forcing(pairs: DataFrame) -> DataFrame:
+    """pairs (call_id, language, reference, forced, detected: two hypotheses): per call both word error rates, and which hypothesis is better."""
+    from talkgrain.operators import metrics
+
+    rate = lambda side: metrics.word_errors(pairs.select("call_id", "language", "reference", F.col(side).alias("hypothesis"))).select("call_id", "language", F.round("wer", 6).alias(f"{side}_wer"))
+    both = rate("forced").join(rate("detected").drop("language"), "call_id")
+    return both.withColumn("better", F.when(F.col("forced_wer") < F.col("detected_wer"), "forced").when(F.col("forced_wer") > F.col("detected_wer"), "detected").otherwise("same"))

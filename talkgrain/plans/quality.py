@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkgrain.functions import redact as R
-from talkgrain.operators import evaluate, evidence, timelines, training
+from talkgrain.functions import text as T
+from talkgrain.operators import datasets, evaluate, evidence, metrics, timelines, training
 from talkgrain.plans import fixtures as fx
 from talkgrain.plans.registry import GROUND_SQL, LANGUAGE, SPLIT_SQL, query
 
@@ -147,3 +148,78 @@ def placeholder_calls(spark, sf_dir):
     t = F.concat("text", F.when(F.col("doc_id") % 6 == 0, " [PHONE]").otherwise(""))
     d = fx.read(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("und")).alias("language"), F.size(R.placeholders(t)).alias("n"))
     return d.groupBy("language").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("n") > 0).alias("with_placeholders"))
+
+
+@query(f"""WITH e AS (SELECT 'arm' || user_id % 3 AS arm, {LANGUAGE.format("event_id")} AS language, event_type <> 'error' AS ok, value, length(props) AS tokens, CASE WHEN event_id % 4 > 0 THEN 2 END AS n FROM events)
+    SELECT arm, language, count(*) AS n, count(*) FILTER (WHERE ok) AS valid, round(avg(ok::INT), 6) AS valid_rate, count(*) FILTER (WHERE NOT ok) AS errors, round(avg(tokens), 6) AS tokens, round(avg(value / 1000) FILTER (WHERE ok), 6) AS accuracy, round(avg(value / 2000) FILTER (WHERE ok), 6) AS rubric_agreement,
+    round(avg(1 - value / 1000) FILTER (WHERE ok), 6) AS grounding_precision, round(avg(value / 4000) FILTER (WHERE ok), 6) AS unsupported_rate, coalesce(sum(CASE WHEN arm <> 'arm2' THEN n END), count(*))::BIGINT AS latency_n, round(quantile_cont(value, 0.5) FILTER (WHERE ok), 6) AS p50, round(quantile_cont(value, 0.95) FILTER (WHERE ok), 6) AS p95 FROM e GROUP BY 1, 2""")
+def benchmark_quality_cells(spark, sf_dir):
+    """AGG-16, PRJ-14: a benchmark cell with its four metrics over valid calls, and the number of latencies, which is that of calls where none is told."""
+    e = fx.read(spark, sf_dir, "events")
+    arm = F.concat(F.lit("arm"), F.pmod("user_id", F.lit(3)).cast("string"))
+    rows = e.select(
+        arm.alias("arm"), fx.category("event_id").alias("language"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("outcome"), F.col("value").alias("latency"), F.length("props").alias("tokens"),
+        (F.col("value") / 1000).alias("accuracy"), (F.col("value") / 2000).alias("rubric_agreement"), (1 - F.col("value") / 1000).alias("grounding_precision"), (F.col("value") / 4000).alias("unsupported_rate"),
+        F.when((arm != "arm2") & (F.col("event_id") % 4 > 0), 2).cast("long").alias("latency_n"),
+    )
+    return metrics.benchmark_cells(rows)
+
+
+@query(f"""WITH b AS (SELECT {LANGUAGE.format("o_custkey")} AS language, ntile(5) OVER (PARTITION BY {LANGUAGE.format("o_custkey")} ORDER BY o_orderkey) AS batch FROM orders) SELECT language, batch::BIGINT AS batch, count(*) AS calls FROM b GROUP BY 1, 2""")
+def batch_sizes(spark, sf_dir):
+    """AGG-44, BAT-01: how many calls of each language each batch has."""
+    o = fx.read(spark, sf_dir, "orders").select("o_orderkey", fx.category("o_custkey").alias("language"))
+    return datasets.batches(o, 5, "language", "o_orderkey").groupBy("language", F.col("batch").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("calls"))
+
+
+@query("""WITH v AS (SELECT event_id, CASE WHEN event_id % 6 > 0 THEN value END AS x, CASE WHEN event_id % 7 > 0 THEN (event_id % 5 - 2) * 0.75 END AS d FROM events)
+    SELECT event_id, coalesce(printf('%.3f', x), '—') AS shown, CASE WHEN d IS NULL THEN '—' WHEN d = 0 THEN '0.00' WHEN d < 0 THEN '−' || printf('%.2f', -d) ELSE '+' || printf('%.2f', d) END AS change FROM v""")
+def display_numbers(spark, sf_dir):
+    """TXT-18: fixed digits, signed differences, a dash for what is not known."""
+    e = fx.read(spark, sf_dir, "events")
+    d = F.when(F.col("event_id") % 7 > 0, (F.col("event_id") % 5 - 2) * F.lit(0.75))
+    return e.select("event_id", T.fixed(F.when(F.col("event_id") % 6 > 0, F.col("value")), 3).alias("shown"), T.signed(d, 2).alias("change"))
+
+
+ARMS_SQL = f"""b AS (SELECT o_orderkey AS call_id, {LANGUAGE.format("o_custkey")} AS language, CASE WHEN o_orderkey % 7 = 0 THEN 'broke' END AS e, o_totalprice / 1e6 AS accuracy, o_custkey / 1e4 AS support FROM orders WHERE o_orderkey % 11 > 0),
+    t AS (SELECT o_orderkey AS call_id, CASE WHEN o_orderkey % 5 = 0 THEN 'broke' END AS f, (o_totalprice + (o_orderkey % 3 - 1) * 1000) / 1e6 AS accuracy, o_custkey / 1e4 + 0.1 AS support FROM orders WHERE o_orderkey % 13 > 0)"""
+
+
+def _arms(spark, sf_dir):
+    o, key = fx.read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    base = o.filter("o_orderkey % 11 > 0").select(key.alias("call_id"), fx.category("o_custkey").alias("language"), F.when(key % 7 == 0, "broke").alias("error"), (F.col("o_totalprice") / 1e6).alias("accuracy"), (F.col("o_custkey") / 1e4).alias("support"))
+    other = o.filter("o_orderkey % 13 > 0").select(key.alias("call_id"), fx.category("o_custkey").alias("language"), F.when(key % 5 == 0, "broke").alias("error"), ((F.col("o_totalprice") + (key % 3 - 1) * 1000) / 1e6).alias("accuracy"), (F.col("o_custkey") / 1e4 + 0.1).alias("support"))
+    return base, other
+
+
+@query(f"""WITH {ARMS_SQL}, j AS (SELECT language, b.accuracy AS a1, t.accuracy AS a2, b.support AS s1, t.support AS s2 FROM b JOIN t USING (call_id) WHERE e IS NULL AND f IS NULL), m AS (SELECT language, 'accuracy' AS metric, a1 AS x, a2 AS y FROM j UNION ALL SELECT language, 'support', s1, s2 FROM j)
+    SELECT language, metric, count(*) AS calls, round(avg(x), 6) AS base, round(avg(y), 6) AS other, round(avg(y) - avg(x), 6) AS delta FROM m GROUP BY 1, 2""")
+def compared_metrics(spark, sf_dir):
+    """AGG-32, JOIN-13: metrics of two arms over the calls that neither failed."""
+    return evaluate.compared(*_arms(spark, sf_dir), ["accuracy", "support"])
+
+
+@query(f"""WITH {ARMS_SQL} SELECT call_id, CASE WHEN (b.accuracy IS NULL OR e IS NOT NULL) AND (t.accuracy IS NULL OR f IS NOT NULL) THEN 'both_failed' WHEN b.accuracy IS NULL OR e IS NOT NULL THEN 'base_failed' WHEN t.accuracy IS NULL OR f IS NOT NULL THEN 'other_failed'
+    WHEN round(t.accuracy - b.accuracy, 6) > 0 THEN 'better' WHEN round(t.accuracy - b.accuracy, 6) < 0 THEN 'worse' ELSE 'same' END AS outcome, CASE WHEN e IS NULL AND f IS NULL THEN round(t.accuracy - b.accuracy, 6) END AS delta FROM b FULL JOIN t USING (call_id)""")
+def call_outcomes(spark, sf_dir):
+    """AGG-32: what became of each call in the two arms."""
+    return evaluate.outcomes(*_arms(spark, sf_dir), "accuracy")
+
+
+@query(f"""WITH {fx.CLAIMS_SQL}, v AS (SELECT call_id, 'claims[' || pos || ']' AS location, 'p' || l_partkey AS p, CASE WHEN l_tax > 0.02 THEN 'p' || l_partkey ELSE 'r' || l_suppkey END AS r, pos FROM c),
+    d AS (SELECT call_id, arg_min(location, pos) AS location FROM v WHERE p <> r GROUP BY 1) SELECT d.call_id, d.location, 'claims' AS topic, CASE WHEN pos <> 1 THEN p END AS original, r AS corrected FROM d JOIN v USING (call_id, location)""")
+def captured_corrections(spark, sf_dir):
+    """CAP-01, JOIN-02: the first difference of each call as a correction with both sides; a side may have nothing there."""
+    c = fx.claims(spark, sf_dir)
+    at, p = F.concat(F.lit("claims["), F.col("pos").cast("string"), F.lit("]")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    r = F.when(F.col("l_tax") > 0.02, p).otherwise(F.concat(F.lit("r"), F.col("l_suppkey").cast("string")))
+    rows = c.select("call_id", at.alias("location"), p.alias("p"), r.alias("r"), "pos")
+    first = rows.groupBy("call_id").agg(F.min(F.when(F.col("p") != F.col("r"), F.struct("pos", "location")))["location"].alias("difference"))
+    return evaluate.captured(first, rows.filter("pos <> 1").select("call_id", "location", F.col("p").alias("value")), rows.select("call_id", "location", F.col("r").alias("value")))
+
+
+@query()
+def forced_languages(spark, sf_dir):
+    """EVL-02: word error rates of two hypotheses per text, and which is better. No SQL: edit distance of words; tested on hand-made cases."""
+    d = fx.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("call_id"), fx.category("item_id").alias("language"), F.col("text").alias("reference"))
+    return evaluate.forcing(d.select("*", F.regexp_replace("reference", " the ", " ").alias("forced"), F.regexp_replace("reference", " of ", " off well ").alias("detected")))

@@ -60,3 +60,16 @@ def test_a_run_without_successes(spark):
     got = {r.language: r for r in evaluate.run(calls, one, one.filter(F.lit(False)), quotes).collect()}
     assert tuple(got["en"]) == ("en", 1, 0, 1, None, None, None, None) and tuple(got["ar"]) == ("ar", 1, 1, 0, 0.5, 0.0, 1.0, None)
     assert [tuple(r) for r in evaluate.failures(calls).collect()] == [(1, "en", "boom")]
+
+
+def test_forced_against_detected(spark):
+    rows = [(1, "en", "one two three four", "one two three four", "one three four"), (2, "en", "a b", "x y", "a b"), (3, "ar", "", "", "")]
+    got = evaluate.forcing(spark.createDataFrame(rows, "call_id long, language string, reference string, forced string, detected string")).sort("call_id").collect()
+    assert [(r.forced_wer, r.detected_wer, r.better) for r in got] == [(0.0, 0.25, "forced"), (1.0, 0.0, "detected"), (0.0, 0.0, "same")]
+
+
+def test_signs_and_dashes(spark):
+    from talkgrain.functions import text as T
+
+    rows = spark.createDataFrame([(1.25,), (-0.5,), (0.001,), (-0.001,), (None,)], "x double")
+    assert [r.s for r in rows.select(T.signed(F.col("x"), 2).alias("s")).collect()] == ["+1.25", "−0.50", "0.00", "0.00", "—"]
