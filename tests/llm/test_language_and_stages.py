@@ -59,10 +59,11 @@ def test_rejection_of_other_scripts_and_of_unlearned_languages(spark, docs):
     foreign = ["съешь ещё этих мягких французских булок да выпей чаю " * 3, "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏" * 3, "مرحبا كيف حالك اليوم أتمنى أن تكون بخير يا صديقي " * 3, "αυτή είναι μια πρόταση στα ελληνικά για δοκιμή " * 3]
     got = L.identify(spark.createDataFrame([(k, t) for k, t in enumerate(foreign)], "doc_id long, text string"), model)
     assert got.filter("rejected").count() >= 3  # one of the four shares enough bytes with accented letters
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").cache()  # enough texts to leave some out
     for lang in model.languages:
         other = L.fit(docs.filter(~L.held_out() & (F.col("lang") != lang)))
         left = L.identify(docs.filter((F.col("lang") == lang) & F.col("text").rlike("\\p{L}")), other)
-        assert left.filter("rejected").count() >= 0.8 * left.count() and left.filter(F.col("lang_pred") == lang).isEmpty()
+        assert left.filter("rejected").count() >= 0.9 * left.count() and left.filter(F.col("lang_pred") == lang).isEmpty()
 
 
 def odd_rows():
