@@ -67,7 +67,9 @@ class Cells:
 
     def __init__(self, rules: DataFrame):
         rows = rules.select("rule_id", "pos", "vec").filter("vec is not null and exists(vec, x -> x <> 0)")
-        some = rows.select("vec").orderBy(F.xxhash64("vec")).limit(4 * PIVOTS).distinct().limit(min(PIVOTS, 1 + rows.count() // PER_PIVOT)).toPandas()  # bounded
+        each = rows.groupBy(F.xxhash64("vec").alias("_h")).agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("_n"))  # a vector that many rows have is one pivot
+        total = each.agg(F.sum("_n")).first()[0] or 0
+        some = each.orderBy("_h").limit(min(PIVOTS, 1 + total // PER_PIVOT)).select("vec").toPandas()  # bounded
         self.pivots = Block(matrix(some["vec"])).unit if len(some) else np.zeros((0, 1))
         self.block_rows = max(16, BLOCK_NUMBERS // max(1, self.pivots.shape[1]))
         sent, schema = self.pivots, f"rule_id {kind(rules, 'rule_id')}, pos {kind(rules, 'pos')}, vec array<double>, cell int, angle double"
