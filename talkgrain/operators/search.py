@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from talkgrain.sources import files
 
 #: Pivots at most, vectors that are worth a pivot, numbers in a block of vectors, and how far products in another order of summing may be off.
-PIVOTS, PER_PIVOT, BLOCK_NUMBERS, ROUNDING = 256, 64, 1 << 18, 1e-9
+PIVOTS, PER_PIVOT, BLOCK_NUMBERS, ROUNDING = 256, 64, 1 << 17, 1e-9
+#: Numbers of vectors that are copied at a time.
+COPIED = 1 << 20
 #: Slack of angle bounds: acos near 1 turns a rounding of 1e-16 into 1e-8.
 SLACK = 1e-6
 
@@ -47,8 +49,13 @@ class Block:
         self.unit = vectors / np.maximum(self.norms, 1e-300)[:, None]
 
     def cosines(self, at: np.ndarray, other: Block, there: np.ndarray) -> np.ndarray:
-        norm = self.norms[at] * other.norms[there]
-        return np.where(norm == 0, 0.0, products(self.vectors[at], other.vectors[there]) / np.where(norm == 0, 1.0, norm))
+        """Of the pairs (at, there), some at a time: their vectors are copied for it."""
+        out, step = np.zeros(len(at)), max(1, COPIED // max(1, self.vectors.shape[1]))
+        for s in range(0, len(at), step):
+            i, j = at[s : s + step], there[s : s + step]
+            norm = self.norms[i] * other.norms[j]
+            out[s : s + step] = np.where(norm == 0, 0.0, products(self.vectors[i], other.vectors[j]) / np.where(norm == 0, 1.0, norm))
+        return out
 
 
 def kind(df: DataFrame, column: str) -> str:
