@@ -214,11 +214,12 @@ RULES_SQL = "g AS (SELECT p_partkey, unnest(range(1, 8)) AS n FROM part), r AS (
 
 
 def _rules(spark, sf_dir):
-    """A rule per part and place of a line; its sources are the orders that have the part there."""
-    made = fx.read(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("rule_id")).agg(F.array_sort(F.collect_set("l_orderkey")).alias("source_ids"))
+    """A rule per part and place of a line; its sources are the orders that have the part there. Both meet by grouping: Spark takes the exploded parts for small, and would broadcast them all."""
     every = fx.read(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n"))
     every = every.select((F.col("p_partkey") * 10 + F.col("n")).alias("rule_id"), ((F.col("p_partkey") + F.col("n")) % 3 == 0).alias("retired"))
-    return every.join(made, "rule_id", "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<long>")))
+    made = fx.read(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("rule_id"), F.col("l_orderkey").alias("source"))
+    both = every.unionByName(made, allowMissingColumns=True).groupBy("rule_id").agg(F.max("retired").alias("retired"), F.array_sort(F.collect_set("source")).alias("source_ids"))
+    return both.filter("retired is not null")
 
 
 @query(f"""WITH {RULES_SQL}, one AS (SELECT rule_id AS ancestor, sources[1] AS s FROM r WHERE len(sources) = 1), e AS (SELECT rule_id, unnest(sources) AS s FROM r WHERE NOT retired) SELECT DISTINCT rule_id, ancestor FROM e JOIN one USING (s) WHERE rule_id <> ancestor""")
