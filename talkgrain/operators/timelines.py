@@ -80,8 +80,9 @@ def covering(points: DataFrame, spans: DataFrame) -> DataFrame:
     s = s.withColumn("_c", F.explode(_cells(F.col("_l"), F.col("start_sec"), F.col("end_sec"))))
     asked = points.select("call_id", "at").crossJoin(_levels(spans, "start_sec", "end_sec")).withColumn("_l", F.explode("_levels")).drop("_levels")
     asked = asked.withColumn("_c", F.floor(F.col("at") / F.pow(F.lit(2.0), F.col("_l"))))
-    hit = asked.join(s, ["call_id", "_l", "_c"]).filter("at >= start_sec and at < end_sec").groupBy("call_id", "at").agg(F.min("pos").alias("span_pos"))
-    return points.join(hit, ["call_id", "at"], "left")
+    # the cells are many more rows than the spans, and Spark takes them for as few bytes: never broadcast
+    hit = asked.join(s.hint("merge"), ["call_id", "_l", "_c"]).filter("at >= start_sec and at < end_sec").groupBy("call_id", "at").agg(F.min("pos").alias("span_pos"))
+    return points.join(hit.hint("merge"), ["call_id", "at"], "left")
 
 
 def frames(ends: DataFrame, frame_sec: float = 0.01) -> DataFrame:

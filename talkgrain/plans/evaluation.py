@@ -70,7 +70,7 @@ def speaker_attribution(spark, sf_dir):
     other = t.select("call_id", F.inline(F.array(span(0, "a", F.lit(0.0), F.lit(0.2) + F.col("d")), span(1, "b", F.lit(0.0), F.lit(0.45)))))
     grid = timelines.frames(t.select("call_id", F.lit(0.451).alias("end_sec"))).select("call_id", "at")
     named = lambda spans, name: timelines.covering(grid, spans).select("call_id", "at", F.when(F.col("span_pos") == 0, "a").when(F.col("span_pos") == 1, "b").alias(name))
-    both = named(reference, "reference").join(named(other, "hypothesis"), ["call_id", "at"]).join(t.select("call_id", "language"), "call_id")
+    both = named(reference, "reference").join(named(other, "hypothesis"), ["call_id", "at"]).join(t.select("call_id", "language").hint("merge"), "call_id")
     return metrics.speaker_accuracy(both)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from talkgrain.plans import records
+from talkgrain.plans import evaluation, records
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -19,3 +19,7 @@ def test_rules_and_their_lines_meet_without_a_join(spark, tmp_path, capsys):
     spark.createDataFrame([(7, 1, 1), (5, 1, 1), (5, 1, 1), (5, 2, 3), (5, 3, 1), (None, 2, 4)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.rule_id: (r.retired, r.source_ids) for r in records._rules(spark, str(tmp_path)).collect()}
     assert got == {p * 10 + n: ((p + n) % 3 == 0, {(1, 1): [5, 7], (2, 3): [5]}.get((p, n), [])) for p in (1, 2) for n in range(1, 8)}
+
+
+def test_frames_and_cells_are_not_broadcast(spark, capsys):
+    assert "BroadcastHashJoin" not in explained(evaluation.speaker_attribution(spark, SMALL), capsys)  # its tables explode, which Spark's estimate leaves out
