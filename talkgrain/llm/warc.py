@@ -7,14 +7,15 @@ Equal payloads (of at least `min_bytes`) are stored once: the record with the sm
 revisits that name it. Defined results: a null payload is empty; a row without an id is a response; rows that repeat id
 and payload are all what the first is; an empty table makes no archive and reads as no rows. Archives are written next
 to each other without a shuffle of the payloads, unless there are more revisits than may be broadcast. The URL that is read back
-is the one in the header: percent-encoded where WARC needs that, null where it was empty. Other columns are ignored, whatever their
-names; payloads of any length are written whole.
+is the page's: WARC-Target-URI is percent-encoded where WARC needs that, and X-Page-Url then has the URL itself. Other columns are
+ignored, whatever their names; payloads of any length are written whole.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -48,11 +49,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     """One gzip member: a response, or a revisit of the record `refers_to` without the payload."""
     http = HTTP % len(payload)
     block = http + (payload if refers_to is None else b"")
+    target = "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "")
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
         "WARC-Record-ID": record_id(page_id),
         "WARC-Date": DATE,
-        "WARC-Target-URI": "".join(c if c > " " else f"%{ord(c):02X}" for c in url or ""),
+        "WARC-Target-URI": target,
         "WARC-Payload-Digest": f"sha1:{digest32(payload)}",
         "WARC-Block-Digest": f"sha1:{digest32(block)}",
         "Content-Type": "application/http; msgtype=response",
@@ -61,6 +63,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     }
     if page_id is not None:
         head["X-Page-Id"] = page_id
+    if url is not None and (not url or url != target):
+        head["X-Page-Url"] = json.dumps(url)
     if refers_to is not None:
         head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page-Id": refers_to}
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v != "")
@@ -138,8 +142,9 @@ def records(stream: BinaryIO, payload: Callable[[bytes], Any] | None = None) ->
         if head["WARC-Type"] == "response" and (base64.b32encode(body.digest()).decode() != shown["WARC-Payload-Digest"] or size != int(head["X-Payload-Length"])):
             raise ValueError("a payload differs from its digest or length")
         number = lambda k: int(head[k]) if k in head else None
+        url = json.loads(head["X-Page-Url"]) if "X-Page-Url" in head else head.get("WARC-Target-URI")
         yield {
-            "page_id": number("X-Page-Id"), "url": head.get("WARC-Target-URI"), "payload_bytes": number("X-Payload-Length"),
+            "page_id": number("X-Page-Id"), "url": url, "payload_bytes": number("X-Payload-Length"),
             "payload_digest": shown["WARC-Payload-Digest"], "record_type": head["WARC-Type"], "refers_to": number("X-Refers-To-Page-Id"),
         }
         rest = m.rest or stream.read(STEP)
