@@ -5,8 +5,10 @@ vector lies in the cell of its nearest pivot. A cell's figures (how many vectors
 are PIVOTS rows and known to all. A query at angle f to a pivot has no vector of the cell nearer than max(0, f - largest,
 smallest - f), so a cell is skipped if the cosine of that is below the threshold or below the k-th best found already.
 
-Cells are dealt in blocks of bounded rows, and the queries of a block in chunks of bounded rows; one task group is a chunk
-against a block, whatever the cell's or the query set's size. Nothing but pivots and cell figures reaches the driver.
+Neighbouring cells share a block of bounded rows, and a large cell is dealt in several; the queries of a block come in chunks
+of bounded rows. One task group is a chunk against a block, whatever the cell's or the query set's size, and is worked off some
+pairs at a time. Blocks are about PARTS until they have their most rows, so that what is shuffled grows with the rows and not with
+their square until then. Nothing but pivots and cell figures reaches the driver.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from talkgrain.sources import files
 
 #: Pivots at most, vectors that are worth a pivot, numbers in a block of vectors, and how far products in another order of summing may be off.
 PIVOTS, PER_PIVOT, BLOCK_NUMBERS, ROUNDING = 256, 64, 1 << 17, 1e-9
-#: Numbers of vectors that are copied at a time.
-COPIED = 1 << 20
+#: Blocks that are aimed at, and how many times larger than BLOCK_NUMBERS one may get for that.
+PARTS, LARGER = 32, 8
+#: Numbers of vectors that are copied at a time, pairs that are looked at a time, visits and found rows that are sent at a time.
+COPIED, TILE, SENT = 1 << 20, 1 << 20, 1 << 12
 #: Slack of angle bounds: acos near 1 turns a rounding of 1e-16 into 1e-8.
 SLACK = 1e-6
 
@@ -69,6 +73,14 @@ def bounds(pivots: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndar
     return np.where(sizes > 0, np.cos(np.minimum(least, np.pi)), -2.0)
 
 
+def chain(pivots: np.ndarray) -> list[int]:
+    """The pivots, each followed by the nearest of those left."""
+    left, out = list(range(len(pivots))), []
+    while left:
+        out.append(left.pop(int(np.argmax(pivots[left] @ pivots[out[-1]])) if out else 0))
+    return out
+
+
 class Cells:
     """rules (rule_id, pos, vec) in blocks of cells; vectors without a direction and null vectors are in none."""
 
@@ -78,57 +90,101 @@ class Cells:
         total = each.agg(F.sum("_n")).first()[0] or 0
         some = each.orderBy("_h").limit(min(PIVOTS, 1 + total // PER_PIVOT)).select("vec").toPandas()  # bounded
         self.pivots = Block(matrix(some["vec"])).unit if len(some) else np.zeros((0, 1))
-        self.block_rows = max(16, BLOCK_NUMBERS // max(1, self.pivots.shape[1]))
+        least = max(16, BLOCK_NUMBERS // max(1, self.pivots.shape[1]))
+        self.block_rows = min(max(least, total // PARTS), least * LARGER)
         sent, schema = self.pivots, f"rule_id {kind(rules, 'rule_id')}, pos {kind(rules, 'pos')}, vec array<double>, cell int, angle double"
 
         def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                if len(f):
-                    near = Block(matrix(f["vec"])).unit @ sent.T
+                for at in range(0, len(f), SENT):
+                    part = f.iloc[at : at + SENT]
+                    near = Block(matrix(part["vec"])).unit @ sent.T
                     cell = near.argmax(axis=1)
-                    yield f.assign(cell=cell.astype("int32"), angle=np.arccos(np.clip(near[np.arange(len(f)), cell], -1, 1)))
+                    yield part.assign(cell=cell.astype("int32"), angle=np.arccos(np.clip(near[np.arange(len(part)), cell], -1, 1)))
 
-        self.rows = rows.mapInPandas(deal, schema)
+        self.rows = files.kept(rows.mapInPandas(deal, schema)) if len(some) else rows.mapInPandas(deal, schema)
         figures = {r.cell: r for r in self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()} if len(some) else {}
         get = lambda name, other: np.array([getattr(figures[c], name) if c in figures else other for c in range(len(self.pivots))], float)
         self.sizes, self.low, self.high = get("n", 0).astype(int), get("low", 9.0), get("high", -9.0)
-        self.blocks = np.ceil(self.sizes / self.block_rows).astype(int)
-        per = F.element_at(F.array(*[F.lit(int(max(1, b))) for b in self.blocks]), F.col("cell") + 1) if len(self.pivots) else F.lit(1)
-        self.dealt = self.rows.withColumn("block", F.pmod(F.xxhash64("rule_id"), per).cast("int")).drop("angle")
-
-    def visits(self, queries: DataFrame, choose: Callable[[pd.DataFrame, np.ndarray], np.ndarray]) -> DataFrame:
-        """queries (query_id, vec and more) once per chosen block: query_id, vec, cell, block. choose gives a mask over (query, cell) from the bounds."""
-        blocks, figures = self.blocks, (self.pivots, self.sizes, self.low, self.high)
-        schema = f"query_id {kind(queries, 'query_id')}, vec array<double>, cell int, block int"
-
-        def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bins: list[list[int]] = []
+        for c in chain(self.pivots):
+            if not bins or self.sizes[[*bins[-1], c]].sum() > self.block_rows:
+                bins.append([])
+            bins[-1].append(c)
+        self.holds = np.zeros((len(self.pivots), len(bins)), "float32")  # (cell, bin)
+        for k, inside in enumerate(bins):
+            self.holds[inside, k] = 1
+        self.blocks = np.ceil(self.sizes @ self.holds / self.block_rows).astype(int)
+        self.first = np.cumsum(self.blocks) - self.blocks
+        of_cell = lambda x: F.element_at(F.array(*[F.lit(int(n)) for n in self.holds @ x]), F.col("cell") + 1) if len(self.pivots) else F.lit(1)
+        self.dealt = self.rows.select("rule_id", "pos", "vec", (of_cell(self.first) + F.pmod(F.xxhash64("rule_id"), of_cell(np.maximum(1, self.blocks)))).cast("int").alias("block"))
+
+    def visits(self, queries: DataFrame, choose: Callable[..., np.ndarray], but: Callable[..., np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
+        """queries (query_id, vec and more) once per block of a bin with a chosen cell: query_id, vec, block; and how many visits blocks have: block, n. choose gives a mask over (query, cell) from the bounds; bins with a cell that `but` gives are left out."""
+        blocks, starts, holds, figures = self.blocks, self.first, self.holds, (self.pivots, self.sizes, self.low, self.high)
+
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
             for f in frames:
                 for at in range(0, len(f), 1024):
                     part = f.iloc[at : at + 1024].reset_index(drop=True)
-                    i, cell = np.nonzero(choose(part, bounds(*figures, Block(matrix(part["vec"])).unit)))
-                    times = blocks[cell]
-                    i, cell = i.repeat(times), cell.repeat(times)
-                    block = np.arange(len(i)) - np.concatenate([[0], np.cumsum(times)[:-1]]).repeat(times) if len(i) else i
-                    yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[i], "vec": part["vec"].to_numpy()[i], "cell": cell.astype("int32"), "block": np.asarray(block, "int32")})
-
-        return queries.mapInPandas(visit, schema)
-
-    def meet(self, visits: DataFrame, pick: Callable[[Block, Block, np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-        """Chunks of visits against blocks."""
-        chunk = self.block_rows
-        load = visits.groupBy("cell", "block").agg(F.count(F.lit(1)).alias("_n")).withColumn("chunks", F.ceil(F.col("_n") / chunk).cast("int")).drop("_n")
-        asked = visits.join(F.broadcast(load), ["cell", "block"]) if int(self.blocks.sum()) <= 100_000 else visits.join(load, ["cell", "block"])
-        asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).drop("chunks")
-        held = self.dealt.join(load, ["cell", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+                    most = bounds(*figures, Block(matrix(part["vec"])).unit)
+                    mask = choose(part, most).astype("float32") @ holds > 0
+                    if but is not None:
+                        mask &= ~(but(part, most).astype("float32") @ holds > 0)
+                    yield part, *np.nonzero(mask)
 
-        def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            mine, block = Block(matrix(left["vec"])) if len(left) else None, Block(matrix(right["vec"])) if len(right) else None
-            if mine is None or block is None:
-                return pd.DataFrame([], columns=[c.split()[0] for c in schema.split(", ")])
-            return pick(mine, block, mine.unit @ block.unit.T, left, right)
-
-        keys = ["cell", "block", "chunk"]
-        return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(solve, schema)
+        def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part, i, k in each(frames):
+                ids, vectors = part["query_id"].to_numpy(), part["vec"].to_numpy()
+                for at in range(int(blocks.max(initial=0))):  # the first block of each bin, then the second ones
+                    more = blocks[k] > at
+                    mine, block = i[more], starts[k[more]] + at
+                    for s in range(0, len(mine), SENT):
+                        yield pd.DataFrame({"query_id": ids[mine[s : s + SENT]], "vec": vectors[mine[s : s + SENT]], "block": block[s : s + SENT].astype("int32")})
+
+        def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n = np.zeros(len(blocks), int)
+            for _, _, k in each(frames):
+                n += np.bincount(k, minlength=len(n))
+            n, block = n.repeat(blocks), np.arange(blocks.sum())
+            yield pd.DataFrame({"block": block[n > 0].astype("int32"), "n": n[n > 0]})
+
+        load = queries.mapInPandas(count, "block int, n long").groupBy("block").agg(F.sum("n").alias("n"))
+        return queries.mapInPandas(visit, f"query_id {kind(queries, 'query_id')}, vec array<double>, block int"), load
+
+    def meet(self, visits: tuple[DataFrame, DataFrame], pick: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+        """Chunks of visits against blocks: pick gets both sides, where a tile of the first starts, the tile's cosines but for rounding, and both sides' ids; it gives the tile's rows."""
+        asked, load = visits
+        load = files.kept(load.select("block", F.ceil(F.col("n") / self.block_rows).cast("int").alias("chunks")))
+        with_load = lambda rows: rows.join(F.broadcast(load), "block") if int(self.blocks.sum()) <= 100_000 else rows.join(load, "block")
+        asked = with_load(asked).withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
+        held = with_load(self.dealt).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        none = lambda rows, c: F.lit("0").cast(kind(rows, c)).alias(c)  # noqa: E731 null would turn whole numbers of pandas into doubles
+        asked = asked.select("block", "chunk", F.lit(True).alias("asks"), "query_id", none(held, "rule_id"), none(held, "pos"), "vec")
+        held = held.select("block", "chunk", F.lit(False).alias("asks"), none(asked, "query_id"), "rule_id", "pos", "vec")
+
+        def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sides: dict[bool, list] = {True: [], False: []}
+            for f in frames:
+                for asks, parts in sides.items():
+                    some = f[f["asks"] == asks]
+                    if len(some):
+                        parts.append((matrix(some["vec"]), some["query_id"].to_numpy(), some["rule_id"].to_numpy(), some["pos"].to_numpy()))
+            if not sides[True] or not sides[False]:
+                return
+            (vectors, ids, _, _), (others, _, rules, pos) = (list(map(np.concatenate, zip(*sides[asks]))) for asks in (True, False))
+            sides.clear()
+            mine, block, step, found, n = Block(vectors), Block(others), max(1, TILE // len(others)), [], 0
+            for s in range(0, len(ids), step):
+                found.append(pick(mine, block, s, mine.unit[s : s + step] @ block.unit.T, ids, rules, pos))
+                n += len(found[-1])
+                if n >= 16 * SENT:
+                    yield pd.concat(found)
+                    found, n = [], 0
+            if n:
+                yield pd.concat(found)
+
+        return asked.unionByName(held).groupBy("block", "chunk").applyInPandas(solve, schema)
 
 
 def nearest(queries: DataFrame, rules: DataFrame, k: int) -> DataFrame:
@@ -151,16 +207,16 @@ def nearest(queries: DataFrame, rules: DataFrame, k: int) -> DataFrame:
         np.put_along_axis(out, order, before < k, axis=1)
         return out & (sizes > 0)
 
-    def best(mine: Block, block: Block, near: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def best(mine: Block, block: Block, start: int, near: np.ndarray, ids: np.ndarray, rules: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
         n = near.shape[1]
         least = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf)
         i, j = np.nonzero(near >= least[:, None] - ROUNDING)
-        c, pos = mine.cosines(i, block, j), right["pos"].to_numpy()
+        c = mine.cosines(i + start, block, j)
         order = np.lexsort((pos[j], -c, i))
         i, j, c = i[order], j[order], c[order]
         first = np.arange(len(i)) - np.searchsorted(i, i) < k
         i, j, c = i[first], j[first], c[first]
-        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[i], "rule_id": right["rule_id"].to_numpy()[j], "pos": pos[j], "similarity": c})
+        return pd.DataFrame({"query_id": ids[i + start], "rule_id": rules[j], "pos": pos[j], "similarity": c})
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "pos"))
     found = None
@@ -170,9 +226,9 @@ def nearest(queries: DataFrame, rules: DataFrame, k: int) -> DataFrame:
         again = direct.join(kth, "query_id", "left").withColumn("_kth", F.coalesce("_kth", F.lit(-3.0)))
 
         def beats(part: pd.DataFrame, most: np.ndarray) -> np.ndarray:
-            return (most >= part["_kth"].to_numpy()[:, None] - ROUNDING) & ~promising(most) & (sizes > 0)
+            return (most >= part["_kth"].to_numpy()[:, None] - ROUNDING) & (sizes > 0)
 
-        found = first.unionByName(cells.meet(cells.visits(again, beats), best, schema))
+        found = first.unionByName(cells.meet(cells.visits(again, beats, lambda _, b: promising(b)), best, schema))
     zero = rules.filter("not exists(vec, x -> x <> 0)").select("rule_id", "pos").orderBy("pos").limit(k)
     still = rules.select("rule_id", "pos").orderBy("pos").limit(k)
     flat = direct.select("query_id").join(F.broadcast(zero)).unionByName(queries.filter("not exists(vec, x -> x <> 0)").select("query_id").join(F.broadcast(still)))  # k rows each
@@ -181,31 +237,45 @@ def nearest(queries: DataFrame, rules: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def pairs(rules: DataFrame, threshold: float) -> DataFrame:
-    """a < b, similarity: all pairs with a cosine of at least the threshold, which must be positive."""
+def within(queries: DataFrame, rules: DataFrame, threshold: float, ordered: bool = False) -> DataFrame:
+    """queries (query_id, vec), rules (rule_id, vec): query_id, rule_id, similarity: all with a cosine of at least the threshold, which must be positive; with ordered only those whose query_id is the smaller one."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
     rows = rules.select("rule_id", F.lit(0).alias("pos"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
+    asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null and exists(vec, x -> x <> 0)")
     cells = Cells(rows)
-    id_kind = kind(rules, "rule_id")
-    schema = f"a {id_kind}, b {id_kind}, similarity double"
     if not len(cells.pivots):
-        return rows.filter("false").select(F.col("rule_id").alias("a"), F.col("rule_id").alias("b"), F.lit(0.0).alias("similarity"))
+        return asked.filter("false").select("query_id", F.lit(None).cast(kind(rules, "rule_id")).alias("rule_id"), F.lit(0.0).alias("similarity"))
 
-    def alike(mine: Block, block: Block, near: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = left["query_id"].to_numpy(), right["rule_id"].to_numpy()
-        i, j = np.nonzero((near >= threshold - ROUNDING) & (a[:, None] < b[None, :]))
-        c = mine.cosines(i, block, j)
-        return pd.DataFrame({"a": a[i], "b": b[j], "similarity": c})[c >= threshold]
+    def alike(mine: Block, block: Block, start: int, near: np.ndarray, ids: np.ndarray, rules: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
+        right = near >= threshold - ROUNDING
+        if ordered:
+            right &= ids[start : start + len(near), None] < rules[None, :]
+        i, j = np.nonzero(right)
+        c = mine.cosines(i + start, block, j)
+        return pd.DataFrame({"query_id": ids[i + start], "rule_id": rules[j], "similarity": c})[c >= threshold]
 
-    asked = rows.filter("exists(vec, x -> x <> 0)").select(F.col("rule_id").alias("query_id"), "vec")
+    schema = f"query_id {kind(queries, 'query_id')}, rule_id {kind(rules, 'rule_id')}, similarity double"
     return cells.meet(cells.visits(asked, lambda _, b: b >= threshold - ROUNDING), alike, schema)
 
 
+def pairs(rules: DataFrame, threshold: float) -> DataFrame:
+    """a < b, similarity: all pairs with a cosine of at least the threshold, which must be positive."""
+    found = within(rules.select(F.col("rule_id").alias("query_id"), "vec"), rules, threshold, ordered=True)
+    return found.select(F.col("query_id").alias("a"), F.col("rule_id").alias("b"), "similarity")
+
+
 def skipped(queries: DataFrame, rules: DataFrame, threshold: float) -> DataFrame:
     """One row: visited and all (query, cell) pairs of a threshold search, and the share that is skipped."""
     cells = Cells(rules)
     asked = queries.select("query_id", "vec").filter("vec is not null and exists(vec, x -> x <> 0)")
-    visits = cells.visits(asked, lambda _, b: b >= threshold - ROUNDING).filter("block = 0").agg(F.count(F.lit(1)).alias("visited"))
+    figures = (cells.pivots, cells.sizes, cells.low, cells.high)
+
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), 1024):
+                yield pd.DataFrame({"n": [int((bounds(*figures, Block(matrix(f["vec"].iloc[at : at + 1024])).unit) >= threshold - ROUNDING).sum())]})
+
+    visits = asked.mapInPandas(visit, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("visited"))
     both = visits.join(F.broadcast(asked.agg((F.count(F.lit(1)) * int((cells.sizes > 0).sum())).alias("cells"))))  # one row
     return both.withColumn("skipped", 1 - F.try_divide("visited", "cells"))

@@ -1,7 +1,9 @@
 """What must not grow with the input: plans of small copies, and results on hand-made rows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from talkgrain.operators import search
 from talkgrain.plans import evaluation, records
 
 SMALL = "/root/testdata/sf0.001"
@@ -23,3 +25,18 @@ def test_rules_and_their_lines_meet_without_a_join(spark, tmp_path, capsys):
 
 def test_frames_and_cells_are_not_broadcast(spark, capsys):
     assert "BroadcastHashJoin" not in explained(evaluation.speaker_attribution(spark, SMALL), capsys)  # its tables explode, which Spark's estimate leaves out
+
+
+def test_small_cells_share_a_block_and_searches_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(search, "PER_PIVOT", 4)
+    v = np.random.default_rng(3).normal(size=(600, 6))
+    v[300:] = v[:300] + np.random.default_rng(4).normal(size=(300, 6)) / 9
+    rows = spark.createDataFrame([(k, k, x.tolist()) for k, x in enumerate(v)], "rule_id long, pos long, vec array<double>")
+    cells = search.Cells(rows)
+    assert len(cells.pivots) > 100 and cells.blocks.sum() <= 2  # a query is sent once to each block, not to each cell
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    monkeypatch.setattr(search, "BLOCK_NUMBERS", 200)
+    monkeypatch.setattr(search, "TILE", 100)
+    monkeypatch.setattr(search, "SENT", 7)
+    got = {(r.query_id, r.rule_id) for r in search.within(rows.filter("rule_id % 3 = 0").selectExpr("rule_id as query_id", "vec"), rows, 0.9).collect()}
+    assert got == {(i, j) for i in range(0, 600, 3) for j in range(600) if unit[i] @ unit[j] >= 0.9}
