@@ -99,8 +99,7 @@ def batches(calls: DataFrame, n: int, k: int = 1, retrieve_at: float = 0.5, merg
         alike = search.pairs(new.select(F.col("call_id").alias("rule_id"), "vec"), conflict_at).select("a", "b")
         said = new.select("call_id", "wants")
         alike = alike.join(said.select(F.col("call_id").alias("a"), F.col("wants").alias("_a")), "a").join(said.select(F.col("call_id").alias("b"), F.col("wants").alias("_b")), "b").filter("_a <> _b").select("a", "b")
-        both = new.select((-F.col("call_id") - 1).alias("rule_id"), "vec").unionByName(active.select("rule_id", "vec"))  # negative ids are the new ones
-        cross = search.pairs(both, conflict_at).filter("a < 0 and b >= 0").select((-F.col("a") - 1).alias("candidate"), F.col("b").alias("rule_id"))
+        cross = search.within(new.select(F.col("call_id").alias("query_id"), "vec"), active.select("rule_id", "vec"), conflict_at).select(F.col("query_id").alias("candidate"), "rule_id")
         cross = files.kept(cross.join(said.select(F.col("call_id").alias("candidate"), "wants"), "candidate").join(active.select("rule_id", "says"), "rule_id").filter("wants <> says").select("candidate", "rule_id"))
         decided, _ = fold(new.select(F.col("call_id").alias("candidate"), F.col("call_id").alias("pos")), alike, cross)
         decided = files.kept(decided)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from talkgrain.operators import search
+from talkgrain.operators import induction, search
 from talkgrain.plans import evaluation, records
 
 SMALL = "/root/testdata/sf0.001"
@@ -40,3 +40,11 @@ def test_small_cells_share_a_block_and_searches_are_whole(spark, monkeypatch):
     monkeypatch.setattr(search, "SENT", 7)
     got = {(r.query_id, r.rule_id) for r in search.within(rows.filter("rule_id % 3 = 0").selectExpr("rule_id as query_id", "vec"), rows, 0.9).collect()}
     assert got == {(i, j) for i in range(0, 600, 3) for j in range(600) if unit[i] @ unit[j] >= 0.9}
+
+
+def test_the_loop_looks_for_pairs_of_new_ones_and_rules_only(spark, monkeypatch):
+    asked, plain = [], search.pairs
+    monkeypatch.setattr(search, "pairs", lambda rows, threshold: asked.append(rows.columns and rows.filter("rule_id < 0").count()) or plain(rows, threshold))
+    calls = spark.createDataFrame([(k, 0, [1.0, k / 9], "ab"[k % 2], "?") for k in range(6)], "call_id long, batch int, vec array<double>, wants string, plain string")
+    figures, _ = induction.batches(calls, 1)
+    assert figures.first().inserted == 3 and figures.first().conflicts == 3 and not any(asked)  # the others were all compared with each other as well
