@@ -13,6 +13,8 @@ they have fallen apart.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -117,69 +119,140 @@ def clusters(rules: DataFrame, threshold: float, small: int = SMALL, within: str
 
 # --- how alike the members of clusters are ------------------------------------------------------------------------------
 
-#: Bins that an interval is cut into, members of a block, and the values of a cluster that are ranked at last.
-BINS, BLOCK, RANKED = 4096, 1024, 100_000
+#: Numbers in a full block of members, the blocks that a cluster gets before they are full, and the members that are worth one.
+BLOCK_NUMBERS, BLOCKS, BLOCK = 1 << 19, 8, 1024
+#: Bins of the first count and of an interval, a cluster's pairs that are told at once, and its values that are ranked at last.
+FIRST_BINS, BINS, FEW, RANKED = 1 << 17, 4096, 1 << 15, 1 << 19
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """members (cluster, vec) and block, blocks (of the cluster), total (pairs of the cluster)."""
+    n = F.count(F.lit(1))
+    blocks = F.ceil(F.greatest(n * F.max(F.size("vec")) / BLOCK_NUMBERS, F.least(F.lit(float(BLOCKS)), n / BLOCK)))
+    sizes = members.groupBy("cluster").agg(blocks.cast("int").alias("blocks"), F.expr("count(1) * (count(1) - 1) div 2").alias("total"))
+    return members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rule_id"), F.col("blocks")).cast("int")).drop("rule_id")
+
+
+def _in_pairs(rows: DataFrame) -> DataFrame:
+    """Rows with block and blocks, dealt so that every two members of a cluster meet in one group (cluster, p, q), p <= q."""
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("p", F.least("block", "_o")).withColumn("q", F.greatest("block", "_o")).drop("_o", "blocks")
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cluster", "p", "q")  # a number, as few bytes are much work
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """members (cluster, rule_id, vec) dealt so that every two members of a cluster meet in one group (cluster, p, q), p <= q."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rule_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return rows.withColumn("_o", other).withColumn("p", F.least("block", "_o")).withColumn("q", F.greatest("block", "_o")).select("cluster", "rule_id", "vec", "block", "p", "q")
+class _Pairs:
+    """The pairs that the group of blocks p and q owns, each once, a tile at a time."""
 
+    def __init__(self, rows: pd.DataFrame):
+        p, q = int(rows["p"].iloc[0]), int(rows["q"].iloc[0])
+        sides = [search.matrix(rows.loc[rows["block"] == k, "vec"]) if (rows["block"] == k).any() else np.zeros((0, 1)) for k in (p, q)]
+        self.one, self.two = map(search.Block, sides)
+        self.same, self.off = p == q, (sides[0].shape[1] + 8) * 2.0**-23  # of sums and bins in single precision
 
-def _cosines(rows: pd.DataFrame) -> np.ndarray:
-    """Cosines of the pairs that the group of blocks p and q owns, each pair once."""
-    p, q = int(rows["p"].iloc[0]), int(rows["q"].iloc[0])
-    rows = rows.sort_values("rule_id", kind="stable")
-    one, two = (search.Block(search.matrix(rows.loc[rows["block"] == k, "vec"])) if (rows["block"] == k).any() else None for k in (p, q))
-    if one is None or two is None:
-        return np.zeros(0)
-    i, j = np.nonzero(np.ones((len(one.norms), len(two.norms)), bool)) if p != q else np.triu_indices(len(one.norms), 1)
-    return one.cosines(i, two, j)
+    def tiles(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Where a tile starts in the first block, and its cosines with the second in single precision; infinity for what is no pair."""
+        if not len(self.one.norms) or not len(self.two.norms):
+            return
+        a, b = (np.where(x.norms[:, None] > 0, x.unit, 0).astype("float32") for x in (self.one, self.two))
+        step = max(1, search.TILE // len(b))
+        for s in range(0, len(a), step):
+            near = a[s : s + step] @ b.T
+            if self.same:
+                near[np.arange(len(b)) <= np.arange(s, s + len(near))[:, None]] = np.inf
+            yield s, near
+
+    def exact(self, start: int, chosen: np.ndarray) -> np.ndarray:
+        i, j = np.nonzero(chosen)
+        return self.one.cosines(i + start, self.two, j)
+
+    def inside(self, lo: float, hi: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Per tile how many cosines are below lo, and those from lo to hi; only what is near the interval is computed exactly."""
+        for s, near in self.tiles():
+            under = near < lo - self.off
+            c = self.exact(s, ~under & (near <= hi + self.off))
+            yield int(under.sum()) + int((c < lo).sum()), c[(c >= lo) & (c <= hi)]
 
 
 def statistics(members: DataFrame) -> DataFrame:
     """members (cluster, rule_id, vec): cluster, size, least and median of the cosines of all pairs, exactly; null for a single member.
 
-    Pairs are counted in bins of an interval, block against block; the interval then shrinks to the values of the bins that
-    hold the median, until few are left, which are told with their counts. No pair leaves its task.
+    All pairs are counted in bins, block against block, by products in single precision whose error is bounded. The bins that
+    hold the median, widened by that error, are an interval; exact cosines are computed of what may lie in it, and the interval
+    shrinks until few values are left, which are told with their counts. No pair leaves its task.
     """
     members = members.select("cluster", "rule_id", F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
-    dealt = files.kept(_block_pairs(members))
-    kind = dealt.schema["cluster"].dataType.simpleString()
-    keys, over = ["cluster", "p", "q"], Window.partitionBy("cluster")
-    spans = members.groupBy("cluster").agg(F.lit(-2.0).alias("lo"), F.lit(2.0).alias("hi"), F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("total"), F.lit(None).cast("double").alias("least"), F.lit(None).cast("long").alias("last"))
+    finite = members.filter(~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))  # others have no cosine
+    rows = files.kept(_blocks(finite))
+    kind, over = rows.schema["cluster"].dataType.simpleString(), Window.partitionBy("cluster")
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
 
-    def inside(rows: pd.DataFrame) -> np.ndarray:
-        c = _cosines(rows)
-        return c[(c >= rows["lo"].iloc[0]) & (c <= rows["hi"].iloc[0])]
+    def rough(rows: pd.DataFrame) -> pd.DataFrame:
+        pairs, n, least = _Pairs(rows), np.zeros(FIRST_BINS, np.int64), np.inf
+        for s, near in pairs.tiles():
+            values = near[near < np.inf] if pairs.same else near.ravel()
+            if not len(values):
+                continue
+            n += np.bincount(((values + np.float32(1)) * np.float32(FIRST_BINS / 2)).astype(np.int32).clip(0, FIRST_BINS - 1), minlength=FIRST_BINS)
+            first = float(values.min())
+            if first - pairs.off < least:
+                least = min(least, pairs.exact(s, near <= first + 2 * pairs.off).min())
+        bins = np.nonzero(n)[0]
+        return pd.DataFrame({"cluster": [rows["cluster"].iloc[0]] * len(bins), "bin": bins, "n": n[bins], "least": least, "off": pairs.off})
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        c, lo, hi = inside(rows), rows["lo"].iloc[0], rows["hi"].iloc[0]
-        bins = np.minimum((c - lo) / (hi - lo or 1.0) * BINS, BINS - 1).astype(np.int64)
-        found = pd.DataFrame({"bin": bins, "c": c}).groupby("bin")["c"].agg(["size", "min", "max"]).reset_index()
-        return pd.DataFrame({"cluster": [rows["cluster"].iloc[0]] * len(found), "bin": found["bin"], "n": found["size"], "low": found["min"], "high": found["max"]})
+        lo, hi, below = rows["lo"].iloc[0], rows["hi"].iloc[0], 0
+        n, least, most = np.zeros(BINS, np.int64), np.full(BINS, np.inf), np.full(BINS, -np.inf)
+        for under, c in _Pairs(rows).inside(lo, hi):
+            below += under
+            at = np.minimum((c - lo) / (hi - lo) * BINS, BINS - 1).astype(np.int64)
+            n += np.bincount(at, minlength=BINS)
+            np.minimum.at(least, at, c)
+            np.maximum.at(most, at, c)
+        bins = np.nonzero(n)[0]
+        found = {"bin": [-1, *bins], "n": [below, *n[bins]], "low": [lo, *least[bins]], "high": [lo, *most[bins]]}
+        return pd.DataFrame({"cluster": [rows["cluster"].iloc[0]] * (len(bins) + 1), **found})
 
     def tell(rows: pd.DataFrame) -> pd.DataFrame:
-        values, n = np.unique(inside(rows), return_counts=True)
-        return pd.DataFrame({"cluster": [rows["cluster"].iloc[0]] * len(values), "value": values, "n": n})
-
-    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+        below, values, n = 0, np.zeros(0), np.zeros(0, np.int64)
+        for under, c in _Pairs(rows).inside(rows["lo"].iloc[0], rows["hi"].iloc[0]):
+            below += under
+            values, at = np.unique(np.concatenate([values, c]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([n, np.ones(len(c))]), minlength=len(values)).astype(np.int64)
+        return pd.DataFrame({"cluster": [rows["cluster"].iloc[0]] * (len(values) + 1), "value": [-9.0, *values], "n": [below, *n]})
+
+    def each(rows: DataFrame, what: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+        return _in_pairs(rows.drop("total")).groupBy("cluster", "p", "q").applyInPandas(what, f"cluster {kind}, {schema}")
+
+    def holding(counts: DataFrame) -> DataFrame:
+        """The bins with one of the two middle values."""
+        counts = counts.withColumn("until", F.sum("n").over(over.orderBy("bin")))
+        return counts.filter(F.greatest(low, F.col("until") - F.col("n")) < F.least(high + 1, F.col("until")))
+
+    totals, nothing = rows.select("cluster", "total").distinct(), F.lit(None).cast("double")
+    told = totals.filter(F.col("total") <= FEW).select("cluster", "total", F.lit(-2.0).alias("lo"), F.lit(2.0).alias("hi"), nothing.alias("least"))
+    counts = files.kept(each(rows.filter(F.col("total") > FEW), rough, "bin long, n long, least double, off double").groupBy("cluster", "bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("off").alias("off")))
+    all_of = counts.groupBy("cluster").agg(F.min("least").alias("least"), F.max("off").alias("off"))
+    middle = holding(counts.join(totals, "cluster")).groupBy("cluster").agg(F.min("bin").alias("_p"), F.max("bin").alias("_q"), F.first("total").alias("total")).join(all_of, "cluster")
+    more = F.ceil(F.col("off") * FIRST_BINS / 2)
+    reach = counts.select("cluster", "bin", "n").join(middle.select("cluster", (F.col("_p") - more).alias("_p"), (F.col("_q") + more).alias("_q")), "cluster").filter("bin between _p and _q").groupBy("cluster").agg(F.sum("n").alias("n"))
+    edge = lambda k: F.col(k) * (2 / FIRST_BINS) - 1
+    spans = files.kept(middle.join(reach, "cluster").select("cluster", "total", (edge("_p") - F.col("off")).alias("lo"), (edge("_q") + 2 / FIRST_BINS + F.col("off")).alias("hi"), "least", (F.col("n") <= RANKED).alias("done")))
     while True:
-        counts = dealt.join(spans.select("cluster", "lo", "hi"), "cluster").groupBy(*keys).applyInPandas(count, f"cluster {kind}, bin long, n long, low double, high double")
-        counts = counts.groupBy("cluster", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).join(spans.drop("lo", "hi"), "cluster")
-        counts = counts.withColumn("total", F.coalesce("total", F.sum("n").over(over))).withColumn("least", F.coalesce("least", F.min("low").over(over)))  # BINS rows at most
-        counts = counts.withColumn("from", F.col("before") + F.sum("n").over(over.orderBy("bin")) - F.col("n"))
-        holds = F.greatest(low, F.col("from")) <= F.least(high, F.col("from") + F.col("n") - 1)
-        spans = files.kept(counts.filter(holds).groupBy("cluster").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.min("from").alias("before"), F.first("total").alias("total"), F.first("least").alias("least"), F.first("last").alias("last"), F.sum("n").alias("n")))
-        if spans.filter((F.col("n") > RANKED) & (F.col("lo") < F.col("hi")) & (F.col("last").isNull() | (F.col("n") < F.col("last")))).isEmpty():
-            break  # few values are left, or an interval no longer shrinks as its ends hold the two middle values
-        spans = spans.withColumn("last", F.col("n")).drop("n")
-    values = dealt.join(spans.select("cluster", "lo", "hi"), "cluster").groupBy(*keys).applyInPandas(tell, f"cluster {kind}, value double, n long").groupBy("cluster", "value").agg(F.sum("n").alias("n"))
-    values = values.join(spans.select("cluster", "before", "total", "least"), "cluster").withColumn("until", F.col("before") + F.sum("n").over(over.orderBy("value")))
-    at = lambda k: F.min(F.when(F.col("until") > k, F.col("value")))
-    medians = values.groupBy("cluster").agg(((at(low) + at(high)) / 2).alias("median"), F.first("least").alias("least"))
+        told = told.unionByName(spans.filter("done").drop("done"))
+        left = spans.filter("not done")
+        if left.isEmpty():
+            break
+        counts = each(rows.join(left.select("cluster", "lo", "hi"), "cluster"), count, "bin long, n long, low double, high double")
+        counts = counts.groupBy("cluster", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        bins = holding(counts.join(left.select("cluster", "total", "least"), "cluster")).groupBy("cluster", "total", "least")
+        apart = F.count(F.lit(1)) > 1  # the middle values are the last of one bin and the first of the next
+        spans = bins.agg(F.when(apart, F.min("high")).otherwise(F.min("low")).alias("lo"), F.when(apart, F.max("low")).otherwise(F.max("high")).alias("hi"), (apart | (F.sum("n") <= RANKED)).alias("done"))
+        spans = files.kept(spans.withColumn("done", F.col("done") | (F.col("lo") == F.col("hi"))))
+    told = files.kept(told)
+    values = each(rows.join(told.select("cluster", "lo", "hi"), "cluster"), tell, "value double, n long").groupBy("cluster", "value").agg(F.sum("n").alias("n"))
+    values = values.join(told.select("cluster", "total", "least"), "cluster").withColumn("until", F.sum("n").over(over.orderBy("value")))
+    value = F.when(F.col("value") > -9, F.col("value"))  # the first row counts what is below
+    at = lambda k: F.min(F.when(F.col("until") > k, value))
+    medians = values.groupBy("cluster").agg(((at(low) + at(high)) / 2).alias("median"), F.coalesce(F.first("least"), F.min(value)).alias("least"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     return sizes.join(medians, "cluster", "left").select("cluster", "size", "least", "median")

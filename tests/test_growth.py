@@ -1,9 +1,10 @@
 """What must not grow with the input: plans of small copies, and results on hand-made rows."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from talkgrain.operators import induction, search
+from talkgrain.operators import induction, linkage, search
 from talkgrain.plans import evaluation, records
 
 SMALL = "/root/testdata/sf0.001"
@@ -48,3 +49,34 @@ def test_the_loop_looks_for_pairs_of_new_ones_and_rules_only(spark, monkeypatch)
     calls = spark.createDataFrame([(k, 0, [1.0, k / 9], "ab"[k % 2], "?") for k in range(6)], "call_id long, batch int, vec array<double>, wants string, plain string")
     figures, _ = induction.batches(calls, 1)
     assert figures.first().inserted == 3 and figures.first().conflicts == 3 and not any(asked)  # the others were all compared with each other as well
+
+
+def test_few_exact_cosines_give_an_exact_median():
+    v = np.random.default_rng(5).normal(size=(700, 24))
+    rows = pd.DataFrame({"vec": list(v), "block": np.arange(700) % 2, "p": 0, "q": 1})
+    pairs, asked = linkage._Pairs(rows), []
+    plain = pairs.exact
+    pairs.exact = lambda start, chosen: asked.append(chosen.sum()) or plain(start, chosen)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = np.sort((unit[::2] @ unit[1::2].T).ravel())
+    lo, hi = want[61_000] + 1e-12, want[61_500] + 1e-12
+    below, found = map(list, zip(*pairs.inside(lo, hi)))
+    assert sum(below) == 61_001 and np.allclose(np.sort(np.concatenate(found)), want[61_001:61_501], atol=1e-12)
+    assert sum(asked) < 600  # of 122,500, all of which were computed before
+
+
+def test_medians_between_modes_of_copies_and_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "FEW", 3)
+    monkeypatch.setattr(linkage, "RANKED", 5)
+    monkeypatch.setattr(linkage, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    modes = np.repeat([[1.0, 0, 0], [0, 1, 0]], 10, axis=0) + rng.normal(size=(20, 3)) / 1e3  # 90 pairs near 1 and 100 near 0
+    sets = {1: modes, 2: np.ones((40, 3)), 3: rng.normal(size=(70, 3)), 4: np.array([[1.0, 2, 3], [np.nan, 1, 1], [0, 0, 0], [3, 2, 1], [1, 2, 3.5]]), 5: np.ones((1, 3))}
+    rows = spark.createDataFrame([(c, k, x.tolist()) for c, v in sets.items() for k, x in enumerate(v)], "cluster long, rule_id long, vec array<double>")
+    got = {r.cluster: r for r in linkage.statistics(rows).collect()}
+    for c, v in sets.items():
+        v = v[np.isfinite(v).all(axis=1)]
+        unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        want = (unit @ unit.T)[np.triu_indices(len(v), 1)]
+        assert got[c].size == len(sets[c])
+        assert (got[c]["least"], got[c]["median"]) == (None, None) if not len(want) else np.allclose([got[c]["least"], got[c]["median"]], [want.min(), np.median(want)], atol=1e-12)
