@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from talkgrain.sources import files
 
 #: Pivots at most, vectors that are worth a pivot, numbers in a block of vectors, and how far products in another order of summing may be off.
-PIVOTS, PER_PIVOT, BLOCK_NUMBERS, ROUNDING = 256, 64, 1 << 17, 1e-9
+PIVOTS, PER_PIVOT, BLOCK_NUMBERS, ROUNDING = 256, 64, 1 << 15, 1e-9
 #: Blocks that are aimed at, and how many times larger than BLOCK_NUMBERS one may get for that.
-PARTS, LARGER = 32, 8
+PARTS, LARGER = 8, 128
 #: Numbers of vectors that are copied at a time, pairs that are looked at a time, visits and found rows that are sent at a time.
 COPIED, TILE, SENT = 1 << 20, 1 << 20, 1 << 12
 #: Slack of angle bounds: acos near 1 turns a rounding of 1e-16 into 1e-8.

@@ -80,3 +80,9 @@ def test_medians_between_modes_of_copies_and_across_blocks(spark, monkeypatch):
         want = (unit @ unit.T)[np.triu_indices(len(v), 1)]
         assert got[c].size == len(sets[c])
         assert (got[c]["least"], got[c]["median"]) == (None, None) if not len(want) else np.allclose([got[c]["least"], got[c]["median"]], [want.min(), np.median(want)], atol=1e-12)
+
+
+def test_blocks_stay_few_from_small_tables_to_large_ones(spark):
+    for n in (4_000, 40_000):  # what is dealt grows with the rows; there were 2 and 20 blocks before
+        rows = spark.range(n).selectExpr("id as rule_id", "id as pos", "transform(sequence(0, 63), d -> double(pmod(xxhash64(id, d), 2001) - 1000)) as vec")
+        assert 7 <= search.Cells(rows).blocks.sum() <= 12
