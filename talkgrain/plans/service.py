@@ -52,16 +52,17 @@ def scrubbed_documents(spark, sf_dir):
 def document_quotes(spark, sf_dir):
     """JSN-05: every quote of documents of any shape with its path; a torn document has none, nor have objects that lack a part."""
     c = fx.claims(spark, sf_dir)
-    quote = F.struct(F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"), F.lit("Agent").alias("speaker"), F.col("l_suppkey").alias("start_char"), F.lit(9).alias("end_char"))
-    half = F.struct(F.lit("no quote").alias("text"), F.lit("Agent").alias("speaker"))
-    whole, part = F.to_json(F.struct(quote.alias("evidence"))), F.to_json(F.struct(half.alias("evidence")))
-    claim = F.when(F.col("l_returnflag") == "R", part).otherwise(whole)
-    per = c.groupBy("call_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", claim.alias("j")))), lambda x: x["j"]), ",").alias("claims"))
+    half = F.col("l_returnflag") == "R"  # to_json leaves out what is null
+    text = F.when(half, "no quote").otherwise(F.concat(F.lit("part "), F.col("l_partkey").cast("string")))
+    quote = F.struct(text.alias("text"), F.lit("Agent").alias("speaker"), F.when(~half, F.col("l_suppkey")).alias("start_char"), F.when(~half, 9).alias("end_char"))
+    claims = F.transform(F.array_sort(F.collect_list(F.struct("pos", quote.alias("evidence")))), lambda x: F.struct(x["evidence"].alias("evidence")))
+    per = c.groupBy("call_id").agg(F.to_json(claims).alias("claims"))
     said = F.to_json(F.struct(F.col("o_orderpriority").alias("text"), F.lit("Agent").alias("speaker"), F.col("o_custkey").alias("start_char"), F.lit(1).alias("end_char")))
     o = fx.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), F.when(F.col("o_orderkey") % 7 != 0, said).alias("said"))
-    both = per.join(o, "call_id", "left").withColumn("doc", F.concat(F.lit('{"claims":['), "claims", F.lit('],"summary":{"by":[[1,'), F.coalesce("said", F.lit("null")), F.lit("]]}}")))
-    torn = per.select((-F.col("call_id")).alias("call_id"), F.concat(F.lit('{"claims":['), "claims").alias("doc"))
-    return documents.quotes_in(both.select("call_id", "doc").unionByName(torn), "call_id", "doc")
+    doc = F.concat(F.lit('{"claims":'), "claims", F.lit(',"summary":{"by":[[1,'), F.coalesce("said", F.lit("null")), F.lit("]]}}"))
+    torn = F.struct((-F.col("call_id")).alias("call_id"), F.concat(F.lit('{"claims":'), F.rtrim("claims", F.lit("]"))).alias("doc"))
+    both = per.join(o, "call_id", "left").select(F.inline(F.array(F.struct("call_id", doc.alias("doc")), torn)))
+    return documents.quotes_in(both, "call_id", "doc")
 
 
 @query("""WITH q AS (SELECT doc_id, coalesce(text, '') AS t, list_filter([left(coalesce(text, ''), 10), substr(coalesce(text, ''), 20, 8), CASE WHEN doc_id % 6 = 0 THEN 'nowhere~~' END, CASE WHEN doc_id % 9 = 0 THEN ' ' END], lambda x: x IS NOT NULL) AS q FROM documents),

@@ -98,3 +98,16 @@ def test_store_is_built_only_for_another_set_of_rules(spark):
     for r in (rows(False, False), rows(False, False), rows(False, True), rows(False, True, True)):
         store.current(r)
     assert built == [2, 1]
+
+
+def test_quotes_of_a_document_are_found_in_one_pass(spark, monkeypatch):
+    passes, kept = [], documents.files.kept
+    monkeypatch.setattr(documents.files, "kept", lambda df: passes.append(1) or kept(df))
+    quote = '{"text": "t", "speaker": "Agent", "start_char": 3, "end_char": 4}'
+    rows = spark.createDataFrame([(1, f'{{"claims": [{{"evidence": {quote}}}], "by": [[1, {quote}]]}}'), (2, "7"), (3, '{"claims": [')], "id long, doc string")
+    got = sorted(tuple(r) for r in documents.quotes_in(rows, "id", "doc").collect())
+    assert got == [(1, "by[0][1]", "t", 3), (1, "claims[0].evidence", "t", 3)]
+    assert len(passes) == 1
+    deep = [(n, "[" * n + quote + "]" * n) for n in (0, 7, 8, 9, 15, 16, 17, 30)]
+    got = sorted(tuple(r) for r in documents.quotes_in(spark.createDataFrame(deep, "id long, doc string"), "id", "doc").collect())
+    assert got == [(n, "[0]" * n, "t", 3) for n, _ in deep]
