@@ -26,29 +26,43 @@ def session(spark: SparkSession) -> SparkSession:
     return own
 
 
+#: 2 to this power neighbouring calls share a state, which is read and written once a batch: Spark spends over a millisecond on each key, whatever its rows.
+SHARED_BITS = 8
+
+
+def _together(events: DataFrame, *columns: str) -> DataFrame:
+    """The columns, and as `calls` the number of each call's group."""
+    return events.select(*columns, F.shiftright("call_id", SHARED_BITS).alias("calls"))
+
+
 class CallLog(StatefulProcessor):
-    """Events of a call (at, event_id, status) in their order: attempt (from 1), whether it won the claim, the status before and whether the step is legal.
+    """Events of calls (call_id, us, event_id, status) in their order: attempt (from 1), whether it won the claim, the status before and whether the step is legal.
 
-    An event that is not after the last one seen is a repeated delivery and says nothing, so each event counts once. A batch's
-    events of one call are sorted in memory.
+    An event that is not after the last one seen of its call is a repeated delivery and says nothing, so each event counts
+    once. A batch's events of a group of calls are sorted in memory.
     """
 
+    row = Row("event_id", "call_id", "attempt", "won", "status", "previous", "legal")
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "attempts long, status string, us long, event_id long")
+        self.last = handle.getValueState("last", "calls array<long>, attempts array<long>, status array<string>, us array<long>, event_id array<long>")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        attempts, status, seen = 0, None, None
-        if self.last.exists():
-            attempts, status, *seen = self.last.get()
-            seen = tuple(seen)
-        for us, event_id, now in sorted((r.us, r.event_id, r.status) for r in rows):
-            if seen is not None and (us, event_id) <= seen:
-                continue
-            attempts += 1
-            yield Row(event_id=event_id, call_id=key[0], attempt=attempts, won=attempts == 1, status=now, previous=status, legal=None if attempts == 1 else (status, now) in LEGAL)
-            status, seen = now, (us, event_id)
-        if seen is not None:
-            self.last.update((attempts, status, *seen))
+        log: dict[int | None, list] = {}
+        for call, us, event_id, now, *_ in rows:
+            log.setdefault(call, []).append((us, event_id, now))
+        stored = self.last.get()
+        last = {call: x for call, *x in zip(*stored)} if stored else {}
+        for call, events in log.items():
+            attempts, status, *seen = last.get(call, (0, None))
+            for us, event_id, now in sorted(events):
+                if seen and [us, event_id] <= seen:
+                    continue
+                attempts += 1
+                yield self.row(event_id, call, attempts, attempts == 1, now, status, None if attempts == 1 else (status, now) in LEGAL)
+                status, seen = now, [us, event_id]
+            last[call] = [attempts, status, *seen]
+        self.last.update(tuple(map(list, zip(*((call, *x) for call, x in last.items())))))
 
     def close(self) -> None:
         pass
@@ -57,34 +71,59 @@ class CallLog(StatefulProcessor):
 def transitions(events: DataFrame) -> DataFrame:
     """A stream of events (event_id, call_id, at, status) through CallLog."""
     schema = "event_id long, call_id long, attempt long, won boolean, status string, previous string, legal boolean"
-    return events.withColumn("us", F.unix_micros("at")).groupBy("call_id").transformWithState(CallLog(), schema, "append", "none")
+    log = _together(events.withColumn("us", F.unix_micros("at")), "call_id", "us", "event_id", "status")
+    return log.groupBy("calls").transformWithState(CallLog(), schema, "append", "none")
 
 
 class Reaper(StatefulProcessor):
-    """A call that stays queued or processing for STALE_SECONDS of event time is requeued, released or failed; a later event of the call winds the timer again."""
+    """A call that stays queued or processing for STALE_SECONDS of event time is requeued, released or failed; a later event of the call winds its time again.
+
+    A group of calls has one timer, at the first time that a waiting call of it is due. A call that the watermark has passed is
+    forgotten: older events of it come too late.
+    """
+
+    row = Row("call_id", "status", "action")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status string, attempts long, due long")
+        self.state = handle.getValueState("state", "timer long, calls array<long>, due array<long>, status array<string>, attempts array<long>")
+
+    def stored(self) -> tuple[int | None, dict[int | None, tuple]]:
+        timer, *columns = self.state.get() or (None,)
+        return timer, {call: tuple(x) for call, *x in zip(*columns)} if columns else {}
+
+    def store(self, timer: int | None, state: dict[int | None, tuple]) -> None:
+        """Keeps the calls, with the timer moved to the first that waits; without any, to when all can be forgotten. timer: the one that is set."""
+        waiting = [due for due, status, _ in state.values() if status in ("queued", "processing")]
+        due = min(waiting) if waiting else max((x[0] for x in state.values()), default=None)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.state.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        self.state.update((due, *map(list, zip(*((call, *x) for call, x in state.items())))))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        at, status, attempts = max((r.us // 1000, r.status, r.attempts) for r in rows)
-        if self.state.exists():
-            old = self.state.get()
-            if old[2] > at + STALE_SECONDS * 1000 + 1:
-                return iter(())  # an older event, delivered late or again
-            self.handle.deleteTimer(old[2])
-        due = at + STALE_SECONDS * 1000 + 1  # strictly longer than the limit
-        self.state.update((status, attempts, due))
-        if status in ("queued", "processing"):
-            self.handle.registerTimer(due)
+        timer, state = self.stored()
+        batch: dict[int | None, tuple] = {}
+        for call, us, status, attempts, *_ in rows:
+            now = us // 1000 + STALE_SECONDS * 1000 + 1, status, attempts  # strictly longer than the limit
+            batch[call] = max(batch[call], now) if call in batch else now
+        for call, now in batch.items():
+            if call not in state or state[call][0] <= now[0]:  # else an older event, delivered late or again
+                state[call] = now
+        self.store(timer, state)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        status, attempts, _ = self.state.get()
-        self.state.clear()
-        action = "requeue" if status == "queued" else "fail" if attempts >= MAX_RETRIES + 1 else "release"
-        yield Row(call_id=key[0], status=status, action=action)
+        _, state = self.stored()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+        for call, (due, status, attempts) in state.items():
+            if due < now and status in ("queued", "processing"):
+                yield self.row(call, status, "requeue" if status == "queued" else "fail" if attempts >= MAX_RETRIES + 1 else "release")
+        self.store(None, {call: x for call, x in state.items() if x[0] >= now})  # Spark deletes the timer that has gone off
 
     def close(self) -> None:
         pass
@@ -93,7 +132,7 @@ class Reaper(StatefulProcessor):
 def reaped(events: DataFrame, late: str) -> DataFrame:
     """A stream of events (call_id, at, status, attempts): what the reaper does to calls that the watermark left behind."""
     watched = events.withColumn("us", F.unix_micros("at")).withWatermark("at", late)
-    return watched.groupBy("call_id").transformWithState(Reaper(), "call_id long, status string, action string", "append", "EventTime")
+    return _together(watched, "call_id", "us", "status", "attempts", "at").groupBy("calls").transformWithState(Reaper(), "call_id long, status string, action string", "append", "EventTime")
 
 
 def resumptions(suspended: DataFrame, submissions: DataFrame, late: str, within: str) -> DataFrame:

@@ -72,3 +72,30 @@ def test_resumption_counts_a_delivery_once(spark, tmp_path):
     states.run(states.resumptions(stream("s", suspended), stream("r", submitted), "100 seconds", "500 seconds"), f"{home}/out", f"{home}/checkpoint")
     got = states.resumed(spark.read.parquet(f"{home}/out").filter("call_id is not null")).collect()
     assert sorted(map(tuple, got)) == [(1, 10, 2, "completed"), (2, None, None, "awaiting_review"), (3, None, None, "awaiting_review")]
+
+
+def test_neighbouring_calls_share_a_state(spark, log):
+    home, add, stream = log
+    calls = [-300, -1, 0, *range(1, 1000)]
+    add([(k, c, k, "queued", 0) for k, c in enumerate(calls)])
+    add([(5000 + k, c, 2000 + k, "processing", 0) for k, c in enumerate(calls)])
+    states.run(states.transitions(stream()), f"{home}/out", f"{home}/checkpoint")
+    got = spark.read.parquet(f"{home}/out").groupBy("attempt", "status", "previous", "legal").count().collect()
+    assert sorted(map(tuple, got)) == [(1, "queued", None, None, 1002), (2, "processing", "queued", True, 1002)]
+    kept = states.session(spark).read.format("statestore").option("stateVarName", "last").load(f"{home}/checkpoint").count()
+    assert kept == 6  # one for -300, one for -1, four for 0 to 999
+
+
+def test_calls_of_a_group_are_due_one_by_one(spark, log):
+    home, add, stream = log
+    add([(k, k, 10 * k, "queued" if k % 2 else "completed", 0) for k in range(100)] + [(100, 9999, 1000, "completed", 0)])
+    add([(101, 1, 1100, "processing", 0), (102, 9999, 1402, "completed", 0)])  # call 1 moves on before its time; 900.001 s after 502 s
+    add([(103, 9999, 1403, "completed", 0)])
+    states.run(states.reaped(stream(), "0 seconds"), f"{home}/out", f"{home}/checkpoint")
+    due = lambda end: [(k, "requeue") for k in range(3, 100, 2) if 10 * k + 900.001 < end]
+    assert sorted((r.call_id, r.action) for r in spark.read.parquet(f"{home}/out").collect()) == due(1403)
+    add([(104, 9999, 5000, "completed", 0)])
+    states.run(states.reaped(stream(), "0 seconds"), f"{home}/out", f"{home}/checkpoint")
+    assert sorted((r.call_id, r.action) for r in spark.read.parquet(f"{home}/out").collect()) == sorted([(1, "release"), *due(9999)])
+    kept = states.session(spark).read.format("statestore").option("stateVarName", "state").load(f"{home}/checkpoint")
+    assert [tuple(r.value.calls) for r in kept.select("value").collect()] == [(9999,)]  # all others are forgotten
