@@ -11,24 +11,29 @@ from talkgrain.plans.registry import STATUS_SQL, _status, query
 from talkgrain.sources import files
 from talkgrain.streaming import states
 
-#: Pieces of a log, in the order of time, and the files of each; a micro-batch reads one piece.
+#: Pieces of a log, in the order of time, and the least files of each; a micro-batch reads one piece.
 PIECES, FILES = 4, 4
 
 
+def files_of_piece(spark: SparkSession) -> int:
+    """As many as can be written at once, so that more machines write and read a piece sooner."""
+    return max(FILES, spark.sparkContext.defaultParallelism)
+
+
 def in_pieces(rows: DataFrame, at: str, folder: str) -> None:
     """A log as files that arrive piece by piece in the order of time."""
     lo, hi = rows.agg(F.min(at), F.max(at)).first()
     for k in range(PIECES if lo is not None else 0):
         a, z = lo + (hi - lo) * k / PIECES, lo + (hi - lo) * (k + 1) / PIECES
         piece = rows.filter((F.col(at) >= a) & ((F.col(at) <= z) if k + 1 == PIECES else (F.col(at) < z)))
-        piece.repartition(FILES).write.mode("append").parquet(folder)
+        piece.repartition(files_of_piece(rows.sparkSession)).write.mode("append").parquet(folder)
 
 
 def _log(spark: SparkSession, sf_dir: str, home: str) -> DataFrame:
     """The events as a stream: event_id, call_id, at, status, attempts."""
     e = fx.read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("call_id"), F.col("ts").cast("timestamp").alias("at"), _status().alias("status"), F.pmod("event_id", F.lit(6)).alias("attempts"))
     in_pieces(e, "at", f"{home}/in")
-    return states.session(spark).readStream.schema(e.schema).option("maxFilesPerTrigger", FILES).parquet(f"{home}/in")
+    return states.session(spark).readStream.schema(e.schema).option("maxFilesPerTrigger", files_of_piece(spark)).parquet(f"{home}/in")
 
 
 @query(f"""WITH s AS (SELECT event_id, user_id AS call_id, ts, {STATUS_SQL} AS status FROM events), l AS (SELECT *, row_number() OVER w AS attempt, lag(status) OVER w AS previous FROM s WINDOW w AS (PARTITION BY call_id ORDER BY ts, event_id))
@@ -58,12 +63,12 @@ def streamed_resumption(spark, sf_dir):
     o, li = fx.read(spark, sf_dir, "orders"), fx.read(spark, sf_dir, "lineitem")
     s = o.select("o_orderkey", "o_orderstatus").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("call_id"), F.timestamp_seconds(F.lit(788832000) + F.col("o_orderkey") % 86400).alias("at"))  # the day before the first submission
     place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    r = li.filter("l_returnflag = 'N'").select(F.col("l_orderkey").alias("call_id"), F.col("l_shipdate").cast("timestamp").alias("at"), F.col("l_suppkey").alias("submission_id"), F.to_json(F.struct("l_orderkey", place.alias("p"))).alias("delivery_id"))
+    r = li.filter("l_returnflag = 'N'").select(F.col("l_orderkey").alias("call_id"), F.col("l_shipdate").cast("timestamp").alias("at"), F.col("l_suppkey").alias("submission_id"), F.struct("l_orderkey", place.alias("p")).alias("delivery_id"))
     for rows, name in ((s, "suspended"), (r.unionByName(r), "submissions")):
         in_pieces(rows, "at", f"{home}/{name}")
         end = rows.agg((F.max("at") + F.expr("interval 9000 days")).alias("at")).select(*[F.col("at") if c == "at" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
         end.write.mode("append").parquet(f"{home}/{name}")  # the end of the log moves the watermark past all of it
     own = states.session(spark)
-    stream = lambda rows, name: own.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{home}/{name}")
+    stream = lambda rows, name: own.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_of_piece(spark)).parquet(f"{home}/{name}")
     states.run(states.resumptions(stream(s, "suspended"), stream(r, "submissions"), "700 days", "3000 days"), f"{home}/out", f"{home}/checkpoint")
     return states.resumed(spark.read.parquet(f"{home}/out").filter("call_id is not null"))

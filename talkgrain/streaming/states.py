@@ -22,6 +22,8 @@ def session(spark: SparkSession) -> SparkSession:
     """A session of its own for streams with state."""
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a batch saves its changes, not whole files of state
+    own.conf.set("spark.sql.streaming.join.stateFormatVersion", "3")  # a joined partition has one store, not four
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     return own
 
@@ -138,7 +140,7 @@ def reaped(events: DataFrame, late: str) -> DataFrame:
 def resumptions(suspended: DataFrame, submissions: DataFrame, late: str, within: str) -> DataFrame:
     """Streams suspended (call_id, at) and submissions (call_id, at, submission_id): each pair of a suspended call and a submission that comes `within` that time, repeated deliveries once; calls without any come with nulls when the watermark has passed them."""
     s = suspended.withWatermark("at", late).dropDuplicatesWithinWatermark(["call_id"]).select(F.col("call_id"), F.col("at").alias("suspended_at"))
-    r = submissions.withWatermark("at", late).dropDuplicatesWithinWatermark(["delivery_id"]).select(F.col("call_id").alias("_call"), F.col("at").alias("submitted_at"), "submission_id", "delivery_id")
+    r = submissions.withWatermark("at", late).dropDuplicatesWithinWatermark(["delivery_id"]).select(F.col("call_id").alias("_call"), F.col("at").alias("submitted_at"), "submission_id")
     inside = (F.col("call_id") == F.col("_call")) & (F.col("submitted_at") >= F.col("suspended_at")) & (F.col("submitted_at") <= F.col("suspended_at") + F.expr(f"interval {within}"))
     return s.join(r, inside, "leftOuter").drop("_call")
 

@@ -99,3 +99,16 @@ def test_calls_of_a_group_are_due_one_by_one(spark, log):
     assert sorted((r.call_id, r.action) for r in spark.read.parquet(f"{home}/out").collect()) == sorted([(1, "release"), *due(9999)])
     kept = states.session(spark).read.format("statestore").option("stateVarName", "state").load(f"{home}/checkpoint")
     assert [tuple(r.value.calls) for r in kept.select("value").collect()] == [(9999,)]  # all others are forgotten
+
+
+def test_submissions_wait_in_one_store_without_their_delivery(spark, tmp_path):
+    home, own = str(tmp_path), states.session(spark)
+    at = dt.datetime(2024, 1, 2, tzinfo=dt.timezone.utc)
+    spark.createDataFrame([(1, at)], "call_id long, at timestamp").write.parquet(f"{home}/s")
+    spark.createDataFrame([(1, at, 10, "d" * 50), (1, at, 10, "d" * 50), (2, at, 11, "e" * 50)], "call_id long, at timestamp, submission_id long, delivery_id string").write.parquet(f"{home}/r")
+    stream = lambda name: own.readStream.schema(spark.read.parquet(f"{home}/{name}").schema).parquet(f"{home}/{name}")
+    states.run(states.resumptions(stream("s"), stream("r"), "1 day", "5 days"), f"{home}/out", f"{home}/checkpoint")
+    assert [tuple(r) for r in spark.read.parquet(f"{home}/out").select("call_id", "submission_id").collect()] == [(1, 10)]
+    waiting = own.read.format("statestore").option("joinSide", "right").load(f"{home}/checkpoint")
+    assert waiting.count() == 2 and "delivery_id" not in waiting.select("value.*").columns
+    assert own.conf.get("spark.sql.streaming.join.stateFormatVersion") == "3"
