@@ -25,7 +25,7 @@ def apportion(weights: DataFrame, total: int) -> DataFrame:
 
 
 def _draw(seed: int, key: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return F.unhex(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))  # bytes sort as their hex digits do
 
 
 def _drawn(rows: DataFrame, seed: int, group: str, key: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgrain.functions import text as T
 from talkgrain.operators import datasets, evidence, ordered
+from talkgrain.sources import files
 
 #: Why an example does not train, in the order in which it is asked.
 REASONS = ("held_out", "not_in_corpus", "no_target", "repeated")
@@ -66,20 +67,20 @@ def training_examples(examples: DataFrame, corpus: DataFrame, held_out: DataFram
     rows = examples.join(mark(held_out, "_held"), "call_id", "left").join(mark(corpus, "_known"), "call_id", "left")
     reason = F.when(F.col("_held"), "held_out").when(F.col("_known").isNull(), "not_in_corpus").when(F.col("target").isNull(), "no_target")
     rows = rows.withColumn("dropped", reason).drop("_held", "_known")
-    kept = rows.filter("dropped is null")
-    first = kept.groupBy("call_id", "location", "target").agg(F.min("pos").alias("_first"))
-    kept = kept.join(first, ["call_id", "location", "target"]).withColumn("dropped", F.when(F.col("pos") != F.col("_first"), "repeated")).drop("_first")
-    fresh = guarded(datasets.split(kept.filter("dropped is null"), fraction, seed, "topic", "pos"), held_out)
-    rest = rows.filter("dropped is not null").unionByName(kept.filter("dropped is not null"))
-    return fresh.unionByName(rest, allowMissingColumns=True)
+    first = F.min("pos").over(Window.partitionBy("call_id", "location", "target", "dropped"))
+    rows = rows.withColumn("dropped", F.when(F.col("dropped").isNull() & (F.col("pos") != first), "repeated").otherwise(F.col("dropped")))
+    rows = files.kept(guarded(rows, held_out, "dropped"))
+    fresh = datasets.split(rows.filter("dropped is null"), fraction, seed, "topic", "pos")
+    return fresh.unionByName(rows.filter("dropped is not null"), allowMissingColumns=True)
 
 
-def guarded(train: DataFrame, held_out: DataFrame) -> DataFrame:
-    """train as it is; a row of a held-out call stops the job with its name."""
+def guarded(train: DataFrame, held_out: DataFrame, column: str = "part") -> DataFrame:
+    """train as it is; a row of a held-out call stops the job with its name. With column `dropped`, rows that have a reason there don't train."""
     held = held_out.select(F.col("call_id").alias("_held")).distinct()
     checked = train.join(held, F.col("call_id") == F.col("_held"), "left")
     stop = F.raise_error(F.concat(F.lit("held-out call in training data: "), F.col("_held").cast("string"))).cast("string")
-    return checked.withColumn("part", F.when(F.col("_held").isNotNull(), stop).otherwise(F.col("part"))).drop("_held")
+    trains = F.col("dropped").isNull() if column == "dropped" else F.lit(True)
+    return checked.withColumn(column, F.when(trains & F.col("_held").isNotNull(), stop).otherwise(F.col(column))).drop("_held")
 
 
 def manifest(examples: DataFrame) -> DataFrame:

@@ -73,3 +73,16 @@ def test_signs_and_dashes(spark):
 
     rows = spark.createDataFrame([(1.25,), (-0.5,), (0.001,), (-0.001,), (None,)], "x double")
     assert [r.s for r in rows.select(T.signed(F.col("x"), 2).alias("s")).collect()] == ["+1.25", "−0.50", "0.00", "0.00", "—"]
+
+
+def test_examples_are_looked_at_once(spark, tmp_path):
+    rows = [(1, "a", 5, "s", 0, 10), (1, "a", 5, "s", 0, 11), (1, "a", None, "s", 0, 12), (1, None, 5, "s", 0, 13), (1, None, 5, "s", 0, 14), (2, "a", 5, "s", 0, 15), (3, "a", 5, "s", 0, 16)]
+    spark.createDataFrame(rows, "call_id long, location string, target long, source string, topic long, pos long").write.parquet(f"{tmp_path}/e")
+    calls = lambda *n: spark.createDataFrame([(i,) for i in n], "call_id long")
+    got = training.training_examples(spark.read.parquet(f"{tmp_path}/e"), calls(1, 2), calls(2), 0.5, 1)
+    assert not [f for f in got.inputFiles() if f"{tmp_path}/e" in f]
+    assert sorted((r.pos, r.dropped) for r in got.collect()) == [(10, None), (11, "repeated"), (12, "no_target"), (13, None), (14, "repeated"), (15, "held_out"), (16, "not_in_corpus")]
+    held = training.guarded(spark.createDataFrame([(2, "no_target"), (1, None)], "call_id long, dropped string"), calls(2), "dropped")
+    assert sorted(map(tuple, held.collect())) == [(1, None), (2, "no_target")]
+    with pytest.raises(Exception, match="held-out call in training data: 1"):
+        training.guarded(spark.createDataFrame([(1, None)], "call_id long, dropped string"), calls(1), "dropped").collect()
