@@ -1,4 +1,5 @@
-"""Calls as keyed state of a stream: claims and guarded transitions from value state, the reaper from event-time timers, resumption by a join of streams.
+"""Calls as keyed state of a stream: claims and guarded transitions from value state, the reaper from event-time timers, resumption from the
+state of both streams, or by a join of them where calls have no numbers.
 
 All of it can stop and go on from its checkpoint. State lives in RocksDB on the executors and in the checkpoint folder; the
 session that runs a stream is its own, so no other query's settings change.
@@ -6,10 +7,14 @@ session that runs a stream is its own, so no other query's settings change.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -145,8 +150,159 @@ def resumptions(suspended: DataFrame, submissions: DataFrame, late: str, within:
     return s.join(r, inside, "leftOuter").drop("_call")
 
 
+#: As SHARED_BITS, for groups whose rows are worked off as columns, and the bytes of rows that are packed at a time.
+REVIEW_BITS, PACKED_BYTES = 13, 1 << 26
+#: What a row of both streams is; other rows only move the watermark.
+SUSPENDED, SUBMITTED, SUBMITTED_NULL, NOTHING = range(4)
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: list[bytes]) -> pd.DataFrame:
+    return pa.concat_tables([pa.ipc.open_stream(bytes(x)).read_all() for x in data]).to_pandas()
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a call_id as one row per group of calls, some bytes at a time: Spark hands a state's rows to Python one by one."""
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        group = rows["call_id"].to_numpy() >> REVIEW_BITS
+        order = np.argsort(group, kind="stable")
+        rows, group = rows.take(order).combine_chunks(), group[order]
+        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        size = np.diff(np.r_[start, len(group)])
+        for at in range(0, len(start), 1024):
+            blobs = [_packed(rows.slice(i, n).combine_chunks().to_batches()[0]) for i, n in zip(start[at : at + 1024].tolist(), size[at : at + 1024].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(group[start[at : at + 1024]]), pa.array(blobs, pa.binary())], ["calls", "packed"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.nbytes
+        if n >= PACKED_BYTES:
+            yield from packed(held)
+            held, n = [], 0
+    if held:
+        yield from packed(held)
+
+
+class Reviews(StatefulProcessor):
+    """Packed rows of a group of calls (call_id, us, kind, submission_id, delivery): each pair of a suspended call and a submission that comes within a time, once, as soon as both are there; a call that gets none comes alone when the watermark has passed its time.
+
+    The group's suspended calls and its submissions are packed columns of one value. A delivery is known, and a submission
+    waits for its call, until the watermark is `late` past it; what comes later than that is left out. A group's rows are in
+    memory while it is worked off.
+    """
+
+    def __init__(self, late: int, within: int):
+        self.late, self.within = late, within  # in us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "timer long, suspended binary, submitted binary")
+
+    def stored(self) -> tuple[int | None, pd.DataFrame | None, pd.DataFrame | None]:
+        timer, *parts = self.state.get() or (None, None, None)
+        return timer, *(_unpacked([x]) if x is not None else None for x in parts)
+
+    def store(self, timer: int | None, suspended: pd.DataFrame | None, submitted: pd.DataFrame | None, now: int) -> None:
+        """Keeps what the watermark, now, has not passed, with the timer at the end of the first call that still gets none; without any, at when all can be forgotten. timer: the one that is set."""
+        ends, last = [], []
+        if suspended is not None:
+            until = suspended["us"] + max(self.within, self.late)
+            suspended = suspended[(until > now) | ~suspended["found"]]
+            ends, last = suspended.loc[~suspended["found"], "us"] + self.within, [until.max()]
+        if submitted is not None:
+            submitted = submitted[submitted["us"] + self.late > now]
+            last = [*last, submitted["us"].max() + self.late]
+        kept = [x if x is not None and len(x) else None for x in (suspended, submitted)]
+        due = None
+        if any(x is not None for x in kept):
+            due = int(min(ends) if len(ends) else np.nanmax(last)) // 1000 + 1
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.state.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        self.state.update((due, *(None if x is None else _packed(pa.RecordBatch.from_pandas(x, preserve_index=False)) for x in kept)))
+
+    def pairs(self, suspended: pd.DataFrame, submitted: pd.DataFrame) -> pd.DataFrame:
+        """suspended (call_id, us), submitted (call_id, us, kind, submission_id): call_id, us, at (in suspended), submitted, kind, submission_id."""
+        right = submitted[submitted["call_id"].isin(suspended["call_id"])]
+        left = suspended[["call_id", "us"]].assign(at=np.arange(len(suspended)))
+        both = left.merge(right[["call_id", "us", "kind", "submission_id"]].rename(columns={"us": "submitted"}), on="call_id")
+        return both[(both["submitted"] >= both["us"]) & (both["submitted"] <= both["us"] + self.within)]
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        new = _unpacked([x for f in rows for x in f["packed"]])
+        new = new[(new["kind"] != NOTHING) & (new["us"] + self.late > now)]
+        if not len(new):
+            return
+        timer, suspended, submitted = self.stored()
+        calls = new["kind"] == SUSPENDED
+        more_calls = new.loc[calls, ["call_id", "us"]].sort_values("us", kind="stable").drop_duplicates("call_id").assign(found=False)
+        more = new.loc[~calls, ["call_id", "us", "kind", "submission_id", "delivery"]].drop_duplicates("delivery")
+        if suspended is not None:
+            known = suspended["call_id"][suspended["us"] + self.late > now]
+            more_calls = more_calls[~more_calls["call_id"].isin(known)]
+        if submitted is not None:
+            more = more[~more["delivery"].isin(submitted["delivery"])]
+        every_call = more_calls if suspended is None else pd.concat([suspended, more_calls]) if len(more_calls) else suspended
+        every_call = every_call.reset_index(drop=True)
+        met = [self.pairs(every_call, more)] if len(every_call) and len(more) else []
+        if submitted is not None and len(more_calls):
+            again = self.pairs(more_calls, submitted)
+            met.append(again.assign(at=again["at"] + len(every_call) - len(more_calls)))
+        for pairs in met:
+            every_call.loc[pairs["at"].to_numpy(), "found"] = True
+            if len(pairs):
+                yield pairs.drop(columns="at")
+        self.store(timer, every_call if len(every_call) else None, more if submitted is None else pd.concat([submitted, more]) if len(more) else submitted, now)
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, suspended, submitted = self.stored()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        if suspended is not None:
+            over = ~suspended["found"] & (suspended["us"] + self.within <= now)
+            if over.any():
+                yield suspended.loc[over, ["call_id", "us"]].assign(submitted=0, kind=SUSPENDED, submission_id=None)
+            suspended["found"] |= over  # told once, also where it stays known
+        self.store(None, suspended, submitted, now)  # Spark deletes the timer that has gone off
+
+    def close(self) -> None:
+        pass
+
+
+def reviews(suspended: DataFrame, submissions: DataFrame, late: dt.timedelta, within: dt.timedelta) -> DataFrame:
+    """As resumptions, for calls with whole numbers and deliveries with texts: call_id, suspended_at, submitted_at, submission_id, from a state that REVIEW_BITS neighbouring calls share, where a join of streams reads and writes each row of either by itself. Rows without a call say nothing."""
+    us, kind = (lambda x: x // dt.timedelta(microseconds=1)), submissions.schema["submission_id"].dataType.simpleString()
+    zero, is_row = F.lit("0").cast(kind), F.col("call_id").isNotNull() & F.col("at").isNotNull()
+    whole = [F.coalesce("call_id", F.lit(0)).cast("long").alias("call_id"), F.coalesce(F.unix_micros("at"), F.lit(0)).alias("us")]  # null would turn whole numbers of pandas into doubles
+
+    def rows(stream: DataFrame, what: Column, submission: Column, delivery: Column) -> DataFrame:
+        marked = stream.withWatermark("at", f"{late // dt.timedelta(seconds=1)} seconds")
+        return marked.select(*whole, F.when(is_row, what).otherwise(NOTHING).cast("int").alias("kind"), submission.alias("submission_id"), delivery.alias("delivery"))
+
+    s = rows(suspended, F.lit(SUSPENDED), zero, F.lit(None).cast("string"))
+    r = rows(submissions, F.when(F.col("submission_id").isNull(), SUBMITTED_NULL).otherwise(SUBMITTED), F.coalesce("submission_id", zero), F.col("delivery_id"))
+    both = s.unionByName(r).mapInArrow(_by_group, "calls long, packed binary")
+    found = both.groupBy("calls").transformWithStateInPandas(Reviews(us(late), us(within)), f"call_id long, us long, submitted long, kind int, submission_id {kind}", "append", "EventTime")
+    submitted = F.when(F.col("kind") != SUSPENDED, F.timestamp_micros("submitted"))
+    return found.select("call_id", F.timestamp_micros("us").alias("suspended_at"), submitted.alias("submitted_at"), F.when(F.col("kind") == SUBMITTED, F.col("submission_id")).alias("submission_id"))
+
+
 def resumed(pairs: DataFrame) -> DataFrame:
-    """What resumptions wrote, per call: its first submission, how many there were, and its status."""
+    """What resumptions or reviews wrote, per call: its first submission, how many there were, and its status."""
     first = F.min(F.when(F.col("submission_id").isNotNull(), F.struct("submitted_at", "submission_id")))["submission_id"]
     out = pairs.groupBy("call_id").agg(first.alias("submission_id"), F.nullif(F.count("submission_id"), F.lit(0)).alias("submissions"))
     return out.withColumn("status", F.when(F.col("submission_id").isNotNull(), "completed").otherwise("awaiting_review"))

@@ -112,3 +112,37 @@ def test_submissions_wait_in_one_store_without_their_delivery(spark, tmp_path):
     waiting = own.read.format("statestore").option("joinSide", "right").load(f"{home}/checkpoint")
     assert waiting.count() == 2 and "delivery_id" not in waiting.select("value.*").columns
     assert own.conf.get("spark.sql.streaming.join.stateFormatVersion") == "3"
+
+
+def test_neighbouring_calls_share_their_reviews(spark, tmp_path):
+    home, own = str(tmp_path), states.session(spark)
+    when = lambda s: START + dt.timedelta(seconds=s)
+    suspended, submitted = "call_id long, at timestamp", "call_id long, at timestamp, submission_id long, delivery_id string"
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{home}/{name}")
+    stream = lambda name, schema: own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/{name}")
+    big = 2**60 + 1  # no double
+    go = lambda: states.run(states.reviews(stream("s", suspended), stream("r", submitted), dt.timedelta(seconds=100), dt.timedelta(seconds=500)), f"{home}/out", f"{home}/checkpoint")
+    put([(c, when(c % 7)) for c in range(-3, 3000)] + [(7, when(0)), (9000, when(5)), (None, when(3))], suspended, "s")
+    put([(1, when(50), 11, "a"), (1, when(40), big, "b"), (1, when(50), 11, "a"), (5, when(4), 9, "early"), (6, when(506), 13, "last"), (8, when(502), 14, "over"), (10, when(20), None, "n")], submitted, "r")
+    go()
+    pair = lambda r: (r.call_id, (r.suspended_at.timestamp() - START.timestamp()), r.submitted_at and r.submitted_at.timestamp() - START.timestamp(), r.submission_id)
+    got = lambda: sorted(map(pair, spark.read.parquet(f"{home}/out").collect()), key=str)
+    pairs = [(1, 1, 50, 11), (1, 1, 40, big), (6, 6, 506, 13), (10, 3, 20, None)]
+    assert got() == sorted(pairs, key=str)  # at once, not at the end
+    kept = own.read.format("statestore").option("stateVarName", "state").load(f"{home}/checkpoint")
+    assert kept.count() == 3  # -3 to -1, 0 to 2999 and 9000; a join has one row for each call
+    put([(1, when(60), 15, "d"), (1, when(50), 11, "a"), (20000, when(70), 12, "c")], submitted, "r")  # again in a later batch, and a call that is suspended later
+    put([(20000, when(65))], suspended, "s")
+    put([(20000, when(65)), (20001, when(66))], suspended, "s")
+    put([(1, when(61), 16, "e")], submitted, "r")
+    go()
+    pairs += [(1, 1, 60, 15), (20000, 65, 70, 12), (1, 1, 61, 16)]
+    assert got() == sorted(pairs, key=str)
+    for end in (9000, 9500):
+        put([(None, when(end))], suspended, "s")
+        put([(None, when(end), None, None)], submitted, "r")
+    go()
+    alone = [(c, c % 7, None, None) for c in range(-3, 3000) if c not in (1, 6, 10)] + [(9000, 5, None, None), (20001, 66, None, None)]
+    assert [(c, s) for c, s, _, _ in got() if c == 7] == [(7, 0)]
+    assert got() == sorted(pairs + [(c, 0 if c == 7 else s, x, y) for c, s, x, y in alone], key=str)
+    assert kept.sparkSession.read.format("statestore").option("stateVarName", "state").load(f"{home}/checkpoint").count() == 0
