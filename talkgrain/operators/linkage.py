@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgrain.operators import ordered, search
@@ -97,24 +97,54 @@ def link(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataFrame:
     return of
 
 
-def clusters(rules: DataFrame, threshold: float, small: int = SMALL, within: str | None = None) -> DataFrame:
-    """rules (rule_id, pos, vec): rule_id, cluster, numbered from 0 by their first rules in the order of pos, which must be unique numbers. Rules that differ in the column `within` share no cluster."""
-    label = F.col(within) if within else F.lit(0)
-    rows = rules.select("rule_id", F.col("pos").cast("long").alias("pos"), "vec", label.alias("_w"))
+def _numbered(rows: DataFrame, heads: DataFrame, found: DataFrame, small: int) -> DataFrame:
+    """rows (rule_id, _same), heads (_same, head), found (a < b, similarity: pairs of heads): rule_id, cluster."""
+    of = link(found.select("a", "b", F.col("similarity").alias("s")), heads.select(F.col("head").alias("node")), small)
+    firsts = ordered.ranked(of.select("first").distinct(), [], ["first"], "_n", "_size").select("first", (F.col("_n") - 1).cast("int").alias("cluster"))
+    heads = heads.join(of.join(firsts, "first").select(F.col("node").alias("head"), "cluster"), "head").select(F.col("_same").alias("_s"), "cluster")
+    return rows.join(heads, F.col("_same").eqNullSafe(F.col("_s"))).select("rule_id", "cluster")
+
+
+def _same(rules: DataFrame, label: Column) -> DataFrame:
+    """The rules, pos as a long, and what equal ones have in common; those without a direction are alike nothing."""
+    rows = rules.withColumn("pos", F.col("pos").cast("long")).withColumn("_w", label)
     zero = ~F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
     alone = F.struct(F.lit(None).cast("array<double>").alias("v"), F.col("pos").alias("p"), F.col("_w").alias("w"))
-    rows = rows.withColumn("_same", F.when(zero, alone).otherwise(F.struct(F.col("vec").cast("array<double>").alias("v"), F.lit(None).cast("long").alias("p"), F.col("_w").alias("w"))))
-    heads = files.kept(rows.groupBy("_same").agg(F.min("pos").alias("head")))  # equal vectors; those without a direction are alike nothing
+    return rows.withColumn("_same", F.when(zero, alone).otherwise(F.struct(F.col("vec").cast("array<double>").alias("v"), F.lit(None).cast("long").alias("p"), F.col("_w").alias("w"))))
+
+
+def clusters(rules: DataFrame, threshold: float, small: int = SMALL, within: str | None = None) -> DataFrame:
+    """rules (rule_id, pos, vec): rule_id, cluster, numbered from 0 by their first rules in the order of pos, which must be unique numbers. Rules that differ in the column `within` share no cluster."""
+    rows = _same(rules, F.col(within) if within else F.lit(0))
+    heads = files.kept(rows.groupBy("_same").agg(F.min("pos").alias("head")))
     found = search.pairs(heads.select(F.col("head").alias("rule_id"), F.col("_same.v").alias("vec")), threshold)
     if within:
         of_head = heads.select("head", F.col("_same.w").alias("w"))
         for end in ("a", "b"):
             found = found.join(of_head.select(F.col("head").alias(end), F.col("w").alias(f"_{end}")), end)
         found = found.filter(F.col("_a").eqNullSafe(F.col("_b")))
-    of = link(found.select("a", "b", F.col("similarity").alias("s")), heads.select(F.col("head").alias("node")), small)
-    firsts = ordered.ranked(of.select("first").distinct(), [], ["first"], "_n", "_size").select("first", (F.col("_n") - 1).cast("int").alias("cluster"))
-    heads = heads.join(of.join(firsts, "first").select(F.col("node").alias("head"), "cluster"), "head").select(F.col("_same").alias("_s"), "cluster")
-    return rows.join(heads, F.col("_same").eqNullSafe(F.col("_s"))).select("rule_id", "cluster")
+    return _numbered(rows, heads, found, small)
+
+
+def clusters_onwards(rules: DataFrame, threshold: float, known: DataFrame | None = None, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """As clusters, of rules (rule_id, pos, vec, fresh), and the pairs (a < b, similarity) of the first rules of equal vectors, by pos.
+
+    known are such pairs of all rules that are not fresh, whose vectors differ: only the fresh ones are searched then.
+    """
+    rows = _same(rules, F.lit(0))
+    heads = files.kept(rows.groupBy("_same").agg(F.min("pos").alias("head"), F.min(F.when(~F.col("fresh"), F.col("pos"))).alias("old")))
+    every = heads.select(F.col("head").alias("rule_id"), F.col("_same.v").alias("vec"))
+    if known is None:
+        found = search.pairs(every, threshold)
+    else:
+        pair = (F.least("query_id", "rule_id").alias("a"), F.greatest("query_id", "rule_id").alias("b"), "similarity")
+        fresh = heads.filter("old is null").select(F.col("head").alias("query_id"), F.col("_same.v").alias("vec"))
+        found = search.within(fresh, every, threshold).filter("query_id <> rule_id").select(*pair).dropDuplicates(["a", "b"])  # two fresh ones find each other
+        moved = heads.filter("old is not null")  # a fresh rule with the same vector may come before
+        known = known.join(moved.select(F.col("old").alias("a"), F.col("head").alias("query_id")), "a").join(moved.select(F.col("old").alias("b"), F.col("head").alias("rule_id")), "b")
+        found = found.unionByName(known.select(*pair))
+    found = files.kept(found)
+    return _numbered(rows, heads, found, small), found
 
 
 # --- how alike the members of clusters are ------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ their square until then. Nothing but pivots and cell figures reaches the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,27 @@ class Block:
         return out
 
 
+def whole_rows(mine: Block, block: Block) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Cosines but for rounding of some of mine with all of the block, and where these start in both."""
+    step = max(1, TILE // len(block.norms))
+    for s in range(0, len(mine.norms), step):
+        yield s, 0, mine.unit[s : s + step] @ block.unit.T
+
+
+def tiles(mine: Block, block: Block) -> Iterator[tuple[int, int, np.ndarray]]:
+    """As whole_rows, of some of mine with some of the block, in single precision; they are off by single_error at most."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        a, b = mine.unit.astype("float32"), block.unit.astype("float32")
+        side = max(1, isqrt(TILE // 16))  # a tile that is 16 times as long as high is quickest
+        for s in range(0, len(a), side):
+            for t in range(0, len(b), max(1, TILE // side)):
+                yield s, t, a[s : s + side] @ b[t : t + max(1, TILE // side)].T
+
+
+def single_error(numbers: int) -> float:
+    return (numbers + 8) * 2.0**-23
+
+
 def kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
@@ -120,8 +142,9 @@ class Cells:
         self.dealt = self.rows.select("rule_id", "pos", "vec", (of_cell(self.first) + F.pmod(F.xxhash64("rule_id"), of_cell(np.maximum(1, self.blocks)))).cast("int").alias("block"))
 
     def visits(self, queries: DataFrame, choose: Callable[..., np.ndarray], but: Callable[..., np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
-        """queries (query_id, vec and more) once per block of a bin with a chosen cell: query_id, vec, block; and how many visits blocks have: block, n. choose gives a mask over (query, cell) from the bounds; bins with a cell that `but` gives are left out."""
+        """queries (query_id, vec and more) once per block of a bin with a chosen cell: query_id, vec, block; and how many visits blocks have: block, n. choose gives a mask over (query, cell) from the bounds; bins with a cell that `but` gives are left out. Queries with a column `own`, their block, visit it and those after it only."""
         blocks, starts, holds, figures = self.blocks, self.first, self.holds, (self.pivots, self.sizes, self.low, self.high)
+        onwards = "own" in queries.columns
 
         def each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
             for f in frames:
@@ -133,35 +156,42 @@ class Cells:
                         mask &= ~(but(part, most).astype("float32") @ holds > 0)
                     yield part, *np.nonzero(mask)
 
-        def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def spread(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
             for part, i, k in each(frames):
-                ids, vectors = part["query_id"].to_numpy(), part["vec"].to_numpy()
                 for at in range(int(blocks.max(initial=0))):  # the first block of each bin, then the second ones
                     more = blocks[k] > at
                     mine, block = i[more], starts[k[more]] + at
-                    for s in range(0, len(mine), SENT):
-                        yield pd.DataFrame({"query_id": ids[mine[s : s + SENT]], "vec": vectors[mine[s : s + SENT]], "block": block[s : s + SENT].astype("int32")})
+                    if onwards:
+                        later = block >= part["own"].to_numpy()[mine]
+                        mine, block = mine[later], block[later]
+                    yield part, mine, block
+
+        def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part, mine, block in spread(frames):
+                for s in range(0, len(mine), SENT):
+                    yield part[columns].iloc[mine[s : s + SENT]].assign(block=block[s : s + SENT].astype("int32"))
 
         def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n = np.zeros(len(blocks), int)
-            for _, _, k in each(frames):
-                n += np.bincount(k, minlength=len(n))
-            n, block = n.repeat(blocks), np.arange(blocks.sum())
-            yield pd.DataFrame({"block": block[n > 0].astype("int32"), "n": n[n > 0]})
+            n = np.zeros(int(blocks.sum()), int)
+            for _, _, block in spread(frames):
+                n += np.bincount(block, minlength=len(n))
+            yield pd.DataFrame({"block": np.nonzero(n)[0].astype("int32"), "n": n[n > 0]})
 
+        columns = ["query_id", "vec", *(["own"] if onwards else [])]
         load = queries.mapInPandas(count, "block int, n long").groupBy("block").agg(F.sum("n").alias("n"))
-        return queries.mapInPandas(visit, f"query_id {kind(queries, 'query_id')}, vec array<double>, block int"), load
+        return queries.mapInPandas(visit, f"query_id {kind(queries, 'query_id')}, vec array<double>, {'own int, ' if onwards else ''}block int"), load
 
-    def meet(self, visits: tuple[DataFrame, DataFrame], pick: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
-        """Chunks of visits against blocks: pick gets both sides, where a tile of the first starts, the tile's cosines but for rounding, and both sides' ids; it gives the tile's rows."""
+    def meet(self, visits: tuple[DataFrame, DataFrame], pick: Callable[..., pd.DataFrame | None], schema: str, look: Callable[..., Iterator[tuple[int, int, np.ndarray]]] = whole_rows) -> DataFrame:
+        """Chunks of visits against blocks: pick gets both sides, where a tile that look gives starts in both, the tile's cosines, both sides' ids, the second's pos, and of which of the first this is the own block; it gives the tile's rows, if any."""
         asked, load = visits
+        own = F.col("own") if "own" in asked.columns else F.lit(-1)
         load = files.kept(load.select("block", F.ceil(F.col("n") / self.block_rows).cast("int").alias("chunks")))
         with_load = lambda rows: rows.join(F.broadcast(load), "block") if int(self.blocks.sum()) <= 100_000 else rows.join(load, "block")
         asked = with_load(asked).withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
         held = with_load(self.dealt).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         none = lambda rows, c: F.lit("0").cast(kind(rows, c)).alias(c)  # noqa: E731 null would turn whole numbers of pandas into doubles
-        asked = asked.select("block", "chunk", F.lit(True).alias("asks"), "query_id", none(held, "rule_id"), none(held, "pos"), "vec")
-        held = held.select("block", "chunk", F.lit(False).alias("asks"), none(asked, "query_id"), "rule_id", "pos", "vec")
+        asked = asked.select("block", "chunk", F.lit(True).alias("asks"), (own == F.col("block")).alias("own"), "query_id", none(held, "rule_id"), none(held, "pos"), "vec")
+        held = held.select("block", "chunk", F.lit(False).alias("asks"), F.lit(False).alias("own"), none(asked, "query_id"), "rule_id", "pos", "vec")
 
         def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sides: dict[bool, list] = {True: [], False: []}
@@ -169,15 +199,18 @@ class Cells:
                 for asks, parts in sides.items():
                     some = f[f["asks"] == asks]
                     if len(some):
-                        parts.append((matrix(some["vec"]), some["query_id"].to_numpy(), some["rule_id"].to_numpy(), some["pos"].to_numpy()))
+                        parts.append((matrix(some["vec"]), some["query_id"].to_numpy(), some["rule_id"].to_numpy(), some["pos"].to_numpy(), some["own"].to_numpy(bool)))
             if not sides[True] or not sides[False]:
                 return
-            (vectors, ids, _, _), (others, _, rules, pos) = (list(map(np.concatenate, zip(*sides[asks]))) for asks in (True, False))
+            (vectors, ids, _, _, own), (others, _, rules, pos, _) = (list(map(np.concatenate, zip(*sides[asks]))) for asks in (True, False))
             sides.clear()
-            mine, block, step, found, n = Block(vectors), Block(others), max(1, TILE // len(others)), [], 0
-            for s in range(0, len(ids), step):
-                found.append(pick(mine, block, s, mine.unit[s : s + step] @ block.unit.T, ids, rules, pos))
-                n += len(found[-1])
+            mine, block, found, n = Block(vectors), Block(others), [], 0
+            for s, t, near in look(mine, block):
+                some = pick(mine, block, s, t, near, ids, rules, pos, own)
+                if some is None:
+                    continue
+                found.append(some)
+                n += len(some)
                 if n >= 16 * SENT:
                     yield pd.concat(found)
                     found, n = [], 0
@@ -207,7 +240,7 @@ def nearest(queries: DataFrame, rules: DataFrame, k: int) -> DataFrame:
         np.put_along_axis(out, order, before < k, axis=1)
         return out & (sizes > 0)
 
-    def best(mine: Block, block: Block, start: int, near: np.ndarray, ids: np.ndarray, rules: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
+    def best(mine: Block, block: Block, start: int, _: int, near: np.ndarray, ids: np.ndarray, rules: np.ndarray, pos: np.ndarray, own: np.ndarray) -> pd.DataFrame:
         n = near.shape[1]
         least = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf)
         i, j = np.nonzero(near >= least[:, None] - ROUNDING)
@@ -237,32 +270,50 @@ def nearest(queries: DataFrame, rules: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def within(queries: DataFrame, rules: DataFrame, threshold: float, ordered: bool = False) -> DataFrame:
-    """queries (query_id, vec), rules (rule_id, vec): query_id, rule_id, similarity: all with a cosine of at least the threshold, which must be positive; with ordered only those whose query_id is the smaller one."""
+def _alike(cells: Cells, asked: DataFrame, threshold: float) -> DataFrame:
+    """asked (query_id, vec, and own where they are the searched ones): query_id, rule_id, similarity. Those with their own block meet each other vector once: of their own block those with a higher id, else all."""
+    once = "own" in asked.columns
+
+    def alike(mine: Block, block: Block, start: int, first: int, near: np.ndarray, ids: np.ndarray, rules: np.ndarray, pos: np.ndarray, own: np.ndarray) -> pd.DataFrame | None:
+        right = near >= threshold - single_error(mine.unit.shape[1])
+        if not right.any():
+            return None
+        i, j = np.nonzero(right)
+        i, j = i + start, j + first
+        if once:
+            right = np.where(own[i], ids[i] < rules[j], ids[i] != rules[j])
+            i, j = i[right], j[right]
+        c = mine.cosines(i, block, j)
+        return pd.DataFrame({"query_id": ids[i], "rule_id": rules[j], "similarity": c})[c >= threshold]
+
+    schema = f"query_id {kind(asked, 'query_id')}, rule_id {kind(cells.rows, 'rule_id')}, similarity double"
+    return cells.meet(cells.visits(asked, lambda _, b: b >= threshold - ROUNDING), alike, schema, tiles)
+
+
+def _cells(rules: DataFrame, threshold: float) -> Cells:
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
-    rows = rules.select("rule_id", F.lit(0).alias("pos"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
+    return Cells(rules.select("rule_id", F.lit(0).alias("pos"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null"))
+
+
+def within(queries: DataFrame, rules: DataFrame, threshold: float) -> DataFrame:
+    """queries (query_id, vec), rules (rule_id, vec): query_id, rule_id, similarity: all with a cosine of at least the threshold, which must be positive."""
+    cells = _cells(rules, threshold)
     asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null and exists(vec, x -> x <> 0)")
-    cells = Cells(rows)
     if not len(cells.pivots):
         return asked.filter("false").select("query_id", F.lit(None).cast(kind(rules, "rule_id")).alias("rule_id"), F.lit(0.0).alias("similarity"))
-
-    def alike(mine: Block, block: Block, start: int, near: np.ndarray, ids: np.ndarray, rules: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
-        right = near >= threshold - ROUNDING
-        if ordered:
-            right &= ids[start : start + len(near), None] < rules[None, :]
-        i, j = np.nonzero(right)
-        c = mine.cosines(i + start, block, j)
-        return pd.DataFrame({"query_id": ids[i + start], "rule_id": rules[j], "similarity": c})[c >= threshold]
-
-    schema = f"query_id {kind(queries, 'query_id')}, rule_id {kind(rules, 'rule_id')}, similarity double"
-    return cells.meet(cells.visits(asked, lambda _, b: b >= threshold - ROUNDING), alike, schema)
+    return _alike(cells, asked, threshold)
 
 
 def pairs(rules: DataFrame, threshold: float) -> DataFrame:
-    """a < b, similarity: all pairs with a cosine of at least the threshold, which must be positive."""
-    found = within(rules.select(F.col("rule_id").alias("query_id"), "vec"), rules, threshold, ordered=True)
-    return found.select(F.col("query_id").alias("a"), F.col("rule_id").alias("b"), "similarity")
+    """a < b, similarity: all pairs with a cosine of at least the threshold, which must be positive. Each is looked at once."""
+    cells = _cells(rules, threshold)
+    a, b = F.least("query_id", "rule_id").alias("a"), F.greatest("query_id", "rule_id").alias("b")
+    if not len(cells.pivots):
+        nothing = rules.filter("false").select(F.col("rule_id").alias("query_id"), "rule_id")
+        return nothing.select(a, b, F.lit(0.0).alias("similarity"))
+    asked = cells.dealt.select(F.col("rule_id").alias("query_id"), "vec", F.col("block").alias("own"))
+    return _alike(cells, asked, threshold).select(a, b, "similarity")
 
 
 def skipped(queries: DataFrame, rules: DataFrame, threshold: float) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, MapType, StringTy
 
 from talkgrain.functions import redact as R
 from talkgrain.functions import text as T
-from talkgrain.operators import evidence, rules
+from talkgrain.operators import evidence, linkage, rules
 from talkgrain.sources import files
 
 def every_string(value: Column, kind: DataType, change: Callable[[Column], Column]) -> Column:
@@ -115,22 +115,30 @@ def retrieved_from_others(queries: DataFrame, known: DataFrame, k: int, digits:
 
 def medoids(known: DataFrame, cluster_of: DataFrame) -> DataFrame:
     """cluster, size, rule_id of the member most similar to all members; the sum of its cosines is one product with the cluster's summed vector. Ties go to the first rule."""
+    rows = known.join(cluster_of, "rule_id").filter("cluster is not null")
+    size = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("rule_id").alias("rule_id"), F.max(F.size("vec") > 0).alias("_any"))
+    alone = size.filter("size = 1 and _any").drop("_any")
     norm = F.sqrt(rules.dot(F.col("vec"), F.col("vec")))
-    rows = known.join(cluster_of, "rule_id").withColumn("_u", F.transform("vec", lambda x: F.when(norm == 0, 0.0).otherwise(x / norm)))
+    unit = F.transform(F.array(norm), lambda n: F.transform("vec", lambda x: F.when(n == 0, 0.0).otherwise(x / n)))[0]  # an inner lambda's norm would be computed for each number
+    rows = rows.join(size.filter("size > 1").select("cluster"), "cluster").withColumn("_u", unit)
     sums = rows.select("cluster", F.posexplode("_u").alias("d", "x")).groupBy("cluster", "d").agg(F.sum("x").alias("x"))
     sums = sums.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("_sum"))
     scored = rows.join(sums, "cluster").withColumn("_s", F.round(rules.dot(F.col("_u"), F.col("_sum")), 9))
-    return scored.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.max_by("rule_id", F.struct("_s", -F.col("pos"))).alias("rule_id"))
+    return scored.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.max_by("rule_id", F.struct("_s", -F.col("pos"))).alias("rule_id")).unionByName(alone)
 
 
 def replayed(known: DataFrame, batch: str, n: int, threshold: float = rules.SIMILAR) -> DataFrame:
-    """Per batch 0..n-1 of rules (rule_id, pos, vec): rules consolidated, the largest cluster, rules left. A cluster's medoid goes on to the next batch."""
-    spark, out = known.sparkSession, []
-    active = known.filter(F.lit(False)).select("rule_id", "pos", "vec")
+    """Per batch 0..n-1 of rules (rule_id, pos, vec): rules consolidated, the largest cluster, rules left. A cluster's medoid, the first rule of its vector, goes on to the next batch with its pairs, so that only new rules are searched."""
+    spark, out, pairs = known.sparkSession, [], None
+    known = known.withColumn("pos", F.col("pos").cast("long")).withColumn("fresh", F.lit(True))
+    active = known.filter(F.lit(False)).select("rule_id", "pos", "vec", "fresh")
     for b in range(n):
-        active = active.unionByName(known.filter(F.col(batch) == b).select("rule_id", "pos", "vec"))
-        found = files.kept(medoids(active, rules.clusters(active, threshold)))
+        active = active.unionByName(known.filter(F.col(batch) == b).select("rule_id", "pos", "vec", "fresh"))
+        of, pairs = linkage.clusters_onwards(active, threshold, pairs)
+        found = files.kept(medoids(active, of))
         total, most, left = found.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0)), F.count(F.lit(1))).first()
         out.append((b, total, most, left))
-        active = files.kept(active.join(found.select("rule_id"), "rule_id", "left_semi"))
+        active = files.kept(active.join(found.select("rule_id"), "rule_id", "left_semi").withColumn("fresh", F.lit(False)))
+        for end in ("a", "b"):
+            pairs = pairs.join(active.select(F.col("pos").alias(end)), end, "left_semi")
     return spark.createDataFrame(out, "batch int, consolidated long, max_cluster long, active_after long")

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from talkgrain.operators import induction, linkage, search
+from talkgrain.operators import induction, linkage, search, service
 from talkgrain.plans import evaluation, records
 
 SMALL = "/root/testdata/sf0.001"
@@ -86,3 +86,42 @@ def test_blocks_stay_few_from_small_tables_to_large_ones(spark):
     for n in (4_000, 40_000):  # what is dealt grows with the rows; there were 2 and 20 blocks before
         rows = spark.range(n).selectExpr("id as rule_id", "id as pos", "transform(sequence(0, 63), d -> double(pmod(xxhash64(id, d), 2001) - 1000)) as vec")
         assert 7 <= search.Cells(rows).blocks.sum() <= 12
+
+
+def test_replay_searches_new_rules_only_and_each_pair_once(spark, monkeypatch):
+    asked, pairs, within = [], search.pairs, search.within
+    monkeypatch.setattr(search, "pairs", lambda rows, threshold: asked.append(rows.count()) or pairs(rows, threshold))
+    monkeypatch.setattr(search, "within", lambda queries, rows, threshold: asked.append(queries.count()) or within(queries, rows, threshold))
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.normal(size=(5, 6)), 12, axis=0) + rng.normal(size=(60, 6)) / 2.5
+    v[[3, 30, 50]] = v[[10, 11, 9]]  # equal vectors, some first in a later batch
+    v[[7, 20]] = 0
+    batch = [2 if i in (3, 7, 50) else i % 3 for i in range(60)]
+    rows = spark.createDataFrame([(i, i, x.tolist(), b) for i, (x, b) in enumerate(zip(v, batch))], "rule_id long, pos long, vec array<double>, batch int")
+    got = [tuple(r) for r in service.replayed(rows, "batch", 3).sort("batch").collect()]
+    assert len(asked) == 3 and sum(asked) <= 60  # survivors were searched again with each batch
+    want, active = [], rows.filter("false")
+    for b in range(3):
+        active = active.unionByName(rows.filter(f"batch = {b}"))
+        found = service.medoids(active, linkage.clusters(active, 0.7)).toPandas()
+        want.append((b, int(found["size"].sum()), int(found["size"].max()), len(found)))
+        active = rows.filter(F.col("rule_id").isin(found["rule_id"].tolist()))
+    assert got == want and want[2][3] > 5
+
+
+def test_pairs_meet_once_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "PER_PIVOT", 8)
+    monkeypatch.setattr(search, "BLOCK_NUMBERS", 64)
+    monkeypatch.setattr(search, "LARGER", 2)
+    v = np.random.default_rng(9).normal(size=(300, 4))
+    rows = spark.createDataFrame([(k * 7919 % 1009, k, x.tolist()) for k, x in enumerate(v)], "rule_id long, pos long, vec array<double>")
+    cells = search.Cells(rows)
+    assert cells.blocks.sum() > 5
+    asked = cells.dealt.select(F.col("rule_id").alias("query_id"), "vec", F.col("block").alias("own"))
+    visits, load = cells.visits(asked, lambda _, b: b > -2)
+    sizes = np.array([r.n for r in cells.dealt.groupBy("block").agg(F.count("*").alias("n")).collect()])
+    assert visits.count() == load.agg(F.sum("n")).first()[0] < 300 * len(sizes) * 0.7  # all met all blocks
+    unit, ids = v / np.linalg.norm(v, axis=1, keepdims=True), [k * 7919 % 1009 for k in range(300)]
+    want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(300) for j in range(i) if unit[i] @ unit[j] >= 0.7}
+    got = [(r.a, r.b) for r in search.pairs(rows, 0.7).collect()]
+    assert len(got) == len(want) and set(got) == want
